@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import images
+from . import images, tables
 
-REGISTRY = {**images.QUERIES}
+REGISTRY = {**images.QUERIES, **tables.QUERIES}

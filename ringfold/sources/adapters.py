@@ -189,8 +189,9 @@ def container_tables(
         "section",
         "dataset_name",
         F.expr(
-            "map('k', cast(s_suppkey as string), "
-            "'ponifile', concat('text of ', dataset_name))"
+            "case when section = 'calibrations' then map('k', cast(s_suppkey as string), "
+            "'ponifile', concat('text of ', dataset_name)) "
+            "else map('k', cast(s_suppkey as string)) end"
         ).alias("attrs"),
     )
     sections = nodes.groupBy("file_name", "group_name", "section").agg(
@@ -203,7 +204,7 @@ def container_tables(
             "case when section = 'calibrations' and r = 1 then "
             "map('ponifile', concat('shared ', group_name), 'k', 'cal') "
             "when r % 2 = 1 and n % 2 = 0 then map('k', concat('n', cast(n as string))) "
-            "else map() end"
-        ).cast("map<string,string>").alias("attrs"),
+            "else cast(map() as map<string,string>) end"
+        ).alias("attrs"),
     )
     return datasets, sections
