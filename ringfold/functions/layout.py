@@ -40,10 +40,7 @@ def collect_profile(
     out = df.groupBy(*keys).agg(points.alias("_points"))
     return out.select(
         *keys,
-        *[
-            F.transform("_points", lambda p, v=v: p.getField(v)).alias(name)
-            for v, name in values.items()
-        ],
+        *[F.col(f"_points.{v}").alias(name) for v, name in values.items()],
     )
 
 

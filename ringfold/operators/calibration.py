@@ -128,7 +128,7 @@ def format_text(text: Column) -> Column:
         at = acc.getField("at")
         tail = F.substring(text, at, F.length(text))
         offset = F.call_function("locate", word, tail)
-        piece = F.trim(F.substring(tail, F.lit(1), offset - 1))
+        piece = F.trim(F.substring(tail, F.lit(1), offset - 1), F.lit(" \t\r"))
         return F.when(offset <= 1, acc).otherwise(
             F.struct(
                 F.concat(acc.getField("parts"), F.array(piece)).alias("parts"),
@@ -137,7 +137,9 @@ def format_text(text: Column) -> Column:
         )
 
     def finish(acc: Column) -> Column:
-        last = F.trim(F.substring(text, acc.getField("at"), F.length(text)))
+        last = F.trim(
+            F.substring(text, acc.getField("at"), F.length(text)), F.lit(" \t\r")
+        )
         return F.array_join(F.concat(acc.getField("parts"), F.array(last)), "\n")
 
     words = F.array(*[F.lit(w) for w in LINE_WORDS])

@@ -120,6 +120,7 @@ def integrate_2d(
         _bin_q().alias("q"),
         (-180.0 + (F.col("chi_bin") + 0.5) * (360.0 / npt_azim)).alias("chi"),
         F.avg("value").alias("intensity"),
+        (F.max("q_first") + (npt - 0.5) * F.max("q_step")).alias("q_max"),
     )
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
-from . import images, tables
+from . import cohort, curves, images, tables
 
-REGISTRY = {**images.QUERIES, **tables.QUERIES}
+REGISTRY = {
+    **images.QUERIES,
+    **tables.QUERIES,
+    **curves.QUERIES,
+    **cohort.QUERIES,
+}
