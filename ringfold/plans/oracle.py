@@ -53,6 +53,10 @@ TABLES = {
                case when vec_id % 9 = 0 then null
                     else (30 + vec_id % 40)::double end as age
         from embeddings, unnest(generate_series(1, len(embedding))) t(i)""",
+    "peaked": """
+        select * replace (intensity + 2.0::double
+                          * exp(-((q - (label * 0.3::double + 2.0::double)) ** 2) / 0.5::double)
+                          as intensity) from profiles""",
     "scored": """
         select doc_id, quality as y_true, n_chars::double as y_score
         from labels join documents using (doc_id)""",
@@ -82,6 +86,7 @@ TABLES = {
 }
 
 NEEDS = {
+    "peaked": ["profiles"],
     "grid": ["calibrations"],
     "q_limits": ["grid"],
     "geo": ["pixels", "calibrations", "q_limits"],

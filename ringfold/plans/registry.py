@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import cohort, curves, images, tables
+from . import cohort, curves, fits, images, tables
 
 REGISTRY = {
     **images.QUERIES,
     **tables.QUERIES,
     **curves.QUERIES,
     **cohort.QUERIES,
+    **fits.QUERIES,
 }

@@ -131,6 +131,13 @@ def profiles(spark: SparkSession, folder: str) -> DataFrame:
     ).withColumn("q", (F.col("pos") + 1) * F.lit(0.1))
 
 
+def peaked_profiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Profiles with a peak whose place depends on the label."""
+    cen = F.col("label") * 0.3 + 2.0
+    bump = 2.0 * F.exp(-F.pow(F.col("q") - cen, 2) / 0.5)
+    return profiles(spark, folder).withColumn("intensity", F.col("intensity") + bump)
+
+
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """Binary labels with a score."""
     labels = table(spark, folder, "labels").select("doc_id", "quality")
@@ -145,7 +152,9 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
 def scored_models(spark: SparkSession, folder: str) -> DataFrame:
     """The same labels scored by five pseudo models."""
     return scored(spark, folder).select(
-        F.explode(F.sequence(F.lit(0), F.lit(4))).cast("long").alias("model_id"),
+        F.explode(F.array(*[F.lit(m).cast("long") for m in range(5)])).alias(
+            "model_id"
+        ),
         "doc_id",
         "y_true",
         "y_score",
