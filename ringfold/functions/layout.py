@@ -44,6 +44,35 @@ def collect_profile(
     )
 
 
+def dense_profile(
+    df: DataFrame, keys: list[str], npt: int, values: dict[str, str], q: str
+) -> DataFrame:
+    """Binned point rows (with ``q_first``, ``q_step``) to arrays of ``npt``
+    values per key; an empty bin is 0 and keeps its q."""
+    out = df.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("pos", F.struct(*values)))).alias(
+            "_cells"
+        ),
+        F.max("q_first").alias("_first"),
+        F.max("q_step").alias("_step"),
+    )
+    bins = F.sequence(F.lit(0), F.lit(npt - 1))
+
+    def filled(value: str):
+        return F.transform(
+            bins,
+            lambda p: F.coalesce(
+                F.try_element_at("_cells", p).getField(value), F.lit(0.0)
+            ),
+        )
+
+    return out.select(
+        *keys,
+        F.transform(bins, lambda p: F.col("_first") + (p + 0.5) * F.col("_step")).alias(q),
+        *[filled(v).alias(name) for v, name in values.items()],
+    )
+
+
 def collect_image(
     df: DataFrame,
     keys: list[str],

@@ -95,6 +95,8 @@ def integrate_1d(
         .agg(
             F.count(F.lit(1)).alias("n_pixels"),
             _bin_q().alias("q"),
+            F.max("q_first").alias("q_first"),
+            F.max("q_step").alias("q_step"),
             intensity.alias("intensity"),
             F.stddev_pop("value").alias("std"),
             F.max("distance_m").alias("calculated_distance"),
@@ -120,6 +122,8 @@ def integrate_2d(
         _bin_q().alias("q"),
         (-180.0 + (F.col("chi_bin") + 0.5) * (360.0 / npt_azim)).alias("chi"),
         F.avg("value").alias("intensity"),
+        F.max("q_first").alias("q_first"),
+        F.max("q_step").alias("q_step"),
         (F.max("q_first") + (npt - 0.5) * F.max("q_step")).alias("q_max"),
     )
 
@@ -179,6 +183,8 @@ def sigma_clip(
         return kept.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n_pixels"),
             _bin_q().alias("q"),
+            F.max("q_first").alias("q_first"),
+            F.max("q_step").alias("q_step"),
             F.avg("value").alias("intensity"),
             F.stddev_pop("value").alias("std"),
             *(
@@ -203,6 +209,8 @@ def sigma_clip(
     return stats.select(
         *keys,
         "q",
+        "q_first",
+        "q_step",
         "n_pixels",
         "intensity",
         "std",
@@ -320,7 +328,12 @@ def rotating_angles(
         ]
     stats = rows.groupBy(
         ID, "range_no", "range_start", "range_end", "pos"
-    ).agg(_bin_q().alias("q"), *per_part)
+    ).agg(
+        _bin_q().alias("q"),
+        F.max("q_first").alias("q_first"),
+        F.max("q_step").alias("q_step"),
+        *per_part,
+    )
 
     def part(column: str, number: int) -> Column:
         return F.coalesce(
@@ -344,6 +357,8 @@ def rotating_angles(
         "range_end",
         "pos",
         "q",
+        "q_first",
+        "q_step",
         (part("mean", 0) + part("mean", 1)).alias("intensity"),
         joint(sem(0), sem(1)).alias("sigma"),
         joint(part("std", 0), part("std", 1)).alias("std"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cohort, curves, fits, images, tables
+from . import cohort, curves, fits, images, learning, tables
 
 REGISTRY = {
     **images.QUERIES,
@@ -10,4 +10,5 @@ REGISTRY = {
     **curves.QUERIES,
     **cohort.QUERIES,
     **fits.QUERIES,
+    **learning.QUERIES,
 }
