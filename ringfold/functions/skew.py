@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SALTS = 16
+# For keys that usually own few rows, where repeating the stats would dominate.
+FEW_SALTS = 4
 SMALL_ROWS = 100_000
 
 
@@ -33,6 +35,18 @@ def attach(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def spread_scan(df: DataFrame, key: str) -> DataFrame:
+    """Give a scan with fewer splits than cores one partition per core.
+
+    For compact inputs that cost much per row. A large table has splits enough
+    and stays as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def small_side(df: DataFrame, bound: int = SMALL_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast only after reading it proves the bound.
 

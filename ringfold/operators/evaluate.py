@@ -16,6 +16,8 @@ BUCKETS = 256
 def _score_edges(scored: DataFrame, buckets: int) -> list[float]:
     """Bucket edges at approximate quantiles: a fixed number of values."""
     shares = [i / buckets for i in range(1, buckets)]
+    if not shares:
+        return []
     return sorted(set(scored.approxQuantile(S, shares, 0.5 / buckets)))
 
 

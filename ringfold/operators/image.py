@@ -223,23 +223,21 @@ def label_regions(lit_pixels: DataFrame, max_rounds: int = 200) -> DataFrame:
     for _ in range(max_rounds):
         seen = edges.join(
             labels.select(ID, F.col("node").alias("near"), "label"), [ID, "near"]
-        ).select(ID, "node", "label")
+        ).select(ID, "node", "label", F.lit(None).cast("long").alias("own"))
         best = (
-            labels.select(ID, "node", "label")
+            labels.select(ID, "node", "label", F.col("label").alias("own"))
             .unionByName(seen)
             .groupBy(ID, "node")
-            .agg(F.min("label").alias("best"))
+            .agg(F.min("label").alias("best"), F.max("own").alias("own"))
         )
-        target = labels.select(ID, F.col("node").alias("best"), F.col("label").alias("far"))
-        jumped = attach(best, target, [ID, "best"], ["node"]).join(
-            labels, [ID, "node"]
+        # many pixels follow one label: adaptive execution splits that side
+        target = labels.select(
+            ID, F.col("node").alias("best"), F.col("label").alias("far")
         )
+        found = F.least("best", "far")
         state = written(
-            jumped.select(
-                ID,
-                "node",
-                F.least("best", "far").alias("label"),
-                (F.least("best", "far") != F.col("label")).alias("changed"),
+            best.join(target, [ID, "best"]).select(
+                ID, "node", found.alias("label"), (found != F.col("own")).alias("changed")
             ),
             "regions",
         )

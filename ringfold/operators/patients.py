@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.skew import attach
+from ..functions.skew import FEW_SALTS, attach
 from .integrate import ID
 
 BLOCK = 1024
@@ -35,7 +35,11 @@ def pairwise_mean_distance(
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     blocks = F.ceil(F.col("n") / float(block)).cast("int")
     rows = attach(
-        df.select(*keys, ID, vector), sizes.withColumn("_blocks", blocks), keys, [ID]
+        df.select(*keys, ID, vector),
+        sizes.withColumn("_blocks", blocks),
+        keys,
+        [ID],
+        salts=FEW_SALTS,
     )
     rows = rows.withColumn(
         "_mine", F.pmod(F.xxhash64(ID), F.col("_blocks")).cast("int")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.skew import attach, small_side
+from ..functions.skew import FEW_SALTS, attach, small_side
 from .integrate import FLAT, ID
 
 
@@ -138,7 +138,7 @@ def model_matrix(df: DataFrame, column: str = SCALED) -> DataFrame:
     counts = df.groupBy("patient_id").agg(F.count(F.lit(1)).alias("_entries"))
     age = F.col("age").cast("double") if "age" in df.columns else F.lit(-1.0)
     return (
-        attach(df, counts, ["patient_id"], [ID])
+        attach(df, counts, ["patient_id"], [ID], salts=FEW_SALTS)
         .withColumn(
             "model_row",
             F.concat(

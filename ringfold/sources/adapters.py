@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.skew import spread_scan
+
 # Shape of the derived detector images.
 N_ROWS = 32
 N_COLS = 32
@@ -95,7 +97,7 @@ def measurements(spark: SparkSession, folder: str) -> DataFrame:
 
 def profile_arrays(spark: SparkSession, folder: str) -> DataFrame:
     """Profiles in the array layout: one row per measurement."""
-    return table(spark, folder, "embeddings").select(
+    return spread_scan(table(spark, folder, "embeddings"), "vec_id").select(
         F.col("vec_id").alias("measurement_id"),
         F.transform("embedding", lambda x, i: (i + 1) * F.lit(0.1)).alias("q_range"),
         F.transform("embedding", lambda x: x.cast("double") + 1).alias(
