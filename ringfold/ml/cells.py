@@ -394,7 +394,15 @@ def fourier_2d(
     n_rows, n_cols = shape
     pixels = explode_image(df.select(ID, column), column)
     spec = spectrum.image_spectrum(
-        pixels, n_rows, n_cols, remove_beam, thresh, padding, mask, filter_radius
+        pixels,
+        n_rows,
+        n_cols,
+        remove_beam,
+        thresh,
+        padding,
+        mask,
+        filter_radius,
+        unique=True,
     )
     per_frequency = spectrum.spectrum_features(spec)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.skew import attach
-from .integrate import AUTO, FLAT, ID, Range, bound
+from .integrate import AUTO, FLAT, ID, Range, bound, value_counts
 
 Limits = list[float]
 
@@ -69,17 +69,26 @@ def deviation(
     npt: int = 256,
     q_range: Range = AUTO,
 ) -> DataFrame:
-    """Mean of the flagged pixels per ring and limit, null where none is."""
+    """Mean of the flagged pixels per ring and limit, null where none is. Only
+    values matter here, so rings are compared by their value counts."""
     sides = _sides(above, below)
-    rows = with_ring_mean(geo, npt, q_range)
-    value, mean = F.col("value"), F.col("ring_mean")
-    stats = rows.groupBy(ID, "digit").agg(
-        *[
-            F.avg(F.when(_flag(side, limit, value, mean), value)).alias(f"d{i}")
-            for i, (side, limit) in enumerate(sides)
-        ]
+    keys = [ID, "digit"]
+    counts = value_counts(with_digit(geo, npt, q_range), keys)
+    value, mean, n = F.col("value"), F.col("ring_mean"), F.col("n")
+    means = counts.groupBy(*keys).agg(
+        (F.sum(value * n) / F.sum(n)).alias("ring_mean")
+    )
+
+    def flagged_mean(side: str, limit: float) -> Column:
+        hit = _flag(side, limit, value, mean)
+        return F.try_divide(F.sum(F.when(hit, value * n)), F.sum(F.when(hit, n)))
+
+    stats = (
+        attach(counts, means, keys, ["value"])
+        .groupBy(*keys)
+        .agg(*[flagged_mean(s, x).alias(f"d{i}") for i, (s, x) in enumerate(sides)])
     )
-    return _long(stats, [ID, "digit"], sides)
+    return _long(stats, keys, sides)
 
 
 def deviation_images(

@@ -159,6 +159,12 @@ def cake_stats(cake: DataFrame) -> DataFrame:
     )
 
 
+def value_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct values per key with their number ``n``. Detector counts repeat
+    a lot, and equal values of a key are combined before they are shuffled."""
+    return rows.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def sigma_clip(
     geo: DataFrame,
     npt: int = 256,
@@ -171,46 +177,61 @@ def sigma_clip(
     their bin, repeated ``max_iter`` times.
 
     A pixel survives while its value lies in every interval so far, so the
-    state between rounds is one interval per bin. The plan grows by one join
-    and one aggregation a round and the pixel exchange is reused.
+    state between rounds is one interval per bin, and a round reads value counts
+    instead of pixels. The plan grows by one join and one aggregation a round
+    and the exchange of the counts is reused.
     """
     rows = with_q_bin(in_ranges(geo, None, chi_range), npt, q_range).select(
-        ID, "pos", "value", "row_idx", "col_idx", "q_first", "q_step"
+        ID, "pos", "value", "q_first", "q_step"
     )
     keys = [ID, "pos"]
-
-    def reduce(kept: DataFrame) -> DataFrame:
-        return kept.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n_pixels"),
-            _bin_q().alias("q"),
-            F.max("q_first").alias("q_first"),
-            F.max("q_step").alias("q_step"),
-            F.avg("value").alias("intensity"),
-            F.stddev_pop("value").alias("std"),
-            *(
-                [F.max("lo").alias("lo"), F.min("hi").alias("hi")]
-                if "lo" in kept.columns
-                else []
-            ),
-        )
-
-    stats = reduce(rows)
+    grid = ["q", "q_first", "q_step"]
+    stats = rows.groupBy(*keys).agg(
+        _bin_q().alias("q"),
+        F.max("q_first").alias("q_first"),
+        F.max("q_step").alias("q_step"),
+        F.count(F.lit(1)).alias("n_pixels"),
+        F.avg("value").alias("intensity"),
+        F.stddev_pop("value").alias("std"),
+        F.lit(float("-inf")).alias("lo"),
+        F.lit(float("inf")).alias("hi"),
+    )
+    counts = value_counts(rows, keys)
     for _ in range(max_iter):
         # the slack keeps equal values whose mean is off by round-off
         reach = thres * F.col("std") + FLAT * F.abs("intensity")
-        lo, hi = F.col("intensity") - reach, F.col("intensity") + reach
-        if "lo" in stats.columns:
-            lo, hi = F.greatest("lo", lo), F.least("hi", hi)
-        interval = stats.select(*keys, lo.alias("lo"), hi.alias("hi"))
-        kept = attach(rows, interval, keys, ["row_idx", "col_idx"]).filter(
+        interval = stats.select(
+            *keys,
+            *grid,
+            F.col("intensity").alias("center"),
+            F.greatest("lo", F.col("intensity") - reach).alias("lo"),
+            F.least("hi", F.col("intensity") + reach).alias("hi"),
+        )
+        kept = attach(counts, interval, keys, ["value"]).filter(
             F.col("value").between(F.col("lo"), F.col("hi"))
         )
-        stats = reduce(kept)
+        # moments about the last mean lose no digits to a large offset
+        off = F.col("value") - F.col("center")
+        sums = kept.groupBy(*keys).agg(
+            *[F.max(c).alias(c) for c in (*grid, "center", "lo", "hi")],
+            F.sum("n").alias("n_pixels"),
+            F.sum(F.col("n") * off).alias("_s1"),
+            F.sum(F.col("n") * off * off).alias("_s2"),
+        )
+        shift = F.col("_s1") / F.col("n_pixels")
+        spread = F.col("_s2") / F.col("n_pixels") - shift * shift
+        stats = sums.select(
+            *keys,
+            *grid,
+            "n_pixels",
+            (F.col("center") + shift).alias("intensity"),
+            F.sqrt(F.greatest(spread, F.lit(0.0))).alias("std"),
+            "lo",
+            "hi",
+        )
     return stats.select(
         *keys,
-        "q",
-        "q_first",
-        "q_step",
+        *grid,
         "n_pixels",
         "intensity",
         "std",

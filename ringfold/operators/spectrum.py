@@ -77,15 +77,21 @@ def _ifft(lines: np.ndarray) -> np.ndarray:
     return np.fft.ifft(lines, axis=1)
 
 
-def spectrum_2d(pixels: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
-    """Unshifted transform: (measurement_id, u, v, re, im), u along rows."""
-    cells = pixels.select(
-        ID,
-        "row_idx",
-        "col_idx",
-        F.col("value").cast("double").alias("re"),
-        F.lit(0.0).alias("im"),
-    )
+def spectrum_2d(
+    pixels: DataFrame, n_rows: int, n_cols: int, unique: bool = False
+) -> DataFrame:
+    """Unshifted transform: (measurement_id, u, v, re, im), u along rows.
+
+    Rows of the same pixel add up first, so that a line never holds more than
+    ``n_cols`` cells; ``unique`` says there are none (as from an image cell).
+    """
+    value = F.col("value").cast("double")
+    place = [ID, "row_idx", "col_idx"]
+    cells = (
+        pixels.select(*place, value.alias("re"))
+        if unique
+        else pixels.groupBy(*place).agg(F.sum(value).alias("re"))
+    ).withColumn("im", F.lit(0.0))
     lines = along_axis(cells, [ID, "row_idx"], "col_idx", n_cols, _fft, "v")
     return along_axis(lines, [ID, "v"], "row_idx", n_rows, _fft, "u")
 
@@ -116,6 +122,7 @@ def image_spectrum(
     padding: int = 0,
     mask: DataFrame | None = None,
     filter_radius: float | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Spectrum of each image, shifted indices ``u``/``v``, with ``norm``, the
     magnitude of the zero frequency used to normalize.
@@ -140,7 +147,7 @@ def image_spectrum(
             pixels = boxed.withColumn("value", F.col("value") - F.col("beam"))
     normed = original if remove_beam == "fourier" else pixels
     norm = normed.groupBy(ID).agg(F.abs(F.sum("value")).alias("norm"))
-    spectrum = spectrum_2d(pixels, n_rows, n_cols).withColumns(
+    spectrum = spectrum_2d(pixels, n_rows, n_cols, unique).withColumns(
         {
             "u": shifted_index(F.col("u"), n_rows),
             "v": shifted_index(F.col("v"), n_cols),
@@ -244,7 +251,9 @@ def roughness(
     frequency is left out instead.
     """
     n_q = npt - skip_bins
-    spectrum = spectrum_2d(percent_deviation(cake, skip_bins), npt_azim, n_q)
+    spectrum = spectrum_2d(
+        percent_deviation(cake, skip_bins), npt_azim, n_q, unique=True
+    )
     power = F.col("re") * F.col("re") + F.col("im") * F.col("im")
     radius = F.sqrt(
         F.pow(frequency(F.col("v"), n_q), 2)

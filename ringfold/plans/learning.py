@@ -117,10 +117,7 @@ def rf_second_layer(spark, d):
 
 def rf_predict(spark, d):
     rows = _scaled(spark, d)
-    forest = _forest().fit(rows)
-    return forest.predict_proba(rows, by_measurements=True).join(
-        forest.predict(rows), "patient_id"
-    )
+    return _forest().fit(rows).predict_proba(rows, by_measurements=True)
 
 
 QUERIES = {
