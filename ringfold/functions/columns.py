@@ -31,8 +31,3 @@ def finite(col: Column) -> Column:
 
 def as_doubles(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
-
-
-def same_row(cols: dict[str, str]) -> list[Column]:
-    """Select list from a {new name: expression} mapping."""
-    return [F.expr(e).alias(n) for n, e in cols.items()]

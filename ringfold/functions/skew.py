@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SALTS = 16
+SALTS = 8
 # For keys that usually own few rows, where repeating the stats would dominate.
 FEW_SALTS = 4
 SMALL_ROWS = 100_000
+FEW_SPLITS = 32
 
 
 def attach(
@@ -36,12 +37,12 @@ def attach(
 
 
 def spread_scan(df: DataFrame, key: str) -> DataFrame:
-    """Give a scan with fewer splits than cores one partition per core.
+    """Give a scan of a few splits one partition per core, up to a few dozen.
 
     For compact inputs that cost much per row. A large table has splits enough
     and stays as it is, without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, FEW_SPLITS)
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, key)

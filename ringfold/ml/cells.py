@@ -465,7 +465,7 @@ def hankel_cells(
     df: DataFrame, column: str, shape: tuple[int, int], start_radius: int = 0, order: int = 0
 ) -> DataFrame:
     if column not in df.columns or "q_range" not in df.columns:
-        raise ValueError("DataFrame must contain the required columns.")
+        raise ValueError(f"need the columns {column} and q_range")
     n_azim, npt = shape
     rows = spectrum.hankel(cake_rows(df, column), npt, start_radius, order).select(
         ID,
@@ -485,7 +485,7 @@ def goodness(
     start_radius: int = 0,
 ) -> DataFrame:
     if column not in df.columns:
-        raise ValueError(f"Column '{column}' not found in DataFrame.")
+        raise ValueError(f"no column {column}")
     n_azim, npt = shape
     rows = spectrum.roughness(
         cake_rows(df, column), npt, n_azim, threshold, start_radius

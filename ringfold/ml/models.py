@@ -79,7 +79,7 @@ class MLPipeline:
 
     def preprocess(self, data: DataFrame) -> DataFrame:
         if self.trained_preprocessor is None:
-            raise RuntimeError("Preprocessing has not been fitted yet.")
+            raise RuntimeError("train the preprocessing first")
         return self.trained_preprocessor.transform(data)
 
     def train_preprocess(self, data: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ class MLPipeline:
 
     def _ready(self, data: DataFrame, wrangle: bool, preprocess: bool) -> DataFrame:
         if self.trained_estimator is None:
-            raise RuntimeError("Estimator has not been fitted yet.")
+            raise RuntimeError("train the estimator first")
         if wrangle:
             data = self.wrangle(data)
         return self.preprocess(data) if preprocess else data
@@ -173,7 +173,7 @@ class MLPipeline:
     ) -> PipelineModel:
         """The chosen steps, the estimator and the threshold as one saved model."""
         if self.trained_estimator is None:
-            raise RuntimeError("Estimator has not been fitted yet.")
+            raise RuntimeError("train the estimator first")
         stages = [s for _, s in self.data_wrangling_steps] if wrangle else []
         if preprocess:
             stages += self.trained_preprocessor.stages

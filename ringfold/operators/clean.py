@@ -141,7 +141,7 @@ def clean_q(df: DataFrame, rules: list[RuleQ]) -> DataFrame:
     a rule without bounds keeps nothing else."""
     for rule in rules:
         if not isinstance(rule, RuleQ):
-            raise TypeError(f"I do not know how to treat {type(rule)}.")
+            raise TypeError(f"not a cleaning rule: {rule!r}")
         q = F.col(rule.q_column_name)
         intensity = intensity_at(F.col(rule.column_name), q, rule.q_value)
         tests = []

@@ -8,6 +8,7 @@ a pair of numbers or of column names (``q_lo``/``q_hi`` by default, which
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.skew import attach
@@ -25,12 +26,18 @@ def bound(value: float | str | Column) -> Column:
 
 def mask_pixels(pixels: DataFrame, faulty: list[tuple[int, int]]) -> DataFrame:
     """Drop faulty pixels. The list names detector positions, so it is bounded
-    by the detector and travels with the plan as a local relation."""
+    by the detector; as an Arrow table it becomes a local relation of known size,
+    which the planner can broadcast."""
     if not faulty:
         return pixels
-    spark = pixels.sparkSession
-    listed = spark.createDataFrame(
-        [(int(r), int(c)) for r, c in faulty], "row_idx int, col_idx int"
+    rows, cols = zip(*faulty)
+    listed = pixels.sparkSession.createDataFrame(
+        pa.table(
+            {
+                "row_idx": pa.array(rows, pa.int32()),
+                "col_idx": pa.array(cols, pa.int32()),
+            }
+        )
     )
     return pixels.join(listed, ["row_idx", "col_idx"], "left_anti")
 
@@ -185,14 +192,20 @@ def sigma_clip(
         ID, "pos", "value", "q_first", "q_step"
     )
     keys = [ID, "pos"]
-    grid = ["q", "q_first", "q_step"]
-    stats = rows.groupBy(*keys).agg(
+    start = rows.groupBy(*keys).agg(
         _bin_q().alias("q"),
         F.max("q_first").alias("q_first"),
         F.max("q_step").alias("q_step"),
         F.count(F.lit(1)).alias("n_pixels"),
         F.avg("value").alias("intensity"),
         F.stddev_pop("value").alias("std"),
+    )
+    grid = start.select(*keys, "q", "q_first", "q_step")
+    stats = start.select(
+        *keys,
+        "n_pixels",
+        "intensity",
+        "std",
         F.lit(float("-inf")).alias("lo"),
         F.lit(float("inf")).alias("hi"),
     )
@@ -202,7 +215,6 @@ def sigma_clip(
         reach = thres * F.col("std") + FLAT * F.abs("intensity")
         interval = stats.select(
             *keys,
-            *grid,
             F.col("intensity").alias("center"),
             F.greatest("lo", F.col("intensity") - reach).alias("lo"),
             F.least("hi", F.col("intensity") + reach).alias("hi"),
@@ -213,7 +225,7 @@ def sigma_clip(
         # moments about the last mean lose no digits to a large offset
         off = F.col("value") - F.col("center")
         sums = kept.groupBy(*keys).agg(
-            *[F.max(c).alias(c) for c in (*grid, "center", "lo", "hi")],
+            *[F.max(c).alias(c) for c in ("center", "lo", "hi")],
             F.sum("n").alias("n_pixels"),
             F.sum(F.col("n") * off).alias("_s1"),
             F.sum(F.col("n") * off * off).alias("_s2"),
@@ -222,16 +234,17 @@ def sigma_clip(
         spread = F.col("_s2") / F.col("n_pixels") - shift * shift
         stats = sums.select(
             *keys,
-            *grid,
             "n_pixels",
             (F.col("center") + shift).alias("intensity"),
             F.sqrt(F.greatest(spread, F.lit(0.0))).alias("std"),
             "lo",
             "hi",
         )
-    return stats.select(
+    return stats.join(grid, keys).select(
         *keys,
-        *grid,
+        "q",
+        "q_first",
+        "q_step",
         "n_pixels",
         "intensity",
         "std",

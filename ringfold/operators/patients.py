@@ -29,8 +29,9 @@ def pairwise_mean_distance(
     """Mean Euclidean distance over unordered pairs within each group.
 
     A group is cut into blocks of about ``block`` rows and every pair of blocks
-    is one task-sized unit that returns two numbers, so neither a large group
-    nor its pairs ever meet in one place. A single row has no pairs: null.
+    is one task-sized unit that returns one number, so neither a large group
+    nor its pairs ever meet in one place. A single row has no pairs: null. Blocks follow
+    a hash of ``measurement_id``, which must be unique.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     blocks = F.ceil(F.col("n") / float(block)).cast("int")
@@ -53,22 +54,16 @@ def pairwise_mean_distance(
     )
 
     def unit(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        low = np.stack(pdf.loc[pdf["_mine"] == first["_lo"], vector].to_list()) if (
-            pdf["_mine"] == first["_lo"]
-        ).any() else np.empty((0, 0))
-        high = (
-            low
-            if first["_lo"] == first["_hi"]
-            else np.array(pdf.loc[pdf["_mine"] == first["_hi"], vector].to_list())
-        )
+        lo, hi = pdf["_lo"].iloc[0], pdf["_hi"].iloc[0]
+        low = pdf.loc[pdf["_mine"] == lo, vector].to_list()
+        high = low if lo == hi else pdf.loc[pdf["_mine"] == hi, vector].to_list()
+        points = np.array(high, dtype=float)
         total = 0.0
         for i, point in enumerate(low):
-            others = low[i + 1 :] if first["_lo"] == first["_hi"] else high
+            others = points[i + 1 :] if lo == hi else points
             if len(others):
                 total += float(np.sqrt(((others - point) ** 2).sum(axis=1)).sum())
-        out = {k: [first[k]] for k in keys}
-        return pd.DataFrame({**out, "part": [total]})
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "part": [total]})
 
     kinds = dict(df.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", part double"

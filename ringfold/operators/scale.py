@@ -81,23 +81,23 @@ def apply_scaler(
     by: str | None = None,
 ) -> DataFrame:
     """Standardize a column with fitted arrays; rows of a kind without a scaler
-    get null. The scaler travels to the rows when its size is proven small."""
-    kinds = small_side(
-        scaler.select(
-            F.col("kind").alias("_kind"),
-            F.col("mean").alias("_mean"),
-            F.col("scale").alias("_scale"),
+    get null. One scaler for all rows enters as a scalar subquery; a table of
+    scalers travels to the rows when its size is proven small."""
+    if by is None:
+        fitted = scaler.select(F.struct("mean", "scale")).scalar()
+        rows = df.withColumn("_fitted", fitted)
+    else:
+        kinds = small_side(
+            scaler.select(
+                F.col("kind").alias("_kind"), F.struct("mean", "scale").alias("_fitted")
+            )
         )
-    )
-    key = F.col(by) if by else F.lit("all")
-    centered = F.zip_with(column, F.col("_mean"), lambda x, m: x - m)
-    scaled = F.zip_with(centered, F.col("_scale"), lambda x, s: x / s)
-    return (
-        df.withColumn("_kind", key)
-        .join(kinds, "_kind", "left")
-        .withColumn(out, scaled)
-        .drop("_kind", "_mean", "_scale")
-    )
+        rows = df.withColumn("_kind", F.col(by).cast(kinds.schema["_kind"].dataType))
+        rows = rows.join(kinds, "_kind", "left").drop("_kind")
+    mean, size = F.col("_fitted.mean"), F.col("_fitted.scale")
+    centered = F.zip_with(column, mean, lambda x, m: x - m)
+    scaled = F.zip_with(centered, size, lambda x, s: x / s)
+    return rows.withColumn(out, scaled).drop("_fitted")
 
 
 def standardize(df: DataFrame, column: str) -> DataFrame:

@@ -18,8 +18,6 @@ from ..functions.special import hankel_kernel
 from .image import beam_box
 from .integrate import ID
 
-LINES = "array<struct<re double, im double>>"
-
 
 def along_axis(
     df: DataFrame,

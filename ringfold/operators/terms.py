@@ -169,7 +169,7 @@ class GammaDistributionPeak(Term):
         u = F.greatest(x - shape["position"], F.lit(0.0))
         density = F.pow(u, k - 1) * F.exp(-u / theta) / (gamma(k) * F.pow(theta, k))
         bad = (k <= 0) | (theta <= 0)
-        message = "Shape (k) and scale (theta) parameters must be positive."
+        message = "gamma peak: k and theta must be positive"
         return [
             F.when(bad, F.raise_error(F.lit(message)).cast("double")).otherwise(density)
         ]

@@ -323,3 +323,12 @@ def test_stage_settings_survive_saving(table, tmp_path):
     stage.write().overwrite().save(str(tmp_path / "stage"))
     again = stages.AzimuthalIntegration.load(str(tmp_path / "stage"))
     assert again.settings == {"npt": 5, "calibration_mode": "poni"}
+
+
+def test_images_are_reduced_before_any_exchange(table):
+    out = stages.AzimuthalIntegration(npt=4, calibration_mode="poni").transform(table)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate posexplode" in plan
+    # below the deepest exchange the pixels are already aggregated
+    after = plan.split("Generate posexplode")[0]
+    assert after.rindex("partial_avg") > after.rindex("Exchange")
