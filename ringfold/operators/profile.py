@@ -17,24 +17,76 @@ from .integrate import ID
 TWO_PI = 2 * math.pi
 
 
-def slope_removed(curve: Column) -> Column:
-    """Subtract the line through the first and last value."""
+def _with_constants(curve: Column, constants: Column) -> Column:
+    """Entries (v, i, k): value, position and the row's constants.
+
+    A lambda must not mention the curve itself: when the optimizer inlines the
+    expression behind it, it would be evaluated again for every value.
+    """
+    n = F.size(curve)
+    placed = F.zip_with(
+        curve,
+        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
+        lambda v, i: F.struct(v.alias("v"), i.alias("i")),
+    )
+    return F.slice(
+        F.zip_with(
+            placed,
+            F.array_repeat(constants, n),
+            lambda p, k: F.struct(
+                p.getField("v").alias("v"), p.getField("i").alias("i"), k.alias("k")
+            ),
+        ),
+        F.lit(1),
+        n,
+    )
+
+
+def _ends(curve: Column) -> tuple[Column, Column]:
+    """First value, and the step of the line to the last."""
     first, last = F.get(curve, F.lit(0)), F.get(curve, F.size(curve) - 1)
     step = F.coalesce(F.try_divide(last - first, F.size(curve) - 1), F.lit(0.0))
-    return F.transform(curve, lambda y, i: y - (first + step * i))
+    return first, step
+
+
+def slope_removed(curve: Column) -> Column:
+    """Subtract the line through the first and last value."""
+    first, step = _ends(curve)
+    constants = F.struct(first.alias("first"), step.alias("step"))
+    return F.transform(
+        _with_constants(curve, constants),
+        lambda e: e.getField("v")
+        - (
+            e.getField("k").getField("first")
+            + e.getField("k").getField("step") * e.getField("i")
+        ),
+    )
 
 
 def slope_rotated(curve: Column) -> Column:
     """Shift the start to 0 and rotate the end onto the axis: struct (y, x)."""
-    first, last = F.get(curve, F.lit(0)), F.get(curve, F.size(curve) - 1)
-    angle = F.atan(F.try_divide(last - first, F.size(curve) - 1))
-    y = F.transform(
-        curve, lambda v, i: (v - first) * F.cos(angle) - i * F.sin(angle)
+    first, step = _ends(curve)
+    constants = F.struct(
+        first.alias("first"),
+        F.cos(F.atan(step)).alias("cos"),
+        F.sin(F.atan(step)).alias("sin"),
     )
-    x = F.transform(
-        curve, lambda v, i: i * F.cos(angle) + (v - first) * F.sin(angle)
+    entries = _with_constants(curve, constants)
+
+    def turned(along: str, across: str, sign: float):
+        def value(e: Column) -> Column:
+            k = e.getField("k")
+            up = e.getField("v") - k.getField("first")
+            right = e.getField("i")
+            if sign < 0:
+                return up * k.getField(along) - right * k.getField(across)
+            return right * k.getField(along) + up * k.getField(across)
+
+        return F.transform(entries, value)
+
+    return F.struct(
+        turned("cos", "sin", -1.0).alias("y"), turned("cos", "sin", 1.0).alias("x")
     )
-    return F.struct(y.alias("y"), x.alias("x"))
 
 
 def simpson_weight(pos: Column, n: Column) -> Column:
