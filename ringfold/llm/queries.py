@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, exact_dedup, url_reputation
+from ..functions.lineage import written
+from . import chat_format, exact_dedup, quality_rules, url_reputation
 from .common import table
 from .url_reputation import Rule
 
@@ -133,6 +134,71 @@ from fits join bounds using (host)
 """
 
 
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = written(quality_rules.features(docs, carry=["doc_id", "lang"]), "quality")
+    refs = quality_rules.references(found, F.col("_row.lang"))
+    return quality_rules.judged(found, ["doc_id"], refs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept",
+    )
+
+
+CLASS_LIST, WORD_LIST = range(len(quality_rules.CLASSES)), quality_rules.WORDS
+
+
+def _divergence_sql(counts: str, kind: str) -> str:
+    """Least divergence of a list of counts from the references of a kind."""
+    return f"""(select min(d) from (
+      select list_sum(list_transform(list_zip({counts}, r.{kind}), z ->
+        (case when z[1] > 0 then z[1]/list_sum({counts}) * log2(z[1]/list_sum({counts}) / ((z[1]/list_sum({counts}) + z[2]/list_sum(r.{kind}))/2)) else 0 end
+         + case when z[2] > 0 then z[2]/list_sum(r.{kind}) * log2(z[2]/list_sum(r.{kind}) / ((z[1]/list_sum({counts}) + z[2]/list_sum(r.{kind}))/2)) else 0 end) / 2)) as d
+      from refs r where list_sum(r.{kind}) > 0))"""
+
+
+OP9_SQL = rf"""
+with t as (
+  select doc_id, lang, coalesce(text, '') as x,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
+  from documents
+), f as (
+  select doc_id, lang, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+    length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+    len(list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))
+      - len(list_distinct(list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))) as n_dup_lines,
+    [length(regexp_replace(x, '[^a-z]', '', 'g')), length(regexp_replace(x, '[^\x20\x09-\x0D]', '', 'g')),
+     length(regexp_replace(x, '[^A-Z]', '', 'g')), length(regexp_replace(x, '[^0-9]', '', 'g')),
+     length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')), length(regexp_replace(x, '[\x00-\x7F]', '', 'g')),
+     length(regexp_replace(x, '[a-zA-Z0-9#*$%&|<>\x20\x09-\x0D]|[^\x00-\x7F]', '', 'g'))]::double[] as c,
+    list_transform({WORD_LIST}, lambda k: len(list_filter(w, lambda v: v = k or v = upper(k[1]) || k[2:])))::double[] as k,
+    w
+  from t
+), refs as (
+  select lang, [{", ".join(f"sum(c[{i + 1}])" for i in CLASS_LIST)}] as rc,
+    [{", ".join(f"sum(k[{i + 1}])" for i in range(len(WORD_LIST)))}] as rk
+  from f where lang in ('de', 'en', 'es', 'fr') group by lang
+), g as (
+  select doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] as gram
+  from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from f)
+), rep as (
+  select doc_id, count(distinct i + o)::bigint as n from (
+    select doc_id, i, count(*) over (partition by doc_id, gram) as m from g), (values (0), (1), (2)) as v(o)
+  where m > 1 group by doc_id
+), told as (
+  select f.*, coalesce(rep.n, 0) as n_repeat_words,
+    case when list_sum(c) >= 200 then {_divergence_sql("c", "rc")} end as char_divergence,
+    case when list_sum(k) >= 30 then {_divergence_sql("k", "rk")} end as word_divergence
+  from f left join rep using (doc_id)
+)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
+  n_dup_lines::bigint as n_dup_lines, n_repeat_words,
+  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and coalesce(char_divergence, 0) <= 0.1
+    and coalesce(word_divergence, 0) <= 0.45 as kept
+from told
+"""
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = exact_dedup.mark(docs)
@@ -150,5 +216,6 @@ window w as (partition by text_sha256)
 LLM_REGISTRY = {
     "op2_chat_format": (op2_chat_format, OP2_SQL),
     "op7_url_filter": (op7_url_filter, OP7_SQL),
+    "op9_quality_rules": (op9_quality_rules, OP9_SQL),
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
 }
