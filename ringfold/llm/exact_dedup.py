@@ -16,17 +16,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.lineage import written
 from .common import packed, unpacked
 
 MAX_BITS = 1 << 28
 CELLS_PER_ROW = 16
-SPACE = "[\\x20\\x09-\\x0D]+"
 ADDED = ["keep_id", "group_size", "kept", "text_sha256"]
 
 
 def text_hash(text: Column) -> Column:
     """SHA-256 of the text with each run of white space as one space."""
-    return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "), 256)
+    plain = F.coalesce(text, F.lit(""))
+    for other in "\t\n\v\f\r":
+        plain = F.replace(plain, F.lit(other), F.lit(" "))
+    return F.sha2(F.regexp_replace(plain, " {2,}", " "), 256)
 
 
 def filter_bits(rows: int, max_bits: int = MAX_BITS) -> int:
@@ -108,9 +111,14 @@ def mark(
         F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"),
     )
-    maybe = asked.where("_maybe")
-    groups = maybe.groupBy("_sha").agg(
-        F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
+    # both sides of the join below are tables, so each has an exchange of its own
+    # and adaptive execution can split the partition of a hot group
+    maybe = written(asked.where("_maybe").select("_row", "_sha", "_id"), "repeated")
+    groups = written(
+        maybe.groupBy("_sha").agg(
+            F.min("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")
+        ),
+        "groups",
     )
     same = Window.partitionBy("_sha", "_id").orderBy(F.xxhash64("_row"))
     told = maybe.select(
