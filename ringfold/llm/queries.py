@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.lineage import written
-from . import chat_format, exact_dedup, quality_rules, url_reputation
+from ..functions.lineage import scratch_path, written
+from . import bpe_chunks, chat_format, exact_dedup, packing, quality_rules, token_files, url_reputation
 from .common import table
 from .url_reputation import Rule
 
@@ -53,6 +54,26 @@ from sized group by conv_id
 """
 
 
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(packing.pieces(docs, path, end_id=1)).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+def op6_bpe_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return bpe_chunks.digest(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = scratch_path(spark, "token-files")
+    token_files.write(docs, out, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_files.digest(spark, out)
+
+
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Outcomes: a page is bad if its label says low quality or toxic. The table
     ``labels`` names rows by doc_id; it is read as the id of the page."""
@@ -150,7 +171,7 @@ CLASS_LIST, WORD_LIST = range(len(quality_rules.CLASSES)), quality_rules.WORDS
 def _divergence_sql(counts: str, kind: str) -> str:
     """Least divergence of a list of counts from the references of a kind."""
     return f"""(select min(d) from (
-      select list_sum(list_transform(list_zip({counts}, r.{kind}), z ->
+      select list_sum(list_transform(list_zip({counts}, r.{kind}), lambda z:
         (case when z[1] > 0 then z[1]/list_sum({counts}) * log2(z[1]/list_sum({counts}) / ((z[1]/list_sum({counts}) + z[2]/list_sum(r.{kind}))/2)) else 0 end
          + case when z[2] > 0 then z[2]/list_sum(r.{kind}) * log2(z[2]/list_sum(r.{kind}) / ((z[1]/list_sum({counts}) + z[2]/list_sum(r.{kind}))/2)) else 0 end) / 2)) as d
       from refs r where list_sum(r.{kind}) > 0))"""
@@ -215,6 +236,9 @@ window w as (partition by text_sha256)
 
 LLM_REGISTRY = {
     "op2_chat_format": (op2_chat_format, OP2_SQL),
+    "op3_best_fit_packing": (op3_best_fit_packing, None),
+    "op6_bpe_chunks": (op6_bpe_chunks, None),
+    "op8_token_files": (op8_token_files, None),
     "op7_url_filter": (op7_url_filter, OP7_SQL),
     "op9_quality_rules": (op9_quality_rules, OP9_SQL),
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
