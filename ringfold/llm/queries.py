@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.lineage import scratch_path, written
-from . import bpe_chunks, chat_format, exact_dedup, packing, quality_rules, token_files, url_reputation
-from .common import table
+from . import bpe_chunks, chat_format, exact_dedup, language_id, packing, quality_rules, token_files, toxicity, url_reputation
+from .common import crc32_mod, table
 from .url_reputation import Rule
 
 # Fixed values of the contract.
@@ -20,6 +20,19 @@ RULES = [
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    found = toxicity.score(docs, model)
+    return found.select(
+        "doc_id",
+        (crc32_mod(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        "predicted",
+        F.size("passages").alias("n_passages"),
+    )
+
+
 def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     extra = spark.range(0, 2).select(
         F.lit(-7).cast("long").alias("conv_id"),
@@ -62,6 +75,15 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language_id.fit(docs)
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id", (crc32_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op6_bpe_chunks(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return bpe_chunks.digest(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -235,8 +257,10 @@ window w as (partition by text_sha256)
 """
 
 LLM_REGISTRY = {
+    "op1_toxicity": (op1_toxicity, None),
     "op2_chat_format": (op2_chat_format, OP2_SQL),
     "op3_best_fit_packing": (op3_best_fit_packing, None),
+    "op5_language_id": (op5_language_id, None),
     "op6_bpe_chunks": (op6_bpe_chunks, None),
     "op8_token_files": (op8_token_files, None),
     "op7_url_filter": (op7_url_filter, OP7_SQL),
