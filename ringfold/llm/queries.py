@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.lineage import scratch_path, written
-from . import bpe_chunks, chat_format, exact_dedup, language_id, packing, quality_rules, token_files, toxicity, url_reputation
+from . import bpe_chunks, chat_format, exact_dedup, language_id, near_dedup, packing, quality_rules, token_files, toxicity, url_reputation
 from .common import crc32_mod, table
 from .url_reputation import Rule
 
@@ -75,6 +75,11 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return near_dedup.classes(docs)
+
+
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = language_id.fit(docs)
@@ -260,6 +265,7 @@ LLM_REGISTRY = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_chat_format": (op2_chat_format, OP2_SQL),
     "op3_best_fit_packing": (op3_best_fit_packing, None),
+    "op4_near_dedup": (op4_near_dedup, None),
     "op5_language_id": (op5_language_id, None),
     "op6_bpe_chunks": (op6_bpe_chunks, None),
     "op8_token_files": (op8_token_files, None),
