@@ -1,10 +1,10 @@
 """Exact subword encoding inside tasks, with a memory for words.
 
 Both supported kinds of tokenizer cut a text to words by a pattern before any
-merge, so the ids of a text are the ids of its words in a row. A word is encoded
-by the tokenizers library when it is first met and then remembered; a text with
-characters for which the standard library's patterns might differ from the
-tokenizer's own is given to the tokenizers library whole.
+merge, so the ids of a text are the ids of its words in a row. A word is merged
+by the tokenizers library's model when it is first met and then remembered; a
+text with characters for which the standard library's patterns might differ from
+the tokenizer's own is given to the tokenizers library whole.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 
 # Remembered words per Python worker; beyond it the memory starts anew.
-WORDS = 400_000
+WORDS = 600_000
 # Characters outside: no marks, no separators but ASCII white space, no
 # numerals but 0-9, so categories agree between all pattern libraries.
 UNUSUAL = re.compile(
@@ -27,6 +28,12 @@ SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 # The frequent alternative goes first; it starts with other characters than SHORT.
 WORD = re.compile(rf"[^\W\d_]+|{SHORT}|\d|(?:[^\w\s]|_)+")
 SPACED = re.compile(rf" ?[^\W\d_]+|{SHORT}| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+# Byte-level tokenizers write each byte as a printable character: itself where
+# it is one in Latin-1, else the next free character from 256 on.
+PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {
+    b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in set(PLAIN))
+}
 
 
 class Encoder:
@@ -44,6 +51,7 @@ class Encoder:
         added = [t["content"] for t in settings["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.spaced = settings["pre_tokenizer"]["type"] == "ByteLevel"
+        self.model = self.whole.model
         self.known: dict[str, bytes] = {}
         self.joined = settings["decoder"] is None
         if self.joined:
@@ -62,16 +70,22 @@ class Encoder:
         found = self.whole.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def word(self, word: str) -> bytes:
+        """The ids of one word by the tokenizer's own merges."""
+        if word.isascii() and word[-1] > " ":  # only a leading space is written otherwise
+            spelled = BYTES[32] + word[1:] if word[0] == " " else word
+        else:
+            spelled = word.encode().decode("latin-1").translate(BYTES)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.words(t) for t in texts]
         if len(self.known) > WORDS:
             self.known.clear()
         known = self.known
-        new = list(set().union(*filter(None, split)).difference(known))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            known.update(zip(part, self.library(part)))
+        for w in set().union(*filter(None, split)).difference(known):
+            known[w] = self.word(w)
         return [
             self.library([t])[0] if ws is None else b"".join(map(known.__getitem__, ws))
             for t, ws in zip(texts, split)
