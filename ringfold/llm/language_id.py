@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import crc32_mod, packed, unpacked
+from .subword import blocks
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
 # Labelled rows that the fit reads, about.
 MAX_ROWS = 12_000
 # Unseen words whose scores a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 SMOOTHING = 0.5
 UNKNOWN = "und"
 
@@ -62,8 +63,8 @@ class Model:
                 return np.mean(found, axis=0)
         return np.zeros(len(self.langs))
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        split = [words_of(t) if t else [] for t in texts]
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        split = [words_of(t) for t in texts]
         if len(self.known) > len(self.words) + REMEMBERED:
             self.forget()
         new = list(set().union(*split).difference(self.known))
@@ -181,7 +182,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def told(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for column in texts:
-            langs, scores = m.predict(column.to_pylist())
+            texts = [t or "" for t in column.to_pylist()]
+            langs, scores = [], []
+            for i, j in blocks(texts):
+                found = m.predict(texts[i:j])
+                langs += found[0]
+                scores += found[1]
             yield pa.StructArray.from_arrays(
                 [pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                 ["lang_pred", "score"],
