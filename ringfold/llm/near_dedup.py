@@ -8,12 +8,12 @@ sets. Arrivals are made in rounds and a shingle stops once its next arrival is
 later than the last component's, so long texts cost little more than their size.
 
 Texts of the same weighted set form a class with one representative. Bands of
-the signatures bring representatives together in buckets. In rounds, each bucket
-compares its members with a few centres (four times as many in each round), by
-signature first and then exactly, and links join components. A bucket is done
-when its members are in one component or have all been centres, so every pair of
-a bucket that could still join two components is compared, without listing the
-pairs of a bucket whose members are joined already.
+the signatures bring representatives together in buckets. Each bucket compares
+its members with its smallest one, by signature first and then exactly, and links
+join components. That settles buckets of near copies alone. In the buckets that
+still have several components, members of different ones are compared block by
+block inside tasks which return links only, so no link of a bucket is lost and
+the pairs of a group are never listed.
 """
 
 from __future__ import annotations
@@ -31,11 +31,13 @@ from .common import packed, unpacked
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
-# A pair goes to exact comparison if its signatures agree in this share: five
+# A pair goes to exact comparison if its signatures agree in this share: four
 # standard errors of 120 components below the least similarity.
-ESTIMATE = 0.6
+ESTIMATE = 0.65
+# Members of a bucket in one block of the comparison across components.
+BLOCK = 512
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-WORDS = 500_000
+WORDS = 250_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -126,8 +128,8 @@ def prints(df: DataFrame, text: str, key: str, bands: int = BANDS, rows: int = R
                     e, c = np.unique(s, return_counts=True)
                     sets.append((e, weights(c)))
                 signs = prob_minhash(sets, size)
-                keys = banded(signs, bands, rows).view(np.int64)
                 small = (signs >> np.uint64(32)).astype("<u4")
+                keys = banded(small.astype(np.uint64), bands, rows).view(np.int64)
                 some = [len(s) > 0 for s in own]
                 yield pa.record_batch(
                     [
@@ -233,78 +235,117 @@ def components(seen: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
 
     ``seen`` has the representatives' id, sign, buckets and bag.
     """
-    each = seen.select("id", F.explode("buckets").alias("bucket"))
+    each = seen.select("id", F.posexplode("buckets").alias("band", "bucket"))
     # written, so that the join has two exchanges and a hot bucket can be split
-    shared = written(each.groupBy("bucket").count().where("count > 1").select("bucket"), "shared")
-    active = written(each.join(shared, "bucket"), "buckets")
-    comps = written(active.select("id", F.col("id").alias("comp")).distinct(), "comps")
+    shared = written(
+        each.groupBy("bucket")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("centre"))
+        .where("n > 1"),
+        "shared",
+    )
+    members = written(each.join(shared, "bucket"), "buckets")
+    comps = written(members.select("id", F.col("id").alias("comp")).distinct(), "comps")
     sets = written(seen.select("id", "sign", "bag").join(comps.select("id"), "id", "left_semi"), "sets")
-    done = None
-    centres_per_bucket = 1
-    while True:
-        # buckets whose members are in one component are done
-        told = written(active.join(comps, "id"), "told")
-        open_ = written(
-            told.groupBy("bucket")
-            .agg(
-                F.count(F.lit(1)).alias("n"),
-                F.min("id").alias("low"),
-                F.min("comp").alias("c0"),
-                F.max("comp").alias("c1"),
-            )
-            .where("c0 <> c1")
-            .select("bucket", "n", "low"),
-            "open",
-        )
-        if open_.isEmpty():
-            return comps
-        part = F.pmod(F.xxhash64("id", "bucket", F.lit(centres_per_bucket)), F.lit(1_000_000)) / 1_000_000
-        centre = (F.col("id") == F.col("low")) | (part * F.col("n") < centres_per_bucket - 1)
-        marked = written(
-            told.join(open_, "bucket").select("bucket", "id", "comp", centre.alias("centre")), "marked"
-        )
-        centres = marked.where("centre").select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca"))
-        pairs = (
-            marked.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"))
-            .join(centres, "bucket")
-            .where("ca <> cb")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .distinct()
-        )
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        done = pairs if done is None else done.unionByName(pairs)
-        links = written(_linked(pairs, sets, threshold), "links")
-        comps = merged(comps, links)
-        # a member that was a centre has been compared with all of its bucket
-        active = marked.where("not centre").select("bucket", "id")
-        centres_per_bucket *= 4
+    pairs = (
+        members.where("id <> centre")
+        .select(F.col("centre").alias("a"), F.col("id").alias("b"))
+        .distinct()
+    )
+    comps = merged(comps, written(_linked(written(pairs, "pairs"), sets, threshold), "links"))
+    return merged(comps, written(_crossed(members, comps, sets, threshold), "links"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) that are similar: by signature, then exactly."""
     sign = sets.select(F.col("id").alias("a"), F.col("sign").alias("sa"))
     other = sets.select(F.col("id").alias("b"), F.col("sign").alias("sb"))
-    near = (
-        pairs.join(sign, "a").join(other, "b")
-        .withColumn("est", F.arrow_udf(_alike, "double")("sa", "sb"))
-        .where(F.col("est") >= ESTIMATE)
-        .select("a", "b")
+    near = written(
+        pairs.join(other, "b")
+        .join(sign, "a")
+        .where(F.arrow_udf(_alike, "double")("sa", "sb") >= ESTIMATE)
+        .select("a", "b"),
+        "near",
     )
-    near = written(near, "near")
     # members first: each pair then carries its member's shingles to the centre,
     # whose own are not repeated before the last join
     bag = sets.select(F.col("id").alias("a"), F.col("bag").alias("ba"))
     other = sets.select(F.col("id").alias("b"), F.col("bag").alias("bb"))
     return (
-        near.join(other, "b").join(bag, "a")
-        .withColumn("sim", F.arrow_udf(_similar, "double")("ba", "bb"))
-        .where(F.col("sim") >= threshold)
-        .select("a", "b", "sim")
+        near.join(other, "b")
+        .join(bag, "a")
+        .where(F.arrow_udf(_similar, "double")("ba", "bb") >= threshold)
+        .select("a", "b")
     )
 
 
+def _crossed(members: DataFrame, comps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between members of one bucket and different components.
+
+    A bucket of one component needs no comparison. The others are cut into
+    blocks of about ``BLOCK`` members and each pair of blocks is one unit, which
+    compares signatures, then shingles, and returns links alone. A pair is
+    compared exactly in the first bucket it shares.
+    """
+    told = written(members.select("id", "band", "bucket").join(comps, "id"), "told")
+    open_ = written(
+        told.groupBy("bucket")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+        .where("c0 <> c1")
+        .select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")),
+        "open",
+    )
+    rows = told.join(open_, "bucket").withColumn(
+        "mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    )
+    rows = rows.select(
+        "id", "band", "bucket", "comp", "mine",
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
+    ).select(
+        "id", "band", "bucket", "comp", "mine",
+        F.least("mine", "other").alias("lo"),
+        F.greatest("mine", "other").alias("hi"),
+    )
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def unit(group: pa.Table) -> pa.Table:
+        a, b = _unit_links(group, threshold)
+        own = group.column("id").combine_chunks()
+        return pa.table([own.take(pa.array(a, pa.int64())), own.take(pa.array(b, pa.int64()))], ["a", "b"])
+
+    return (
+        rows.join(sets, "id")
+        .groupBy("bucket", "lo", "hi")
+        .applyInArrow(unit, f"a {kind}, b {kind}")
+        .distinct()
+    )
+
+
+def _unit_links(group: pa.Table, threshold: float) -> tuple[list[int], list[int]]:
+    """Positions of the linked pairs of a unit. Every pair of two components has
+    a member outside the most frequent one, so only those are compared."""
+    n = group.num_rows
+    comp = np.unique(group.column("comp").to_numpy(), return_inverse=True)[1]
+    sign = np.frombuffer(b"".join(group.column("sign").to_pylist()), "<u4").reshape(n, BANDS, -1)
+    bags = group.column("bag").to_pylist()
+    mine = group.column("mine").to_numpy()
+    band = group.column("band")[0].as_py()
+    two = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
+    few = comp != np.bincount(comp).argmax()
+    todo = np.ones(n, bool)
+    a, b = [], []
+    for i in np.flatnonzero(few).tolist():
+        todo[i] = False
+        with_ = np.flatnonzero((todo | ~few) & (comp != comp[i]) & ((mine != mine[i]) | (not two)))
+        same = sign[with_] == sign[i]
+        near = same.mean(axis=(1, 2)) >= ESTIMATE
+        first = same[near].all(axis=2).argmax(axis=1) == band
+        for j in with_[near][first].tolist():
+            if similarity(bags[i], bags[j]) >= threshold:
+                a.append(i)
+                b.append(j)
+    return a, b
+
+
 def classes(
     df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = SIMILARITY
 ) -> DataFrame:
