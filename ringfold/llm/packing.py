@@ -112,6 +112,8 @@ def histogram(df: DataFrame, column: str) -> dict[int, int]:
 
 def configurations(sizes: list[int], capacity: int) -> np.ndarray:
     """All ways to put sizes larger than a quarter into one sequence."""
+    if not sizes:
+        return np.zeros((0, 0), np.int64)
     found = []
     for many in (1, 2, 3):
         for pick in combinations_with_replacement(range(len(sizes)), many):
