@@ -9,16 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.lineage import written
+
 Y, S = "y_true", "y_score"
 BUCKETS = 256
 
 
-def _score_edges(scored: DataFrame, buckets: int) -> list[float]:
-    """Bucket edges at approximate quantiles: a fixed number of values."""
-    shares = [i / buckets for i in range(1, buckets)]
-    if not shares:
-        return []
-    return sorted(set(scored.approxQuantile(S, shares, 0.5 / buckets)))
+def wide(count: Column | str) -> Column:
+    """A count that can be multiplied by another without overflow."""
+    return (F.col(count) if isinstance(count, str) else count).cast("decimal(19,0)")
 
 
 def score_groups(
@@ -26,20 +25,35 @@ def score_groups(
 ) -> DataFrame:
     """One row per distinct score with its counts, the counts of all higher
     scores (``pos_above``, ``neg_above``), of the next lower score, and totals.
+
+    Buckets lie between approximate quantiles of each key's own scores. Both the
+    bucketed scores and the result are written once, as all metrics read them.
     """
     keys = keys or []
     is_pos = F.col(Y).cast("int")
-    groups = scored.groupBy(*keys, S).agg(
-        F.sum(is_pos).cast("long").alias("pos"),
-        F.sum(1 - is_pos).cast("long").alias("neg"),
+    counted = written(
+        scored.groupBy(*keys, S).agg(
+            F.sum(is_pos).cast("long").alias("pos"),
+            F.sum(1 - is_pos).cast("long").alias("neg"),
+        ),
+        "scores",
     )
-    edges = F.array(*[F.lit(e) for e in _score_edges(scored, buckets)]).cast(
-        "array<double>"
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)]).cast("array<double>")
+    edges = (
+        F.percentile_approx(S, shares, 4 * buckets)
+        if buckets > 1
+        else F.array().cast("array<double>")
     )
-    score = F.col(S)
-    groups = groups.withColumn(
-        "_bucket", F.size(F.filter(edges, lambda e: e > score))
+    found = counted.groupBy(*keys).agg(edges.alias("_edges"))
+    told = (
+        counted.join(found, keys)
+        if keys
+        else counted.withColumn("_edges", found.scalar())
     )
+    higher = F.transform(
+        F.array(F.col(S)), lambda s: F.size(F.filter("_edges", lambda e: e > s))
+    )[0]
+    groups = written(told.withColumn("_bucket", higher).drop("_edges"), "buckets")
     heads = groups.groupBy(*keys, "_bucket").agg(
         F.sum("pos").alias("_bp"),
         F.sum("neg").alias("_bn"),
@@ -61,22 +75,25 @@ def score_groups(
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)
     joined = groups.join(heads, [*keys, "_bucket"])
-    return joined.select(
-        *keys,
-        F.col(S).alias("threshold"),
-        "pos",
-        "neg",
-        (F.col("_p0") + F.coalesce(F.sum("pos").over(earlier), zero)).alias(
-            "pos_above"
-        ),
-        (F.col("_n0") + F.coalesce(F.sum("neg").over(earlier), zero)).alias(
-            "neg_above"
+    return written(
+        joined.select(
+            *keys,
+            F.col(S).alias("threshold"),
+            "pos",
+            "neg",
+            (F.col("_p0") + F.coalesce(F.sum("pos").over(earlier), zero)).alias(
+                "pos_above"
+            ),
+            (F.col("_n0") + F.coalesce(F.sum("neg").over(earlier), zero)).alias(
+                "neg_above"
+            ),
+            F.coalesce(
+                F.lead(F.struct("pos", "neg")).over(inside), F.col("_next_head")
+            ).alias("next"),
+            "p_all",
+            "n_all",
         ),
-        F.coalesce(
-            F.lead(F.struct("pos", "neg")).over(inside), F.col("_next_head")
-        ).alias("next"),
-        "p_all",
-        "n_all",
+        "roc",
     )
 
 
@@ -135,7 +152,7 @@ def optimal_threshold(
         points = points.filter(F.col("tpr") >= float(min_sensitivity))
     elif min_specificity is not None:
         points = points.filter(1 - F.col("fpr") >= float(min_specificity))
-    gain = F.col("tp") * F.col("n_all") - F.col("fp") * F.col("p_all")
+    gain = wide("tp") * wide("n_all") - wide("fp") * wide("p_all")
     best = F.max_by(
         F.struct("threshold", "tp", "fp", "p_all", "n_all", "tpr", "fpr"),
         F.struct(gain, F.col("threshold")),
@@ -172,9 +189,10 @@ def confusion_above(
 def roc_auc(groups: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Area by trapezoids: each distinct score adds its own."""
     keys = keys or []
-    twice = F.col("neg") * (2 * F.col("pos_above") + F.col("pos"))
+    twice = wide("neg") * wide(2 * wide("pos_above") + wide("pos"))
+    pairs = wide(F.max("p_all")) * wide(F.max("n_all"))
     return groups.groupBy(*keys).agg(
-        F.try_divide(F.sum(twice) / 2, F.max("p_all") * F.max("n_all")).alias("auc")
+        F.try_divide(F.sum(twice).cast("double") / 2, pairs.cast("double")).alias("auc")
     )
 
 

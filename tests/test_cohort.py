@@ -2,7 +2,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ringfold.functions.skew import small_side
 from ringfold.operators import calibration, cluster, evaluate, patients, split
 from ringfold.sources import containers
 
@@ -162,10 +161,22 @@ def test_calibration_text(spark):
     assert calibration.parse_text(bad).first()["distance_m"] is None
 
 
-def test_small_side_checks_its_bound(spark):
-    df = spark.range(50).withColumnRenamed("id", "k")
-    plain = small_side(df, 10)
-    assert plain is df
-    hinted = small_side(df, 50)
-    plan = spark.range(5).join(hinted, F.col("id") == F.col("k"))
-    assert "Broadcast" in plan._jdf.queryExecution().executedPlan().toString()
+def test_roc_of_two_columns_sorted(spark, tmp_path):
+    df = scored(spark, [0, 1, 1, 0, 1], [0.2, 0.9, 0.4, 0.4, 0.1])
+    path = str(tmp_path / "scored")
+    df.write.parquet(path)
+    for rows in (df, spark.read.parquet(path)):
+        points = evaluate.roc_curve(rows).orderBy(F.desc("threshold")).collect()
+        assert [(r["tp"], r["fp"]) for r in points] == [(0, 0), (1, 0), (2, 1), (2, 2), (3, 2)]
+
+
+def test_counts_beyond_four_billion(spark):
+    """Four billion rows of each class: the curve of counts, without the rows."""
+    many = 4_000_000_000
+    groups = spark.createDataFrame(
+        [(0.9, many, 0, 0, 0, (0, many), many, many), (0.1, 0, many, many, 0, None, many, many)],
+        "threshold double, pos long, neg long, pos_above long, neg_above long,"
+        "next struct<pos:long,neg:long>, p_all long, n_all long",
+    )
+    assert evaluate.roc_auc(groups).first()[0] == 1.0
+    assert evaluate.optimal_threshold(evaluate.roc_points(groups)).first()["threshold"] == 0.9
