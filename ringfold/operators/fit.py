@@ -24,6 +24,8 @@ from .terms import TermSum
 SSE_DIGITS = 9
 # Weight of a point inside a cut-off range: an uncertainty of 1e6.
 CUT_WEIGHT = 1e-12
+# Passes over the linear parameters where a bound binds.
+PASSES = 25
 
 
 def _slots(model: TermSum) -> list[dict]:
@@ -79,6 +81,51 @@ def _sums(rows: DataFrame, m: int, shapes: int, y: str) -> DataFrame:
     return rows.groupBy(ID, "cand").agg(*aggregates)
 
 
+def _bounded(bounds: list[tuple[float, float]]) -> Column:
+    """The solution within bounds, as an array.
+
+    Where the free solution (_a0, _a1, ...) breaks a bound, one parameter after
+    the other is minimized within its bounds over the same sums. The problem is
+    convex, so the passes lead to its minimum; once the parameters at a bound
+    are found, the others settle.
+    """
+    m = len(bounds)
+    free = F.array(*[F.col(f"_a{j}") for j in range(m)])
+    low = F.array(*[F.lit(float(a)) for a, _ in bounds])
+    high = F.array(*[F.lit(float(b)) for _, b in bounds])
+
+    def clamp(value: Column, i: Column) -> Column:
+        return F.greatest(F.get(low, i), F.least(F.get(high, i), value))
+
+    products = F.array(
+        *[
+            F.array(*[F.col(f"g{max(i, j)}_{min(i, j)}") for j in range(m)])
+            for i in range(m)
+        ]
+    )
+    right = F.array(*[F.col(f"r{i}") for i in range(m)])
+    start = F.transform(free, clamp)
+
+    def improved(values: Column, step: Column) -> Column:
+        def one(v: Column, i: Column) -> Column:
+            row = F.get(products, i)
+            own = F.get(row, i)
+            taken = F.aggregate(
+                F.zip_with(row, values, lambda g, a: g * a), F.lit(0.0), lambda s, x: s + x
+            )
+            better = F.try_divide(F.get(right, i) - taken + own * v, own)
+            return F.when(i == step % m, F.coalesce(clamp(better, i), v)).otherwise(v)
+
+        return F.transform(values, one)
+
+    steps = F.sequence(F.lit(0), F.lit(PASSES * m - 1))
+    inside = F.forall(
+        F.sequence(F.lit(0), F.lit(m - 1)),
+        lambda i: F.get(free, i).between(F.get(low, i), F.get(high, i)),
+    )
+    return F.when(inside, free).otherwise(F.aggregate(steps, start, improved))
+
+
 def _solve(sums: DataFrame, bounds: list[tuple[float, float]]) -> DataFrame:
     """Linear parameters a0, a1, ... and ``sse`` by triangular factorization of
     the normal equations. A direction without weight of its own gets 0."""
@@ -111,15 +158,9 @@ def _solve(sums: DataFrame, bounds: list[tuple[float, float]]) -> DataFrame:
             [F.col(f"l{i}_{j}") * F.col(f"_a{i}") for i in range(j + 1, m)]
         )
         df = df.withColumn(f"_a{j}", F.coalesce(solved, F.lit(0.0)))
-    clamped = {}
-    for j, (low, high) in enumerate(bounds):
-        value = F.col(f"_a{j}")
-        if low > -math.inf:
-            value = F.greatest(value, F.lit(low))
-        if high < math.inf:
-            value = F.least(value, F.lit(high))
-        clamped[f"a{j}"] = value
-    df = df.withColumns(clamped)
+    df = df.withColumn("_in", _bounded(bounds)).withColumns(
+        {f"a{j}": F.get("_in", F.lit(j)) for j in range(m)}
+    )
     sse = F.col("yy") - 2 * total([F.col(f"a{i}") * F.col(f"r{i}") for i in range(m)])
     for i in range(m):
         for j in range(i + 1):
@@ -221,15 +262,19 @@ def fit(
         solved = _solve(_sums(tried, len(bounds), len(shapes), "_y"), bounds)
         keep = [f"s{j}" for j in range(len(shapes))]
         keep += [f"a{i}" for i in range(len(bounds))] + ["sse"]
-        usable = solved.filter(F.col("sse").isNotNull() & ~F.isnan("sse"))
+        # candidates without a finite result come last; filtering them before the
+        # aggregation would push the whole solution into the filter as well
+        none = F.col("sse").isNull() | F.isnan("sse")
         best = (
-            usable.groupBy(ID)
+            solved.groupBy(ID)
             .agg(
                 F.min_by(
-                    F.struct(*keep), F.struct(F.round("sse", SSE_DIGITS), F.col("cand"))
+                    F.struct(*keep),
+                    F.struct(none, F.round("sse", SSE_DIGITS), F.col("cand")),
                 ).alias("_b")
             )
             .select(ID, "_b.*")
+            .filter(F.col("sse").isNotNull() & ~F.isnan("sse"))
         )
         half = [h * 2.0 / (grid - 1) for h in half]
     return _named(best, model, slots)
@@ -316,8 +361,11 @@ def condition(
 
     @F.pandas_udf("double")
     def conditioned(flat: pd.Series) -> pd.Series:
-        matrices = [np.array(v, dtype=float).reshape(count, count) for v in flat]
-        return pd.Series([float(np.linalg.cond(m)) for m in matrices])
+        stacked = np.stack([np.asarray(v, dtype=float) for v in flat]) if len(flat) else np.zeros((0, count * count))
+        finite = np.isfinite(stacked).all(axis=1)
+        out = np.full(len(stacked), np.nan)
+        out[finite] = np.linalg.cond(stacked[finite].reshape(-1, count, count))
+        return pd.Series(out)
 
     return (
         joined.groupBy(ID)

@@ -10,7 +10,7 @@ from ..operators import fit, terms
 from ..operators.terms import Parameter
 from ..sources import adapters
 from .images import ID
-from .oracle import with_tables
+from .oracle import NUDGE, with_tables
 
 ANY = Parameter(1.0)
 
@@ -119,14 +119,14 @@ MODEL = terms.TermSum(
         terms.ConstantBackground(Parameter(0.0, -5.0, 5.0)),
     )
 )
-GRID = 7
+GRID, ROUNDS = 9, 4
 
 
 def _fit_rows(df, count):
     return df.select(
         ID,
         *[
-            tidy(F.get("fit_params_all", F.lit(i))).alias(f"p{i}")
+            tidy(F.get("fit_params_all", F.lit(i)) + NUDGE).alias(f"p{i}")
             for i in range(count)
         ],
         tidy("sse").alias("sse"),
@@ -135,14 +135,14 @@ def _fit_rows(df, count):
 
 def fit_grid(spark, d):
     fitted = fit.fit(
-        adapters.peaked_profiles(spark, d), MODEL, grid=GRID, rounds=2
+        adapters.peaked_profiles(spark, d), MODEL, grid=GRID, rounds=ROUNDS
     )
     return _fit_rows(fitted, 4)
 
 
 def fit_curve(spark, d):
     rows = adapters.peaked_profiles(spark, d)
-    fitted = fit.fit(rows, MODEL, grid=GRID, rounds=2)
+    fitted = fit.fit(rows, MODEL, grid=GRID, rounds=ROUNDS)
     return fit.fitted_curve(rows, fitted, MODEL).select(
         ID,
         F.col("pos").cast("long").alias("pos"),
@@ -151,39 +151,60 @@ def fit_curve(spark, d):
 
 
 def _gauss_rounds() -> str:
-    solve = """
-, s{r} as (
+    """The grid rounds in SQL. Within bounds, the best amplitude and constant
+    are the free solution if it is allowed, else the best point of the four
+    edges of the allowed rectangle."""
+    sse = "yy - 2 * {a} * r1 - 2 * {k} * r2 + {a} * {a} * g11 + {k} * {k} * g22 + 2 * {a} * {k} * g12"
+    edge_k = "greatest(-5, least(5, (r2 - {a} * g12) / g22))"
+    edge_a = "greatest(0, least(10, (r1 - ({k}) * g12) / g11))"
+    points = [("0::double", edge_k.format(a=0)), ("10::double", edge_k.format(a=10))]
+    points += [(edge_a.format(k=k), f"{k}::double") for k in (-5, 5)]
+    edges = ", ".join(f"{{'a': {a}, 'k': {k}}}" for a, k in points)
+    solve = f"""
+, s{{r}} as (
     select measurement_id, cand, c, s, sum(b * b) as g11, sum(b) as g12, count(*) as g22,
            sum(b * intensity) as r1, sum(intensity) as r2, sum(intensity ** 2) as yy
-    from t{r} group by all)
-, a{r} as (
-    select *, greatest(0, least(10, (r1 * g22 - r2 * g12) / (g11 * g22 - g12 * g12))) as amp,
-           greatest(-5, least(5, (r2 * g11 - r1 * g12) / (g11 * g22 - g12 * g12))) as k from s{r})
-, e{r} as (
-    select *, greatest(0, yy - 2 * amp * r1 - 2 * k * r2 + amp * amp * g11 + k * k * g22
-                          + 2 * amp * k * g12) as sse from a{r})
-, w{r} as (
+    from t{{r}} group by all)
+, f{{r}} as (
+    select *, (r1 * g22 - r2 * g12) / (g11 * g22 - g12 * g12) as fa,
+           (r2 * g11 - r1 * g12) / (g11 * g22 - g12 * g12) as fk from s{{r}})
+, p{{r}} as (
+    select *, unnest(case when fa between 0 and 10 and fk between -5 and 5
+                     then [{{{{'a': fa, 'k': fk}}}}]
+                     else [{edges.replace("{", "{{").replace("}", "}}")}] end) as pt from f{{r}})
+, a{{r}} as (
+    select measurement_id, cand, any_value(c) as c, any_value(s) as s,
+           arg_min(pt.a, {sse.format(a="pt.a", k="pt.k")}) as amp,
+           arg_min(pt.k, {sse.format(a="pt.a", k="pt.k")}) as k,
+           greatest(0, min({sse.format(a="pt.a", k="pt.k")})) as sse
+    from p{{r}} group by measurement_id, cand)
+, w{{r}} as (
     select * from (select *, row_number() over (partition by measurement_id
-                       order by round(sse, 9), cand) as rn from e{r}) where rn = 1)
+                       order by round(sse, 9), cand) as rn from a{{r}}) where rn = 1)
 """
-    first = """
-, o as (select i * 7 + j as cand, 2.0::double * i / 6 - 1 as oc, 2.0::double * j / 6 - 1 as os
-        from range(0, 7) a(i), range(0, 7) b(j))
+    last = GRID - 1
+    text = f"""
+, o as (select i * {GRID} + j as cand, 2.0::double * i / {last} - 1 as oc, 2.0::double * j / {last} - 1 as os
+        from range(0, {GRID}) a(i), range(0, {GRID}) b(j))
 , t1 as (
     select p.*, cand, c, s, exp(-(((q - c) / s) ** 2) / 2) as b from peaked p, (
         select cand, greatest(1, least(6, 3.5::double + oc * 2.5)) as c,
                greatest(0.1::double, least(1.5::double, 0.8::double + os * 0.7::double)) as s from o
-        union all select 49, 2.5, 0.4::double) g)
-"""
-    second = """
-, t2 as (
-    select p.*, o.cand, greatest(1, least(6, w1.c + oc * (2.5::double * 2 / 6))) as c,
-           greatest(0.1::double, least(1.5::double, w1.s + os * (0.7::double * 2 / 6))) as s,
-           exp(-(((q - greatest(1, least(6, w1.c + oc * (2.5::double * 2 / 6))))
-                 / greatest(0.1::double, least(1.5::double, w1.s + os * (0.7::double * 2 / 6)))) ** 2) / 2) as b
-    from peaked p join w1 using (measurement_id) cross join o)
-"""
-    return first + solve.format(r=1) + second + solve.format(r=2)
+        union all select {GRID * GRID}, 2.5, 0.4::double) g)
+""" + solve.format(r=1)
+    half_c, half_s = "2.5::double", "0.7::double"
+    for r in range(2, ROUNDS + 1):
+        half_c, half_s = f"({half_c} * 2.0::double / {last})", f"({half_s} * 2.0::double / {last})"
+        text += f"""
+, h{r} as (
+    select w.measurement_id, o.cand, greatest(1, least(6, w.c + oc * {half_c})) as c,
+           greatest(0.1::double, least(1.5::double, w.s + os * {half_s})) as s
+    from w{r - 1} w cross join o)
+, t{r} as (
+    select p.*, h.cand, h.c, h.s, exp(-(((q - h.c) / h.s) ** 2) / 2) as b
+    from peaked p join h{r} h using (measurement_id))
+""" + solve.format(r=r)
+    return text
 
 
 CUT = [(1.0, 1.75)]
@@ -227,7 +248,8 @@ FIT_CUTOFF = with_tables(
     select *, greatest(0, yy - 2 * amp * bys + amp * amp * bb) as sse from e)
 , x as (
     select *, row_number() over (partition by measurement_id order by round(sse, 9), cand) as rn from r)
-select measurement_id, round(amp, 6) as p0, round(c, 6) as p1, round(s, 6) as p2, round(sse, 6) as sse
+select measurement_id, round(amp + 3.3e-9, 6) as p0, round(c + 3.3e-9, 6) as p1,
+       round(s + 3.3e-9, 6) as p2, round(sse, 6) as sse
 from x where rn = 1""",
 )
 
@@ -329,8 +351,9 @@ QUERIES = {
         with_tables(
             "peaked",
             _gauss_rounds()
-            + """select measurement_id, round(amp, 6) as p0, round(c, 6) as p1, round(s, 6) as p2,
-                        round(k, 6) + 0.0 as p3, round(sse, 6) as sse from w2""",
+            + f"""select measurement_id, round(amp + {NUDGE}, 6) as p0, round(c + {NUDGE}, 6) as p1,
+                        round(s + {NUDGE}, 6) as p2, round(k + {NUDGE}, 6) + 0.0 as p3,
+                        round(sse, 6) as sse from w4""",
         ),
     ),
     "fit_curve": (
@@ -339,7 +362,7 @@ QUERIES = {
             "peaked",
             _gauss_rounds()
             + """select measurement_id, pos, round(amp * exp(-(((q - c) / s) ** 2) / 2) + k, 6) as fitted_curve
-                 from profiles join w2 using (measurement_id)""",
+                 from profiles join w4 using (measurement_id)""",
         ),
     ),
     "fit_cutoff": (fit_cutoff, FIT_CUTOFF),

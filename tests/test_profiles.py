@@ -226,3 +226,22 @@ def test_prepare_repairs_images(spark):
     assert row[0]["measurement_data"] == [[0.0, 1.0], [1.7976931348623157e308, 0.0]]
     assert "ponifile" not in clean.prepare(df, columns, no_poni=True).columns
     assert columns[-1] == "ponifile"
+
+
+def test_bound_that_binds_moves_the_other_parameter(spark):
+    """A dip cannot be fitted with a positive amplitude: the constant alone is
+    then the mean, not what it was beside the negative amplitude."""
+    q = 0.1 * np.arange(1, 65)
+    y = 3.0 - 2.0 * np.exp(-(((q - 3.0) / 0.5) ** 2) / 2)
+    model = terms.TermSum(
+        (
+            terms.GaussianPeak(
+                terms.Parameter(1.0, 0.0, 10.0), terms.Parameter(3.0, 2.9, 3.1), terms.Parameter(0.5, 0.4, 0.6)
+            ),
+            terms.ConstantBackground(terms.Parameter(0.0, -5.0, 5.0)),
+        )
+    )
+    row = fit.fit(profile_frame(spark, {1: y}), model, grid=3, rounds=1).first()
+    assert abs(row["fit_params_0"][0]) < 1e-9
+    assert abs(row["fit_params_1"][0] - y.mean()) < 1e-6
+    assert abs(row["sse"] - ((y - y.mean()) ** 2).sum()) < 1e-6
