@@ -1,15 +1,19 @@
-"""Joins that stay balanced when one key holds a large share of the rows,
-and the only place where data is declared small enough to broadcast."""
+"""Joins that stay balanced when one key holds a large share of the rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SALTS = 8
-# For keys that usually own few rows, where repeating the stats would dominate.
-FEW_SALTS = 4
-SMALL_ROWS = 100_000
-FEW_SPLITS = 32
+
+def all_salts(df: DataFrame) -> int:
+    """Salts that spread a hot key over a quarter of the shuffle partitions."""
+    return max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+
+
+def few_salts(df: DataFrame) -> int:
+    """For keys that usually own few rows, where repeating the stats for many
+    salts would dominate: a sixteenth of the shuffle partitions."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
 
 
 def attach(
@@ -18,16 +22,18 @@ def attach(
     keys: list[str],
     spread: list[str],
     how: str = "inner",
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join per-key ``stats`` (one row per key) back to the many ``rows``.
 
-    The rows of one key are spread over ``salts`` partitions by a hash of the
-    ``spread`` columns and the stats row is repeated for each. The salt is part
+    The rows of one key are spread over ``salts`` partitions (by default a share
+    of the shuffle partitions, so it grows with the cluster's setting) by a hash
+    of the ``spread`` columns and the stats row is repeated for each. The salt is part
     of the join key, so a later grouping on ``keys`` plans its own exchange and
     adaptive execution is free to split what is still too large.
     No broadcast is forced: the planner decides from the measured size.
     """
+    salts = salts or all_salts(rows)
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     right = stats.withColumn(
         "_salt",
@@ -36,30 +42,6 @@ def attach(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def spread_scan(df: DataFrame, key: str) -> DataFrame:
-    """Give a scan of a few splits one partition per core, up to a few dozen.
-
-    For compact inputs that cost much per row. A large table has splits enough
-    and stays as it is, without a shuffle.
-    """
-    cores = min(df.sparkSession.sparkContext.defaultParallelism, FEW_SPLITS)
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)
-
-
-def small_side(df: DataFrame, bound: int = SMALL_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only after reading it proves the bound.
-
-    At most ``bound + 1`` rows reach the driver. A larger table is returned as
-    it is and joins by shuffle.
-    """
-    rows = df.limit(bound + 1).collect()
-    if len(rows) > bound:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def running_total(
     df: DataFrame,
     keys: list[str],

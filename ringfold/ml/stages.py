@@ -233,11 +233,9 @@ class NormScalerModel(_ScalerModel):
         return scale.norm_scale(df, self._table(df, kinds), by)
 
 
-def _fitted(scaler: DataFrame, bound: int = 10_000) -> list[dict]:
-    """A fitted scaler on the driver: a few rows of one profile's length."""
-    rows = scaler.limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"more than {bound} kinds to scale separately")
+def _fitted(scaler: DataFrame) -> list[dict]:
+    """A fitted scaler, saved with the model: one row per kind."""
+    rows = scaler.collect()
     return [
         {"kind": str(r["kind"]), "mean": list(r["mean"]), "scale": list(r["scale"])}
         for r in rows

@@ -188,15 +188,17 @@ def bright_pixels(pixels: DataFrame, threshold: float = 3.0) -> DataFrame:
     )
 
 
-# Larger than any detector line; (row, col) packs into one number below.
-LINE = 1 << 20
+# Row and column indices are 32-bit numbers: row * LINE + col tells all pixels
+# apart and keeps the reading order.
+LINE = 1 << 32
 
 
-def label_regions(lit_pixels: DataFrame, max_rounds: int = 200) -> DataFrame:
+def label_regions(lit_pixels: DataFrame) -> DataFrame:
     """8-connected regions, labelled by their first pixel in reading order.
 
     Each round takes the smallest label among the neighbours and then follows
-    that label one step further, so labels travel in doubling strides. Every
+    that label one step further, so labels travel in doubling strides. Labels
+    only fall and are bounded, so the rounds end by themselves. Every
     pixel meets at most eight neighbours through equi-joins. The state of a
     round is written to the shared folder: plans stay short and a lost executor
     costs one round.
@@ -220,7 +222,7 @@ def label_regions(lit_pixels: DataFrame, max_rounds: int = 200) -> DataFrame:
         "regions",
     )
     labels = nodes.withColumn("label", F.col("node"))
-    for _ in range(max_rounds):
+    while True:
         seen = edges.join(
             labels.select(ID, F.col("node").alias("near"), "label"), [ID, "near"]
         ).select(ID, "node", "label", F.lit(None).cast("long").alias("own"))
@@ -244,7 +246,6 @@ def label_regions(lit_pixels: DataFrame, max_rounds: int = 200) -> DataFrame:
         labels = state.select(ID, "node", "label")
         if state.filter("changed").isEmpty():
             return labels
-    raise RuntimeError(f"regions still changing after {max_rounds} rounds")
 
 
 def beam_center(pixels: DataFrame, threshold: float = 3.0) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.skew import FEW_SALTS, attach
+from ..functions.skew import attach, few_salts
 from .integrate import ID
 
 BLOCK = 1024
@@ -40,7 +40,7 @@ def pairwise_mean_distance(
         sizes.withColumn("_blocks", blocks),
         keys,
         [ID],
-        salts=FEW_SALTS,
+        salts=few_salts(df),
     )
     rows = rows.withColumn(
         "_mine", F.pmod(F.xxhash64(ID), F.col("_blocks")).cast("int")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.skew import FEW_SALTS, attach, small_side
+from ..functions.skew import attach, few_salts
 from .integrate import FLAT, ID
 
 
@@ -82,18 +82,16 @@ def apply_scaler(
 ) -> DataFrame:
     """Standardize a column with fitted arrays; rows of a kind without a scaler
     get null. One scaler for all rows enters as a scalar subquery; a table of
-    scalers travels to the rows when its size is proven small."""
+    scalers is joined with salts, as a kind may hold any share of the rows."""
     if by is None:
         fitted = scaler.select(F.struct("mean", "scale")).scalar()
         rows = df.withColumn("_fitted", fitted)
     else:
-        kinds = small_side(
-            scaler.select(
-                F.col("kind").alias("_kind"), F.struct("mean", "scale").alias("_fitted")
-            )
+        kinds = scaler.select(
+            F.col("kind").alias("_kind"), F.struct("mean", "scale").alias("_fitted")
         )
         rows = df.withColumn("_kind", F.col(by).cast(kinds.schema["_kind"].dataType))
-        rows = rows.join(kinds, "_kind", "left").drop("_kind")
+        rows = attach(rows, kinds, ["_kind"], [ID], "left").drop("_kind")
     mean, size = F.col("_fitted.mean"), F.col("_fitted.scale")
     centered = F.zip_with(column, mean, lambda x, m: x - m)
     scaled = F.zip_with(centered, size, lambda x, s: x / s)
@@ -138,7 +136,7 @@ def model_matrix(df: DataFrame, column: str = SCALED) -> DataFrame:
     counts = df.groupBy("patient_id").agg(F.count(F.lit(1)).alias("_entries"))
     age = F.col("age").cast("double") if "age" in df.columns else F.lit(-1.0)
     return (
-        attach(df, counts, ["patient_id"], [ID], salts=FEW_SALTS)
+        attach(df, counts, ["patient_id"], [ID], salts=few_salts(df))
         .withColumn(
             "model_row",
             F.concat(

@@ -303,9 +303,7 @@ def _scored_profiles(spark, d):
 
 
 def patient_features(spark, d):
-    rows = _scored_profiles(spark, d).filter(
-        "not (patient_id % 8 = 1 and type_measurement = 'WAXS')"
-    )
+    rows = _scored_profiles(spark, d)
     out = patients.patient_features(rows, "radial_profile_data")
     return out.select(
         "patient_id",
@@ -317,7 +315,7 @@ def patient_features(spark, d):
 PATIENTS = """
 , kept as (
     select distinct measurement_id, patient_id, type_measurement as t, cancer_diagnosis, age
-    from profiles where not (patient_id % 8 = 1 and type_measurement = 'WAXS'))
+    from profiles)
 , far as (
     select a.patient_id, a.type_measurement as t, a.measurement_id as i, b.measurement_id as j,
            sqrt(sum((a.intensity - b.intensity) ** 2)) as dist

@@ -545,15 +545,16 @@ def collect_cells(spark, d):
         profile_rows, [ID], "pos", {"q": "q_range", "intensity": CURVE}
     )
     image = collect_image(adapters.pixels(spark, d), [ID], N_ROWS, N_COLS)
-    return cells.join(image, ID).select(
-        ID,
-        F.size(CURVE).cast("long").alias("n_bins"),
-        tidy(F.element_at(CURVE, 1)).alias("first_bin"),
-        tidy(F.element_at("q_range", -1)).alias("last_q"),
-        F.get(F.get("measurement_data", F.lit(3)), F.lit(7)).alias("pixel_3_7"),
-        F.aggregate(
-            F.flatten("measurement_data"), F.lit(0.0), lambda a, x: a + x
-        ).alias("total"),
+    flat = F.flatten("measurement_data")
+    both = cells.join(image, ID)
+    bins = both.select(
+        ID, F.lit("bin").alias("cell"), F.posexplode(F.arrays_zip("q_range", CURVE))
+    ).select(ID, "cell", "pos", F.col("col.q_range").alias("q"), F.col(f"col.{CURVE}").alias("value"))
+    dots = both.select(
+        ID, F.lit("pixel").alias("cell"), F.posexplode(flat).alias("pos", "value")
+    ).withColumn("q", F.lit(None).cast("double"))
+    return bins.unionByName(dots).select(
+        ID, "cell", F.col("pos").cast("long").alias("pos"), tidy("q").alias("q"), tidy("value").alias("value")
     )
 
 
@@ -565,13 +566,16 @@ COLLECT_CELLS = with_tables(
     select measurement_id, pos, avg(value) as v,
            max(q_lo) + (pos + 0.5) * (max(q_hi) - max(q_lo)) / {NPT} as q
     from binned group by measurement_id, pos)
-, sums as (
-    select measurement_id, sum(value) as total,
-           coalesce(sum(case when row_idx = 3 and col_idx = 7 then value end), 0) as pixel_3_7
-    from pixels group by 1)
-select measurement_id, count(*) as n_bins, round(arg_min(v, pos), 6) as first_bin,
-       round(arg_max(q, pos), 6) as last_q, any_value(pixel_3_7) as pixel_3_7, any_value(total) as total
-from bins join sums using (measurement_id) group by measurement_id""",
+, dense as (
+    select m.measurement_id, g.pos as pos, coalesce(p.value, 0) as value
+    from (select distinct measurement_id from bins) m
+         cross join (select unnest(range({N_ROWS} * {N_COLS})) as pos) g
+         left join pixels p on p.measurement_id = m.measurement_id
+              and p.row_idx * {N_COLS} + p.col_idx = g.pos)
+select measurement_id, 'bin' as cell, row_number() over (partition by measurement_id order by pos) - 1 as pos,
+       round(q, 6) + 0.0 as q, round(v, 6) + 0.0 as value from bins
+union all
+select measurement_id, 'pixel', pos, null, round(value::double, 6) + 0.0 from dense""",
 )
 
 QUERIES = {

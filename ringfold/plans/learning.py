@@ -15,7 +15,7 @@ from ..sources import adapters
 from .images import ID
 from .oracle import with_tables
 
-TREES, DEPTH = 10, 5
+TREES, DEPTH = 100, 10
 
 
 def _workflow() -> models.MLPipeline:

@@ -104,15 +104,15 @@ def describe_join(spark, d):
         "type_measurement",
         "age",
         F.size("radial_profile_data").cast("long").alias("n_points"),
-        tidy(F.element_at("radial_profile_data", 1)).alias("first_point"),
-    )
+        F.posexplode("radial_profile_data").alias("pos", "point"),
+    ).withColumns({"pos": F.col("pos").cast("long"), "point": tidy("point")})
 
 
 DESCRIBE_JOIN = with_tables(
     "profiles",
     """
-select measurement_id, label, type_measurement, age, n_points, round(intensity, 6) as first_point
-from profiles where pos = 0""",
+select measurement_id, label, type_measurement, age, n_points, pos, round(intensity, 6) as point
+from profiles""",
 )
 
 
@@ -373,7 +373,7 @@ def thickness_adjust(spark, d):
         F.col("ponifile"), "Distance", F.format_string("%.6f", distance)
     )
     return rows.select(
-        ID, distance.alias("distance_m"), F.substring_index(text, "\n", 3).alias("head")
+        ID, distance.alias("distance_m"), text.alias("ponifile")
     )
 
 
@@ -383,7 +383,9 @@ THICKNESS_ADJUST = with_tables(
 select measurement_id, round((700 - thickness / 2) / 1000, 6) as distance_m,
        'Detector: Detector' || chr(10)
        || 'Detector_config: {"pixel1": 0.00015, "pixel2": 0.00015}' || chr(10)
-       || 'Distance:' || printf('%.6f', (700 - thickness / 2) / 1000) as head
+       || 'Distance:' || printf('%.6f', (700 - thickness / 2) / 1000)
+       || chr(10) || string_split(ponifile, chr(10))[4] || chr(10) || string_split(ponifile, chr(10))[5]
+       || chr(10) || string_split(ponifile, chr(10))[6] as ponifile
 from measurements join calibrations using (cal_id)""",
 )
 
