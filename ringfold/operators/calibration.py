@@ -6,9 +6,6 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-NUMBER = r"\s*([0-9.eE+-]+)"
-CONFIG = r"Detector_config:\s*(\{.*\})"
-
 # The words that open a line of a calibration text, in order.
 LINE_WORDS = [
     "# Nota:",
@@ -28,29 +25,42 @@ LINE_WORDS = [
 ]
 
 
-def _number(text: Column, word: str) -> Column:
-    found = F.regexp_extract(text, word + ":" + NUMBER, 1)
-    return F.when(found != "", found.cast("double"))
+def _entries(text: Column) -> Column:
+    """The text's lines as a map from the word before the colon to the rest."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit(":")))
+    pairs = F.transform(
+        lines,
+        lambda x: F.struct(
+            F.trim(F.substring_index(x, ":", 1)).alias("key"),
+            F.trim(F.substr(x, F.locate(":", x) + 1)).alias("value"),
+        ),
+    )
+    # of lines that repeat a word, the first counts
+    keys = F.transform(pairs, lambda p: p["key"])
+    firsts = F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
+    return F.map_from_entries(firsts)
 
 
-def _config(text: Column, field: str) -> Column:
-    config = F.regexp_extract(text, CONFIG, 1)
-    return F.get_json_object(config, f"$.{field}").cast("double")
+def parse_text(df: DataFrame, text: str = "ponifile") -> DataFrame:
+    """Add the calibration columns read from the text, line by line."""
+    read = df.withColumn("_read", _entries(F.col(text)))
 
+    def number(word: str) -> Column:
+        return F.expr(f"try_cast(_read['{word}'] as double)")
 
-def parse_text(df: DataFrame, text: str = "ponifile") -> DataFrame:
-    """Add the calibration columns read from the text."""
-    t = F.col(text)
-    return df.withColumns(
+    def config(name: str) -> Column:
+        return F.get_json_object(F.col("_read")["Detector_config"], f"$.{name}").cast("double")
+
+    return read.withColumns(
         {
-            "distance_m": _number(t, "Distance"),
-            "poni1": _number(t, "Poni1"),
-            "poni2": _number(t, "Poni2"),
-            "pixel1": _config(t, "pixel1"),
-            "pixel2": _config(t, "pixel2"),
-            "wavelength_nm": _number(t, "Wavelength") * 1e9,
+            "distance_m": number("Distance"),
+            "poni1": number("Poni1"),
+            "poni2": number("Poni2"),
+            "pixel1": config("pixel1"),
+            "pixel2": config("pixel2"),
+            "wavelength_nm": number("Wavelength") * 1e9,
         }
-    )
+    ).drop("_read")
 
 
 def from_columns(df: DataFrame) -> DataFrame:

@@ -252,68 +252,57 @@ def sigma_clip(
     )
 
 
-def _wrap(angle: Column) -> Column:
-    return F.pmod(angle + 180.0, F.lit(360.0)) - 180.0
-
-
-def _span(start: Column, end: Column) -> Column:
-    return F.when(end >= start, end - start).otherwise(end + 180.0 + 180.0 - start)
+# Fixed value: the message for angles out of range.
+OUT_OF_RANGE = "The angles must be within -180 and 180 degrees range."
 
 
 def split_ranges(
     df: DataFrame, start: str = "range_start", end: str = "range_end"
 ) -> DataFrame:
-    """Angular ranges normalized to [-180, 180) and split where they cross the
-    boundary; ``weight`` is the share of the original span."""
-    s, e = F.col(start).cast("double"), F.col(end).cast("double")
-    bad = (s < -180) | (e > 180)
-    checked = F.when(
-        bad,
-        F.raise_error(
-            F.lit("The angles must be within -180 and 180 degrees range.")
-        ).cast("double"),
-    ).otherwise(s)
-    frame = df.withColumns({"_s": _wrap(checked), "_e": _wrap(e)})
-
-    def part(number: int, lo: Column, hi: Column) -> Column:
+    """Angular ranges as one or two parts within [-180, 180].
+
+    A range starts at its direction and turns by ``width`` degrees; a turn of
+    nothing from a smaller to a larger number is a full circle. What reaches
+    the boundary is cut there: part 0 lies after it, part 1 before. ``weight``
+    is a part's share of the width (null where that is 0).
+    """
+    first, last = F.col(start).cast("double"), F.col(end).cast("double")
+    allowed = F.when((first < -180) | (last > 180), F.raise_error(F.lit(OUT_OF_RANGE)).cast("double"))
+    turn = F.pmod(last - first, F.lit(360.0))
+    told = df.withColumns(
+        {
+            "_from": F.pmod(F.coalesce(allowed, first) + 180, F.lit(360.0)) - 180,
+            "_to": F.pmod(last + 180, F.lit(360.0)) - 180,
+            "_width": F.when((turn == 0) & (last > first), 360.0).otherwise(turn),
+        }
+    )
+    begin, stop, width = F.col("_from"), F.col("_to"), F.col("_width")
+
+    def part(number: int, lo: Column, hi: Column, size: Column) -> Column:
         return F.struct(
             F.lit(number).alias("part"),
-            lo.cast("double").alias("lo"),
-            hi.cast("double").alias("hi"),
-            F.try_divide(_span(lo, hi), _span(s, e)).alias("weight"),
+            lo.alias("lo"),
+            hi.alias("hi"),
+            F.try_divide(size, width).alias("weight"),
         )
 
-    a, b = F.col("_s"), F.col("_e")
-    parts = F.when(
-        a >= b,
-        F.array(part(0, F.lit(-180.0), b), part(1, a, F.lit(180.0))),
-    ).otherwise(F.array(part(0, a, b)))
-    rows = frame.withColumn("_part", F.explode(parts)).drop("_s", "_e")
+    edge = F.lit(180.0)
+    cut = F.array(part(0, -edge, stop, stop + edge), part(1, begin, edge, edge - begin))
+    whole = F.array(part(0, begin, stop, width))
+    reaches = (width == 0) | (begin + width >= 180)
+    rows = told.withColumn("_part", F.explode(F.when(reaches, cut).otherwise(whole)))
     return rows.select(*df.columns, "_part.part", "_part.lo", "_part.hi", "_part.weight")
 
 
-def _python_ranges(angles: list[tuple[float, float]]) -> list[dict]:
-    """The same split for a short list given as a parameter."""
-    out = []
-    for number, (start, end) in enumerate(angles):
-        if start < -180 or end > 180:
-            raise ValueError("The angles must be within -180 and 180 degrees range.")
-
-        def span(a: float, b: float) -> float:
-            return b - a if b >= a else 360.0 + b - a
-
-        whole = span(start, end)
-        lo, hi = (start + 180) % 360 - 180, (end + 180) % 360 - 180
-        pieces = [(-180.0, hi), (lo, 180.0)] if lo >= hi else [(lo, hi)]
-        out.append(
-            {
-                "number": number,
-                "start": float(start),
-                "end": float(end),
-                "pieces": [(a, b, span(a, b) / whole) for a, b in pieces],
-            }
-        )
-    return out
+def _parts_of(geo: DataFrame, angles: list[tuple[float, float]]) -> list[dict]:
+    """The parts of a short list of ranges given as a parameter."""
+    if any(a < -180 or b > 180 for a, b in angles):
+        raise ValueError(OUT_OF_RANGE)
+    given = [(i, float(a), float(b)) for i, (a, b) in enumerate(angles)]
+    ranges = geo.sparkSession.createDataFrame(
+        given, "number int, range_start double, range_end double"
+    )
+    return [r.asDict() for r in split_ranges(ranges).collect()]
 
 
 def rotating_angles(
@@ -328,23 +317,20 @@ def rotating_angles(
     range are aggregated side by side in one shuffle and recombined by weight;
     a part without pixels counts as 0.
     """
-    ranges = _python_ranges(angles)
     chi = F.col("chi")
-    hits = []
-    for r in ranges:
-        for number, (lo, hi, weight) in enumerate(r["pieces"]):
-            hits.append(
-                F.when(
-                    chi.between(lo, hi),
-                    F.struct(
-                        F.lit(r["number"]).alias("range_no"),
-                        F.lit(r["start"]).alias("range_start"),
-                        F.lit(r["end"]).alias("range_end"),
-                        F.lit(number).alias("part"),
-                        F.lit(float(weight)).alias("weight"),
-                    ),
-                )
-            )
+    hits = [
+        F.when(
+            chi.between(p["lo"], p["hi"]),
+            F.struct(
+                F.lit(p["number"]).alias("range_no"),
+                F.lit(p["range_start"]).alias("range_start"),
+                F.lit(p["range_end"]).alias("range_end"),
+                F.lit(p["part"]).alias("part"),
+                F.lit(p["weight"]).alias("weight"),
+            ),
+        )
+        for p in _parts_of(geo, angles)
+    ]
     rows = (
         with_q_bin(geo, npt, q_range)
         .withColumn("_hit", F.explode(F.array_compact(F.array(*hits))))
