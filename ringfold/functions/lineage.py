@@ -18,12 +18,17 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="ringfold-")
+        folder = f"{tempfile.gettempdir()}/ringfold-steps"
     return folder.rstrip("/")
 
 
+def step_folder(spark: SparkSession) -> str:
+    """Where this application writes its step tables."""
+    return f"{shared_folder(spark)}/ringfold-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{step_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str = "step") -> DataFrame:
@@ -32,3 +37,10 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_steps(spark: SparkSession) -> None:
+    """Delete this application's step tables, once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(step_folder(spark))
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.delete(path, True)

@@ -137,10 +137,11 @@ class MLPipeline:
         min_specificity: float | None = None,
         **split_args,
     ) -> dict:
-        """Wrangle, label, split, fit and validate on the held-out part. What the
-        estimator and the metrics read several times is written once."""
+        """Wrangle, label, split, fit and validate on the held-out part. What is
+        read several times is written once: the wrangled rows, the estimator's
+        input and the scored rows."""
         if wrangle:
-            data = self.wrangle(data)
+            data = written(self.wrangle(data), "wrangled")
         data = self.infer_y(data, y_column, y_value)
         train, test = self.splitter(data, **split_args) if split else (data, data)
         if preprocess:
@@ -164,9 +165,8 @@ class MLPipeline:
         **settings,
     ) -> dict:
         scored = self.predict(self.infer_y(data, y_column, y_value), wrangle, preprocess)
-        return self.validate(
-            scored.select(F.col("label").alias("y_true"), "y_score"), **settings
-        )
+        pairs = scored.select(F.col("label").alias("y_true"), "y_score")
+        return self.validate(written(pairs, "scored"), **settings)
 
     def export_pipeline(
         self, wrangle: bool = False, preprocess: bool = True, save_path: str | None = None
@@ -273,9 +273,8 @@ class PatientForest:
             SCALED,
         ]
         # a forest reads its input many times: each input is written once
-        parts = split.split_stratified_patients(
-            df.select(*columns), self.split, self.random_state
-        )
+        rows = written(df.select(*columns), "scaled")
+        parts = split.split_stratified_patients(rows, self.split, self.random_state)
         train, test = (written(part, "patients") for part in parts)
         self.first_layer(train)
         self.decider = self._forest(self.max_depth_second).fit(

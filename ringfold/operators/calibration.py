@@ -59,6 +59,7 @@ def parse_text(df: DataFrame, text: str = "ponifile") -> DataFrame:
             "pixel1": config("pixel1"),
             "pixel2": config("pixel2"),
             "wavelength_nm": number("Wavelength") * 1e9,
+            **{t: F.coalesce(number(t.capitalize()), F.lit(0.0)) for t in TILTS},
         }
     ).drop("_read")
 
@@ -163,46 +164,88 @@ def thickness_distance(thickness: Column, reference_mm: float = 700.0) -> Column
     return F.round((F.lit(reference_mm) - thickness / 2) / 1000.0, 6)
 
 
+TILTS = ("rot1", "rot2", "rot3")
+
+
+def _tilt(df: DataFrame, name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(0.0)) if name in df.columns else F.lit(0.0)
+
+
+def turned(df: DataFrame, y: Column, x: Column) -> tuple[Column, Column, Column]:
+    """A place on the detector, given from the foot of its normal (m), in the
+    frame of the beam: two coordinates across it and one along.
+
+    The detector is turned by ``rot1``, ``rot2`` and ``rot3`` (radians) about its
+    second axis, its first axis and the beam. Without these columns, or where
+    they are null, it is untilted.
+    """
+    if not any(name in df.columns for name in TILTS):
+        return y, x, F.col("distance_m")
+    r1, r2, r3 = (_tilt(df, name) for name in TILTS)
+    # about the second axis, then the first: the three coordinates so far
+    across, along = x * F.cos(r1) + F.col("distance_m") * F.sin(r1), F.col(
+        "distance_m"
+    ) * F.cos(r1) - x * F.sin(r1)
+    up, ahead = y * F.cos(r2) - along * F.sin(r2), y * F.sin(r2) + along * F.cos(r2)
+    return up * F.cos(r3) - across * F.sin(r3), up * F.sin(r3) + across * F.cos(r3), ahead
+
+
 def with_geometry(df: DataFrame) -> DataFrame:
     """Scattering vector q (1/nm) and azimuth chi (degrees) of a pixel row that
-    carries its calibration columns; untilted detector."""
+    carries its calibration columns, tilts included if it has them."""
     y = (F.col("row_idx") + 0.5) * F.col("pixel1") - F.col("poni1")
     x = (F.col("col_idx") + 0.5) * F.col("pixel2") - F.col("poni2")
+    up, across, ahead = turned(df, y, x)
     return df.withColumns(
         {
-            "q": q_at(y, x),
-            "chi": F.degrees(F.atan2(y, x)),
+            "q": _q(up, across, ahead),
+            "chi": F.degrees(F.atan2(up, across)),
         }
     )
 
 
-def q_at(y: Column, x: Column) -> Column:
-    r = F.sqrt(x * x + y * y)
-    return (
-        F.lit(4 * math.pi)
-        / F.col("wavelength_nm")
-        * F.sin(F.atan2(r, F.col("distance_m")) / 2)
-    )
+def _q(up: Column, across: Column, ahead: Column) -> Column:
+    r = F.sqrt(across * across + up * up)
+    return F.lit(4 * math.pi) / F.col("wavelength_nm") * F.sin(F.atan2(r, ahead) / 2)
+
+
+def q_at(df: DataFrame, y: Column, x: Column) -> Column:
+    return _q(*turned(df, y, x))
 
 
 def full_q_range(df: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
     """Smallest and largest q on the detector, per calibration.
 
-    q grows with the distance from the beam, so the pixel nearest to it and the
-    farthest corner decide; no pass over pixels is needed.
+    Lines of equal q enclose the place where the beam meets the detector, so a
+    corner has the largest q, and the smallest is at the pixel nearest to that
+    place or next to it; no pass over pixels is needed. A tilted detector that
+    the beam misses may have its smallest q a little beside the pixels tried.
     """
-
-    def near_far(n: int, pixel: str, poni: str) -> tuple[Column, Column]:
+    tilted = any(name in df.columns for name in TILTS)
+    r1, r2 = _tilt(df, "rot1"), _tilt(df, "rot2")
+    foot_y, foot_x = F.col("poni1"), F.col("poni2")
+    if tilted:
+        foot_y = foot_y + F.col("distance_m") * F.tan(r2) / F.cos(r1)
+        foot_x = foot_x - F.col("distance_m") * F.tan(r1)
+
+    def places(n: int, pixel: str, poni: str, foot: Column) -> tuple[list[Column], list[Column]]:
         size, origin = F.col(pixel), F.col(poni)
-        at = F.greatest(
-            F.lit(0), F.least(F.lit(n - 1), F.floor(origin / size).cast("int"))
+        at = F.floor(foot / size).cast("int")
+        steps = (-1, 0, 1) if tilted else (0,)
+        near = [F.greatest(F.lit(0), F.least(F.lit(n - 1), at + k)) for k in steps]
+        ends = [F.lit(0), F.lit(n - 1)]
+        return (
+            [(i + 0.5) * size - origin for i in near],
+            [(i + 0.5) * size - origin for i in ends],
         )
-        edge = [F.abs((F.lit(i) + 0.5) * size - origin) for i in (0, n - 1)]
-        return F.abs((at + 0.5) * size - origin), F.greatest(*edge)
 
-    near_y, far_y = near_far(n_rows, "pixel1", "poni1")
-    near_x, far_x = near_far(n_cols, "pixel2", "poni2")
-    return df.withColumns({"q_lo": q_at(near_y, near_x), "q_hi": q_at(far_y, far_x)})
+    near_y, ends_y = places(n_rows, "pixel1", "poni1", foot_y)
+    near_x, ends_x = places(n_cols, "pixel2", "poni2", foot_x)
+    low = [q_at(df, y, x) for y in near_y for x in near_x]
+    high = [q_at(df, y, x) for y in ends_y for x in ends_x]
+    return df.withColumns(
+        {"q_lo": F.least(*low) if len(low) > 1 else low[0], "q_hi": F.greatest(*high)}
+    )
 
 
 def attach_calibration(

@@ -179,6 +179,43 @@ def pixel_q_from_text(spark, d):
     )
 
 
+def pixel_q_tilted(spark, d):
+    """Geometry from calibration texts whose detectors are turned."""
+    turns = {"Rot1": "(cal_id % 5 - 2) * 0.01D", "Rot2": "(cal_id % 7 - 3) * 0.02D", "Rot3": "(cal_id % 3) * 0.3D"}
+    text = F.concat(
+        "ponifile", *[F.concat(F.lit(f"\n{k}: "), F.format_string("%.4f", F.expr(v))) for k, v in turns.items()]
+    )
+    parsed = calibration.parse_text(
+        adapters.calibrations(spark, d).select("cal_id", text.alias("ponifile"))
+    )
+    rows = calibration.attach_calibration(adapters.pixels(spark, d), parsed)
+    return calibration.with_geometry(rows).select(
+        ID, "row_idx", "col_idx", tidy("q").alias("q"), tidy("chi").alias("chi")
+    )
+
+
+# The turned coordinates as one matrix product.
+PIXEL_Q_TILTED = with_tables(
+    "pixels calibrations",
+    """
+, placed as (
+    select measurement_id, row_idx, col_idx, wavelength_nm, distance_m as l,
+           (row_idx + 0.5::double) * pixel1 - poni1 as p1, (col_idx + 0.5::double) * pixel2 - poni2 as p2,
+           (cal_id % 5 - 2) * 0.01::double as a, (cal_id % 7 - 3) * 0.02::double as b, (cal_id % 3) * 0.3::double as c
+    from pixels join calibrations using (cal_id))
+, turned as (
+    select *,
+           p1*cos(b)*cos(c) + p2*(cos(c)*sin(a)*sin(b) - cos(a)*sin(c)) - l*(cos(a)*cos(c)*sin(b) + sin(a)*sin(c)) as t1,
+           p1*cos(b)*sin(c) + p2*(cos(a)*cos(c) + sin(a)*sin(b)*sin(c)) - l*(cos(a)*sin(b)*sin(c) - cos(c)*sin(a)) as t2,
+           p1*sin(b) - p2*cos(b)*sin(a) + l*cos(a)*cos(b) as t3
+    from placed)
+select measurement_id, row_idx, col_idx,
+       round(4 * pi() / wavelength_nm * sin(atan2(sqrt(t1 * t1 + t2 * t2), t3) / 2), 6) as q,
+       round(degrees(atan2(t1, t2)), 6) as chi
+from turned""",
+)
+
+
 def _cake(spark, d):
     return integrate.integrate_2d(geo(spark, d), NPT, AZIM)
 
@@ -719,6 +756,7 @@ QUERIES = {
     "pixel_q": (pixel_q, PIXEL_Q),
     "pixel_q_from_columns": (pixel_q_from_columns, PIXEL_Q),
     "pixel_q_from_text": (pixel_q_from_text, PIXEL_Q),
+    "pixel_q_tilted": (pixel_q_tilted, PIXEL_Q_TILTED),
     "integrate_2d": (integrate_2d, INTEGRATE_2D),
     "cake_stats": (cake_stats, CAKE_STATS),
     "sigma_clip": (sigma_clip, _sigma_clip_sql(1.5, 5)),

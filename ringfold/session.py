@@ -12,13 +12,6 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
-# A local run has small inputs and few cores: keep all of them busy.
-LOCAL = {
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
-    "spark.sql.files.maxPartitionBytes": "4MB",
-    "spark.sql.files.openCostInBytes": "1MB",
-}
-
 
 def build_session(
     app: str = "ringfold",
@@ -36,8 +29,6 @@ def build_session(
     if master:
         builder = builder.master(master)
     settings = dict(SETTINGS)
-    if master and master.startswith("local"):
-        settings.update(LOCAL)
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(extra)

@@ -180,3 +180,13 @@ def test_counts_beyond_four_billion(spark):
     )
     assert evaluate.roc_auc(groups).first()[0] == 1.0
     assert evaluate.optimal_threshold(evaluate.roc_points(groups)).first()["threshold"] == 0.9
+
+
+def test_step_tables_are_cleared(spark):
+    from ringfold.functions import lineage
+
+    rows = lineage.written(spark.range(3))
+    assert rows.count() == 3
+    lineage.clear_steps(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(lineage.step_folder(spark))
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)

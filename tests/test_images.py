@@ -148,3 +148,25 @@ def test_spark_entry_plan_has_no_cross_join_and_prunes(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "l_extendedprice" not in plan
+
+
+def test_tilted_range_covers_all_pixels(spark):
+    """The q range from a few places equals that of all pixels."""
+    cal = spark.createDataFrame(
+        [(1, 0.16, 0.0011, 0.0009, 0.00015, 0.00015, 0.1542, 0.05, -0.03, 0.4), (2, 0.16, 0.0, 0.0, 0.00015, 0.00015, 0.1542, 0.0, 0.0, 0.0)],
+        "cal_id int, distance_m double, poni1 double, poni2 double, pixel1 double, pixel2 double,"
+        "wavelength_nm double, rot1 double, rot2 double, rot3 double",
+    )
+    shifted = cal.withColumns(
+        {"poni1": F.col("poni1") - 0.16 * F.tan("rot2"), "poni2": F.col("poni2") + 0.16 * F.tan("rot1")}
+    )
+    grid = spark.range(16 * 16).select(
+        (F.col("id") / 16).cast("int").alias("row_idx"), (F.col("id") % 16).cast("int").alias("col_idx")
+    )
+    from ringfold.operators import calibration
+
+    ranges = {r["cal_id"]: r for r in calibration.full_q_range(shifted, 16, 16).collect()}
+    pixels = calibration.with_geometry(grid.crossJoin(shifted))
+    for r in pixels.groupBy("cal_id").agg(F.min("q").alias("lo"), F.max("q").alias("hi")).collect():
+        assert abs(ranges[r["cal_id"]]["q_lo"] - r["lo"]) < 1e-9
+        assert abs(ranges[r["cal_id"]]["q_hi"] - r["hi"]) < 1e-9
