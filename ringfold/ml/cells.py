@@ -59,8 +59,9 @@ def pixel_rows(df: DataFrame, column: str = IMAGE) -> DataFrame:
             }
         )
     extra = ["azimuthal_range"] if "azimuthal_range" in df.columns else []
+    tilts = [t for t in calibration.TILTS if t in df.columns]
     rows = explode_image(
-        framed.select(ID, *CALIBRATION, "q_lo", "q_hi", *extra, column), column
+        framed.select(ID, *CALIBRATION, *tilts, "q_lo", "q_hi", *extra, column), column
     ).filter(F.col("value").isNotNull() & ~F.isnan("value"))
     geo = calibration.with_geometry(rows)
     if extra:

@@ -209,10 +209,6 @@ def _q(up: Column, across: Column, ahead: Column) -> Column:
     return F.lit(4 * math.pi) / F.col("wavelength_nm") * F.sin(F.atan2(r, ahead) / 2)
 
 
-def q_at(df: DataFrame, y: Column, x: Column) -> Column:
-    return _q(*turned(df, y, x))
-
-
 def full_q_range(df: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
     """Smallest and largest q on the detector, per calibration.
 
@@ -228,23 +224,30 @@ def full_q_range(df: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
         foot_y = foot_y + F.col("distance_m") * F.tan(r2) / F.cos(r1)
         foot_x = foot_x - F.col("distance_m") * F.tan(r1)
 
-    def places(n: int, pixel: str, poni: str, foot: Column) -> tuple[list[Column], list[Column]]:
+    def places(n: int, pixel: str, poni: str, foot: Column) -> tuple[Column, Column]:
+        """Coordinates to try on one axis: beside the beam, and at the ends."""
         size, origin = F.col(pixel), F.col(poni)
         at = F.floor(foot / size).cast("int")
-        steps = (-1, 0, 1) if tilted else (0,)
-        near = [F.greatest(F.lit(0), F.least(F.lit(n - 1), at + k)) for k in steps]
-        ends = [F.lit(0), F.lit(n - 1)]
-        return (
-            [(i + 0.5) * size - origin for i in near],
-            [(i + 0.5) * size - origin for i in ends],
+        steps = F.array(*[at + k for k in ((-1, 0, 1) if tilted else (0,))])
+        last = F.lit(n) - 1 if isinstance(n, int) else n - 1
+
+        def place(i: Column) -> Column:
+            return (F.greatest(F.lit(0), F.least(last, i)) + 0.5) * size - origin
+
+        return F.transform(steps, place), F.transform(F.array(F.lit(0), last), place)
+
+    def tried(ys: Column, xs: Column) -> Column:
+        return F.flatten(
+            F.transform(ys, lambda y: F.transform(xs, lambda x: _q(*turned(df, y, x))))
         )
 
     near_y, ends_y = places(n_rows, "pixel1", "poni1", foot_y)
     near_x, ends_x = places(n_cols, "pixel2", "poni2", foot_x)
-    low = [q_at(df, y, x) for y in near_y for x in near_x]
-    high = [q_at(df, y, x) for y in ends_y for x in ends_x]
     return df.withColumns(
-        {"q_lo": F.least(*low) if len(low) > 1 else low[0], "q_hi": F.greatest(*high)}
+        {
+            "q_lo": F.array_min(tried(near_y, near_x)),
+            "q_hi": F.array_max(tried(ends_y, ends_x)),
+        }
     )
 
 
