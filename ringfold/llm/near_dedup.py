@@ -230,12 +230,19 @@ def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     return comps
 
 
-def components(seen: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+def components(worded: DataFrame, firsts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """(id, comp) for representatives that share a bucket with another.
 
-    ``seen`` has the representatives' id, sign, buckets and bag.
+    ``worded`` has id, class, sign, buckets and bag of all texts, ``firsts`` the
+    representative of each class. Only narrow columns are joined before it is
+    known which representatives share a bucket; few of them carry shingles on.
     """
-    each = seen.select("id", F.posexplode("buckets").alias("band", "bucket"))
+    own = firsts.select(F.col("rep").alias("id"), "class")
+    each = (
+        worded.select("id", "class", "buckets")
+        .join(own, ["id", "class"], "left_semi")
+        .select("id", F.posexplode("buckets").alias("band", "bucket"))
+    )
     # written, so that the join has two exchanges and a hot bucket can be split
     shared = written(
         each.groupBy("bucket")
@@ -244,8 +251,15 @@ def components(seen: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         "shared",
     )
     members = written(each.join(shared, "bucket"), "buckets")
-    comps = written(members.select("id", F.col("id").alias("comp")).distinct(), "comps")
-    sets = written(seen.select("id", "sign", "bag").join(comps.select("id"), "id", "left_semi"), "sets")
+    ids = written(members.select("id").distinct(), "ids")
+    comps = ids.withColumn("comp", F.col("id"))
+    sets = written(
+        worded.select("id", "class", "sign", "bag")
+        .join(ids, "id", "left_semi")
+        .join(own, ["id", "class"], "left_semi")
+        .select("id", "sign", "bag"),
+        "sets",
+    )
     pairs = (
         members.where("id <> centre")
         .select(F.col("centre").alias("a"), F.col("id").alias("b"))
@@ -361,8 +375,7 @@ def classes(
     worded = found.where("class is not null")
     firsts = written(worded.groupBy("class").agg(F.min("id").alias("rep")), "classes")
     members = worded.select("id", "class").join(firsts, "class").select("id", "rep")
-    seen = worded.join(firsts.select(F.col("rep").alias("id"), "class"), ["id", "class"], "left_semi")
-    comps = components(seen, threshold)
+    comps = components(worded, firsts, threshold)
     named = members.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     alone = found.where("class is null").select("id", F.col("id").alias("class_id"))
     return (
@@ -381,7 +394,10 @@ def near_dedup(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     key are one document: the first by the hash of its columns is kept.
     """
     found = written(classes(df, text, key), "found")
-    gone = found.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("_id"))
+    # a table of its own, so that its real size decides how texts are joined
+    gone = written(
+        found.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("_id")), "gone"
+    )
     rows = df.select(packed(df), F.col(key).alias("_id"))
     kept = rows.join(gone, "_id", "left_anti")
     again = written(
