@@ -7,6 +7,11 @@ signatures agree in a component with the probability Jaccard similarity of their
 sets. Arrivals are made in rounds and a shingle stops once its next arrival is
 later than the last component's, so long texts cost little more than their size.
 
+A text that repeats a shingle has a second signature over its distinct shingles,
+all of weight one, whose agreement estimates plain Jaccard similarity; for other
+texts both are the same. Both are cut into the same bands, so that copies which
+repeat a line unequally often meet as well, and a pair passes if either agrees.
+
 Texts of the same weighted set form a class with one representative. Bands of
 the signatures bring representatives together in buckets. Each bucket compares
 its members with its smallest one, by signature first and then exactly, and links
@@ -31,8 +36,8 @@ from .common import packed, unpacked
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
-# A pair goes to exact comparison if its signatures agree in this share: four
-# standard errors of 120 components below the least similarity.
+# A pair goes to exact comparison if its signatures of either kind agree in this
+# share: four standard errors of 120 components below the least similarity.
 ESTIMATE = 0.65
 # Members of a bucket in one block of the comparison across components.
 BLOCK = 512
@@ -111,7 +116,11 @@ def banded(signs: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def prints(df: DataFrame, text: str, key: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row: key, class (hash of the weighted set, null without a word),
     signature (32 bits a component), buckets and the sorted multiset of shingles
-    (32 bits each)."""
+    (32 bits each).
+
+    A text that repeats a shingle has the signature of its distinct shingles
+    behind the weighted one, and that one's buckets behind the others, null where
+    both have the same. A bucket's place modulo ``bands`` is its band."""
     size = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,20 +132,28 @@ def prints(df: DataFrame, text: str, key: str, bands: int = BANDS, rows: int = R
             for at in range(0, len(texts), 256):
                 part = texts[at : at + 256]
                 own = [np.sort(shingles((t or "").lower().split(), hashes)) for t in part]
-                sets = []
-                for s in own:
+                sets, plain = [], {}
+                for k, s in enumerate(own):
                     e, c = np.unique(s, return_counts=True)
                     sets.append((e, weights(c)))
-                signs = prob_minhash(sets, size)
+                    if len(e) < len(s):
+                        plain[k] = (e, np.ones(len(e)))
+                signs = prob_minhash([*sets, *plain.values()], size)
                 small = (signs >> np.uint64(32)).astype("<u4")
                 keys = banded(small.astype(np.uint64), bands, rows).view(np.int64)
+                signed, placed = [x.tobytes() for x in small[: len(own)]], list(keys[: len(own)])
+                for j, k in enumerate(plain, len(own)):
+                    signed[k] += small[j].tobytes()
+                    placed[k] = keys[k].tolist() + [
+                        q if q != p else None for p, q in zip(keys[k].tolist(), keys[j].tolist())
+                    ]
                 some = [len(s) > 0 for s in own]
                 yield pa.record_batch(
                     [
                         batch.column(1).slice(at, len(part)),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if k else None for s, k in zip(own, some)], pa.binary()),
-                        pa.array([x.tobytes() for x in small], pa.binary()),
-                        pa.array([x if k else [] for x, k in zip(keys, some)], pa.list_(pa.int64())),
+                        pa.array(signed, pa.binary()),
+                        pa.array([x if k else [] for x, k in zip(placed, some)], pa.list_(pa.int64())),
                         pa.array([np.sort((s >> np.uint64(32)).astype("<u4")).tobytes() for s in own], pa.binary()),
                     ],
                     ["id", "class", "sign", "buckets", "bag"],
@@ -150,8 +167,9 @@ def prints(df: DataFrame, text: str, key: str, bands: int = BANDS, rows: int = R
 def similarity(a: bytes, b: bytes) -> float:
     """The larger of probability Jaccard and plain Jaccard of two multisets.
 
-    The first is what the signatures estimate; the second ignores repeats, so
-    texts that differ in how often they repeat a line are near copies as well.
+    The first is what the weighted signatures estimate, the second what those of
+    distinct shingles do: it ignores repeats, so texts that differ in how often
+    they repeat a line are near copies as well.
     """
     x, nx = np.unique(np.frombuffer(a, "<u4"), return_counts=True)
     y, ny = np.unique(np.frombuffer(b, "<u4"), return_counts=True)
@@ -175,9 +193,16 @@ def similarity(a: bytes, b: bytes) -> float:
     return max(plain, float((1 / total).sum()))
 
 
+def _both(sign: bytes) -> np.ndarray:
+    """The weighted signature and that of distinct shingles, one row each."""
+    x = np.frombuffer(sign, "<u4")
+    return np.stack([x[: BANDS * ROWS], x[-BANDS * ROWS :]])
+
+
 def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
+    """The larger share of agreement of both kinds of signatures."""
     x, y = a.to_pylist(), b.to_pylist()
-    found = [np.mean(np.frombuffer(p, "<u4") == np.frombuffer(q, "<u4")) for p, q in zip(x, y)]
+    found = [(_both(p) == _both(q)).mean(axis=1).max() for p, q in zip(x, y)]
     return pa.array(found, pa.float64())
 
 
@@ -241,7 +266,9 @@ def components(worded: DataFrame, firsts: DataFrame, threshold: float = SIMILARI
     each = (
         worded.select("id", "class", "buckets")
         .join(own, ["id", "class"], "left_semi")
-        .select("id", F.posexplode("buckets").alias("band", "bucket"))
+        .select("id", F.posexplode("buckets").alias("place", "bucket"))
+        .where("bucket is not null")
+        .select("id", (F.col("place") % BANDS).alias("band"), "bucket")
     )
     # written, so that the join has two exchanges and a hot bucket can be split
     shared = written(
@@ -298,7 +325,7 @@ def _crossed(members: DataFrame, comps: DataFrame, sets: DataFrame, threshold: f
     A bucket of one component needs no comparison. The others are cut into
     blocks of about ``BLOCK`` members and each pair of blocks is one unit, which
     compares signatures, then shingles, and returns links alone. A pair is
-    compared exactly in the first bucket it shares.
+    compared exactly in the first band of which it shares a bucket.
     """
     told = written(members.select("id", "band", "bucket").join(comps, "id"), "told")
     open_ = written(
@@ -339,7 +366,8 @@ def _unit_links(group: pa.Table, threshold: float) -> tuple[list[int], list[int]
     a member outside the most frequent one, so only those are compared."""
     n = group.num_rows
     comp = np.unique(group.column("comp").to_numpy(), return_inverse=True)[1]
-    sign = np.frombuffer(b"".join(group.column("sign").to_pylist()), "<u4").reshape(n, BANDS, -1)
+    # weighted signatures and those of distinct shingles: n, kind, band, row
+    sign = np.stack([_both(s) for s in group.column("sign").to_pylist()]).reshape(n, 2, BANDS, -1)
     bags = group.column("bag").to_pylist()
     mine = group.column("mine").to_numpy()
     band = group.column("band")[0].as_py()
@@ -351,9 +379,10 @@ def _unit_links(group: pa.Table, threshold: float) -> tuple[list[int], list[int]
         todo[i] = False
         with_ = np.flatnonzero((todo | ~few) & (comp != comp[i]) & ((mine != mine[i]) | (not two)))
         same = sign[with_] == sign[i]
-        near = same.mean(axis=(1, 2)) >= ESTIMATE
-        first = same[near].all(axis=2).argmax(axis=1) == band
-        for j in with_[near][first].tolist():
+        near = with_[same.mean(axis=(2, 3)).max(axis=1) >= ESTIMATE]
+        # buckets hold both kinds, so one's kind may meet the other's
+        met = (sign[near][:, :, None] == sign[i][None, None]).all(axis=4).any(axis=(1, 2))
+        for j in near[met.argmax(axis=1) == band].tolist():
             if similarity(bags[i], bags[j]) >= threshold:
                 a.append(i)
                 b.append(j)

@@ -135,3 +135,24 @@ def test_components_of_a_long_chain(spark):
     comps = spark.range(n).select("id", F.col("id").alias("comp"))
     links = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["comp"] for r in near_dedup.merged(comps, links).collect()} == {0}
+
+
+def test_lines_repeated_unequally_often_are_linked(spark):
+    """Plain Jaccard of 0.8 or more where the weighted similarity is far lower."""
+    rng = random.Random(11)
+    texts = []
+    for k in range(12):
+        lines = [" ".join(f"f{k}_{rng.randrange(9999)}" for _ in range(30)) for _ in range(20)]
+        texts.append("\n".join(lines))
+        texts.append("\n".join(x for i, x in enumerate(lines) for _ in range(100 if i < 8 else 1)))
+        texts.append("\n".join(x for i, x in enumerate(lines) for _ in range(1 if i < 12 else 100)))
+    hashes = near_dedup._Hashes()
+    bags = [np.sort((near_dedup.shingles(t.split(), hashes) >> np.uint64(32)).astype("<u4")).tobytes() for t in texts]
+    want = list(range(len(texts)))
+    for i in want[:]:
+        for j in range(i):
+            if near_dedup.similarity(bags[i], bags[j]) >= 0.8:
+                want[i] = min(want[i], want[j])
+    assert want == [i - i % 3 for i in range(len(texts))]
+    got = {r[0]: r[1] for r in near_dedup.classes(docs(spark, list(enumerate(texts)))).collect()}
+    assert got == dict(enumerate(want))
