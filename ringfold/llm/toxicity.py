@@ -4,11 +4,11 @@ Each word has the log-odds of standing in a toxic rather than a clean text,
 estimated from presence counts under Dirichlet priors: a word's prior is centred
 on the log-odds of its first six letters, theirs on that of the first four, and
 theirs on zero, so unseen forms of a known stem score too. A log-odds that is
-within some standard errors of both zero and its prior takes the prior's value. A
-word can speak for toxicity once in a text. Less a small drift, the scores of a
-text are searched in linear time for all maximal segments. Scores of the best segment in clean texts
-follow an extreme-value law; its location and scale, fitted on texts that the
-counts have not seen, turn a segment's score and the text's length into a
+within some standard errors of both zero and its prior takes the prior's value.
+Less a small drift, the scores of all words of a text, repeated ones included, are
+searched in linear time for all maximal segments. Scores of the best segment in
+clean texts follow an extreme-value law; its location and scale, fitted on texts
+that the counts have not seen, turn a segment's score and the text's length into a
 significance. A text's evidence is summed over its significant passages and
 mapped to a probability by a logistic curve fitted on the same texts.
 """
@@ -97,14 +97,8 @@ def log_odds(counts: pd.DataFrame) -> tuple[dict[str, float], dict[str, float]]:
 
 
 def scored(words: list[str], scores: dict[str, float]) -> np.ndarray:
-    """The words' scores; a repeated word's later ones are never positive."""
-    found = np.fromiter(map(scores.__getitem__, words), float, len(words))
-    seen: set[str] = set()
-    for i in np.flatnonzero(found > 0).tolist():
-        if words[i] in seen:
-            found[i] = -DRIFT
-        seen.add(words[i])
-    return found
+    """The words' scores, those of every occurrence."""
+    return np.fromiter(map(scores.__getitem__, words), float, len(words))
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:

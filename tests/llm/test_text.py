@@ -58,6 +58,19 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs, model).where("predicted = 1").count() == 0
 
 
+def test_equal_toxic_passages_are_all_found():
+    model = toxicity.Model(toxicity.Scores())
+    model.scores.update(vile=4.0, rotten=5.0, filthy=6.0)
+    toxic, clean = ["vile", "rotten", "filthy"], ["plain"] * 900
+    found = model.passages(clean + toxic + clean + toxic + clean)
+    assert [f[:2] for f in found] == [(900, 903), (1803, 1806)]
+    assert found[0][2] == pytest.approx(found[1][2])
+    # words scattered earlier do not weaken a later passage
+    early = [w for word in toxic for w in [word, *clean]]
+    late = model.passages(early + toxic + clean)
+    assert (len(early), len(early) + 3) in [f[:2] for f in late]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_segments_equal_definition(seed):
     """All maximal segments by recursion: the best one, then both sides of it."""
