@@ -215,7 +215,8 @@ def full_q_range(df: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
     Lines of equal q enclose the place where the beam meets the detector, so a
     corner has the largest q, and the smallest is at the pixel nearest to that
     place or next to it; no pass over pixels is needed. A tilted detector that
-    the beam misses may have its smallest q a little beside the pixels tried.
+    the beam misses has its smallest q somewhere on its edges, so all their pixels
+    are tried as well.
     """
     tilted = any(name in df.columns for name in TILTS)
     r1, r2 = _tilt(df, "rot1"), _tilt(df, "rot2")
@@ -224,8 +225,9 @@ def full_q_range(df: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
         foot_y = foot_y + F.col("distance_m") * F.tan(r2) / F.cos(r1)
         foot_x = foot_x - F.col("distance_m") * F.tan(r1)
 
-    def places(n: int, pixel: str, poni: str, foot: Column) -> tuple[Column, Column]:
-        """Coordinates to try on one axis: beside the beam, and at the ends."""
+    def places(n: int, pixel: str, poni: str, foot: Column) -> tuple[Column, ...]:
+        """Coordinates to try on one axis: beside the beam, at the ends, and all;
+        and whether the beam is beyond the ends."""
         size, origin = F.col(pixel), F.col(poni)
         at = F.floor(foot / size).cast("int")
         steps = F.array(*[at + k for k in ((-1, 0, 1) if tilted else (0,))])
@@ -234,18 +236,25 @@ def full_q_range(df: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
         def place(i: Column) -> Column:
             return (F.greatest(F.lit(0), F.least(last, i)) + 0.5) * size - origin
 
-        return F.transform(steps, place), F.transform(F.array(F.lit(0), last), place)
+        tries = (steps, F.array(F.lit(0), last), F.sequence(F.lit(0), last))
+        return *[F.transform(i, place) for i in tries], (at < 0) | (at > last)
 
     def tried(ys: Column, xs: Column) -> Column:
         return F.flatten(
             F.transform(ys, lambda y: F.transform(xs, lambda x: _q(*turned(df, y, x))))
         )
 
-    near_y, ends_y = places(n_rows, "pixel1", "poni1", foot_y)
-    near_x, ends_x = places(n_cols, "pixel2", "poni2", foot_x)
+    near_y, ends_y, all_y, off_y = places(n_rows, "pixel1", "poni1", foot_y)
+    near_x, ends_x, all_x, off_x = places(n_cols, "pixel2", "poni2", foot_x)
+    q_lo = F.array_min(tried(near_y, near_x))
+    if tilted:
+        # a detector that faces away meets the beam's other side, if any
+        missed = off_y | off_x | (F.cos(r1) * F.cos(r2) <= 0)
+        edges = F.concat(tried(ends_y, all_x), tried(all_y, ends_x))
+        q_lo = F.when(missed, F.least(q_lo, F.array_min(edges))).otherwise(q_lo)
     return df.withColumns(
         {
-            "q_lo": F.array_min(tried(near_y, near_x)),
+            "q_lo": q_lo,
             "q_hi": F.array_max(tried(ends_y, ends_x)),
         }
     )

@@ -170,3 +170,31 @@ def test_tilted_range_covers_all_pixels(spark):
     for r in pixels.groupBy("cal_id").agg(F.min("q").alias("lo"), F.max("q").alias("hi")).collect():
         assert abs(ranges[r["cal_id"]]["q_lo"] - r["lo"]) < 1e-9
         assert abs(ranges[r["cal_id"]]["q_hi"] - r["hi"]) < 1e-9
+
+
+def test_tilted_range_of_a_detector_beside_the_beam(spark):
+    """Its smallest q is on an edge, away from the pixels nearest to the beam."""
+    import random
+
+    from ringfold.operators import calibration
+
+    rng = random.Random(4)
+    cal = spark.createDataFrame(
+        [
+            (k, 0.16, rng.uniform(-0.02, 0.04), rng.uniform(-0.02, 0.04), 0.0004, 0.0003, 0.1542, *[rng.uniform(-0.6, 0.6) for _ in range(3)])
+            for k in range(60)
+        ],
+        "cal_id int, distance_m double, poni1 double, poni2 double, pixel1 double, pixel2 double,"
+        "wavelength_nm double, rot1 double, rot2 double, rot3 double",
+    )
+    grid = spark.range(48 * 40).select(
+        (F.col("id") / 40).cast("int").alias("row_idx"), (F.col("id") % 40).cast("int").alias("col_idx")
+    )
+    ranges = {r["cal_id"]: r for r in calibration.full_q_range(cal, 48, 40).collect()}
+    pixels = calibration.with_geometry(grid.crossJoin(cal)).groupBy("cal_id")
+    wrong = [
+        r["cal_id"]
+        for r in pixels.agg(F.min("q").alias("lo"), F.max("q").alias("hi")).collect()
+        if abs(ranges[r["cal_id"]]["q_lo"] - r["lo"]) > 1e-9 or abs(ranges[r["cal_id"]]["q_hi"] - r["hi"]) > 1e-9
+    ]
+    assert not wrong, f"{len(wrong)} of 60"
