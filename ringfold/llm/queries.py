@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.lineage import scratch_path, written
-from . import bpe_chunks, chat_format, exact_dedup, language_id, near_dedup, packing, quality_rules, token_files, toxicity, url_reputation
+from . import (
+    bpe_chunks, chat_format, exact_dedup, language_id, line_dedup, near_dedup, packing, period_runs,
+    quality_rules, token_files, toxicity, url_reputation, whitening,
+)
 from .common import crc32_mod, table
 from .url_reputation import Rule
 
@@ -261,6 +264,96 @@ from (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+
 window w as (partition by text_sha256)
 """
 
+
+def repeated(key: Column, text: Column) -> Column:
+    """The contract's planted runs: with h the key's checksum, where h % 10 = 0
+    the words from the one numbered a on repeat with a period p."""
+    h = F.crc32(key.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+    def planted(ws: Column) -> Column:
+        n = F.size(ws)
+        a, times = (g % n).cast("int"), (3 + g % 8).cast("int")
+        p = F.floor((n - a) / times).cast("int") + 1
+        again = F.slice(F.flatten(F.array_repeat(F.slice(ws, a + 1, p), times)), F.lit(1), n - a)
+        return F.when(n > 0, F.array_join(F.concat(F.slice(ws, F.lit(1), a), again), " ")).otherwise(text)
+
+    # a one-element array binds the words, so they are split once
+    return F.when(h % 10 == 0, F.transform(F.array(words), planted)[0]).otherwise(text)
+
+
+def op11_period_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = period_runs.find(docs.select("doc_id", repeated(F.col("doc_id"), F.col("text")).alias("text")))
+    best = F.array_min(
+        F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("s"), r["period"].alias("p")))
+    )
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best.alias("best"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id",
+        "n_runs",
+        F.col("best.s").alias("start"),
+        (-F.col("best.n")).alias("length"),
+        F.col("best.p").alias("period"),
+        F.expr("-1000 * best.n div best.p").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows)
+    error = whitening.identity_error(rows, model, 32)
+    shares = F.array(*[F.lit(float(e)) for e in model.explained[:32]]).cast("array<double>")
+    return whitening.transform(rows, model, 32).select(
+        "vec_id",
+        "deviation",
+        F.posexplode("whitened").alias("_k", "whitened"),
+    ).select(
+        "vec_id",
+        (F.col("_k") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(shares, F.col("_k")).alias("explained"),
+        F.lit(error).alias("identity_error"),
+    )
+
+
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    index = line_dedup.LineIndex.scratch(spark, min_docs=10, min_chars=1).insert(docs)
+    return index.dedup(docs).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
+OP13_SQL = """
+with docs as (
+  select row_number() over () as row, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents
+), numbered as (
+  select row, doc_id, unnest(ls) as line, unnest(range(len(ls))) as pos from docs
+), keyed as (
+  select *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as key
+  from numbered
+), many as (
+  select key from keyed where length(key) >= 1 group by key having count(distinct row) >= 10
+)
+select doc_id, count(*) as n_lines, count(many.key) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (many.key is null), '')) as kept_sha256
+from keyed left join many on keyed.key = many.key
+group by row, doc_id
+"""
+
 LLM_REGISTRY = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_chat_format": (op2_chat_format, OP2_SQL),
@@ -272,4 +365,7 @@ LLM_REGISTRY = {
     "op7_url_filter": (op7_url_filter, OP7_SQL),
     "op9_quality_rules": (op9_quality_rules, OP9_SQL),
     "op10_exact_dedup": (op10_exact_dedup, OP10_SQL),
+    "op11_period_runs": (op11_period_runs, None),
+    "op12_whitening": (op12_whitening, None),
+    "op13_line_dedup": (op13_line_dedup, OP13_SQL),
 }
