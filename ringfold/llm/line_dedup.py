@@ -22,6 +22,10 @@ that answer "maybe", so more rows are looked up and no decision changes.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from hashlib import sha256
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -31,30 +35,28 @@ from ..functions.lineage import scratch_path, written
 from .common import named, packed, unpacked
 from .cuckoo import CuckooFilter, asked, buckets_for, fits
 
-SPACE = " \t\n\v\f\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SPACE = b" \t\n\v\f\r"
 ADDED = ["n_lines", "n_dropped", "kept_text"]
 MAX_BYTES = 64 << 20
+# Distinct keys counted together in a task before their counts are handed on.
+TOGETHER = 200_000
+COUNTS = "key binary, was long, n_docs long"
 FILTERS = "shard int, buckets int, items long, cells binary, extra array<bigint>"
+FOUND = "struct<n:int,maybe:array<struct<at:int,key:binary>>>"
 
 
-def lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n")
-
-
-def line_keys(text: Column) -> Column:
-    """The key of each line: stripped of ASCII white space, A-Z lower-cased."""
-    return F.transform(
-        lines(F.translate(text, UPPER, LOWER)), lambda x: F.btrim(x, F.lit(SPACE))
-    )
-
-
-def key_id(key: Column) -> Column:
-    return F.unhex(F.sha2(key, 256))
+def line_keys(text: bytes, min_chars: int = 1) -> list[bytes | None]:
+    """Per line the SHA-256 of its key (ASCII white space stripped, A-Z
+    lower-cased), or None where the key has fewer code points."""
+    keys = [x.strip(SPACE) for x in text.lower().split(b"\n")]
+    if min_chars > 1:
+        keys = [k if len(k.decode()) >= min_chars else b"" for k in keys]
+    return [sha256(k).digest() if k else None for k in keys]
 
 
-def _long_enough(key: Column, min_chars: int) -> Column:
-    return F.length(key) >= max(min_chars, 1)
+def hashes(keys: list[bytes]) -> np.ndarray:
+    """The 64 bits of a key that a filter works with."""
+    return np.frombuffer(b"".join(keys), "<i8")[::4].copy()
 
 
 class LineIndex:
@@ -87,10 +89,10 @@ class LineIndex:
 
     def _changes(self) -> DataFrame:
         """Every line of this version or the one before, with both counts."""
-        return self._read("counts", "key binary, hash long, was long, n_docs long")
+        return self._read("counts", COUNTS)
 
     def counts(self) -> DataFrame:
-        """key (binary), hash and n_docs of every line known."""
+        """key (binary) and n_docs of every line known."""
         return self._changes().where("n_docs > 0").drop("was")
 
     def filters(self) -> DataFrame:
@@ -106,17 +108,36 @@ class LineIndex:
         return self._changed(docs, text, -1)
 
     def _changed(self, docs: DataFrame, text: str, sign: int) -> "LineIndex":
-        one = docs.select(F.array_distinct(line_keys(named(text))).alias("_keys"))
-        found = one.select(F.explode("_keys").alias("_key")).where(_long_enough(F.col("_key"), self.min_chars))
+        min_chars = self.min_chars
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: Counter = Counter()
+
+            def part() -> pa.RecordBatch:
+                return pa.record_batch(
+                    [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["key", "n"]
+                )
+
+            for batch in batches:
+                for t in batch.column(0).cast(pa.binary()).to_pylist():
+                    keys = set(line_keys(t or b"", min_chars))
+                    keys.discard(None)
+                    seen.update(keys)
+                    if len(seen) >= TOGETHER:
+                        yield part()
+                        seen.clear()
+            yield part()
+
         new = (
-            found.select(key_id(F.col("_key")).alias("key"), F.xxhash64("_key").alias("hash"))
-            .groupBy("key", "hash")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .select("key", "hash", F.lit(0).cast("long").alias("was"), (sign * F.col("n")).alias("n"))
+            docs.select(named(text))
+            .mapInArrow(count, "key binary, n long")
+            .groupBy("key")
+            .agg(F.sum("n").alias("n"))
+            .select("key", F.lit(0).cast("long").alias("was"), (sign * F.col("n")).alias("n"))
         )
         if self.version:
-            old = self.counts().select("key", "hash", F.col("n_docs").alias("was"), F.col("n_docs").alias("n"))
-            new = old.unionAll(new).groupBy("key", "hash").agg(F.sum("was").alias("was"), F.sum("n").alias("n"))
+            old = self.counts().select("key", F.col("n_docs").alias("was"), F.col("n_docs").alias("n"))
+            new = old.unionAll(new).groupBy("key").agg(F.sum("was").alias("was"), F.sum("n").alias("n"))
         after = LineIndex(
             self.spark, self.folder, self.version + 1, self.min_docs, self.min_chars, self.shards
         )
@@ -124,7 +145,6 @@ class LineIndex:
         wrong = F.raise_error(F.lit("a document to delete is not in the index")).cast("long")
         new.select(
             "key",
-            "hash",
             "was",
             F.when(F.col("n") < 0, wrong).otherwise(F.col("n")).alias("n_docs"),
         ).write.parquet(f"{place}/counts")
@@ -132,13 +152,14 @@ class LineIndex:
         return after
 
     def _shard(self) -> Column:
-        return F.shiftrightunsigned("hash", 48).bitwiseAND(F.lit(self.shards - 1)).cast("int")
+        last = F.conv(F.hex(F.substring("key", 7, 2)), 16, 10).cast("int")
+        return last.bitwiseAND(F.lit(self.shards - 1))
 
     def _filtered(self, counted: DataFrame) -> DataFrame:
         """The filters after a change of counts (``was`` and ``n_docs``)."""
         rows = counted.select(
             self._shard().alias("shard"),
-            "hash",
+            "key",
             (F.col("was") >= self.min_docs).alias("old"),
             (F.col("n_docs") >= self.min_docs).alias("new"),
         ).where("old or new")
@@ -155,8 +176,8 @@ class LineIndex:
         kept = self.filters().where(~again)
 
         def update(shard: tuple, old: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
-            added = keys.loc[keys["new"], "hash"].tolist()
-            gone = keys.loc[~keys["new"], "hash"].tolist()
+            added = hashes(keys.loc[keys["new"], "key"].tolist()).tolist()
+            gone = hashes(keys.loc[~keys["new"], "key"].tolist()).tolist()
             if len(old):
                 row = old.iloc[0]
                 known, cells = int(row["items"]), CuckooFilter(int(row["buckets"]), row["cells"], row["extra"])
@@ -184,59 +205,49 @@ class LineIndex:
         may be dropped shuffle, once.
         """
         told = docs.select(
-            packed(docs),
-            named(text).alias("_text"),
-            self._maybe(max_bytes)(
-                F.transform(
-                    line_keys(named(text)),
-                    lambda k: F.when(_long_enough(k, self.min_chars), F.xxhash64(k)),
-                )
-            ).alias("_maybe"),
+            packed(docs), named(text).alias("_text"), self._asked(max_bytes)(named(text)).alias("_found")
         )
-        some = told.where(F.size("_maybe") > 0).select("*", F.sha2("_text", 256).alias("_id"))
+        some = told.where(F.size("_found.maybe") > 0).select("*", F.sha2("_text", 256).alias("_id"))
         narrow = written(
-            some.select(
-                "_id",
-                F.transform(
-                    F.array(line_keys(F.col("_text"))),
-                    lambda ks: F.transform(
-                        "_maybe", lambda i: F.struct(i.alias("at"), key_id(F.get(ks, i)).alias("key"))
-                    ),
-                )[0].alias("_lines"),
-            )
-            .groupBy("_id")
-            .agg(F.any_value("_lines").alias("_lines"))
+            some.groupBy("_id")
+            .agg(F.any_value("_found.maybe").alias("_lines"))
             .select("_id", F.explode("_lines").alias("_line"))
             .select("_id", "_line.at", "_line.key"),
             "maybe-lines",
         )
         many = written(self.counts().where(F.col("n_docs") >= self.min_docs).select("key"), "frequent-lines")
         dropped = narrow.join(many, "key").groupBy("_id").agg(F.collect_list("at").alias("_drop"))
-        whole = told.where(F.size("_maybe") == 0).select("_row", "_text", F.lit(None).cast("array<int>").alias("_drop"))
-        both = some.join(dropped, "_id", "left").select("_row", "_text", "_drop")
-        return whole.unionByName(both).select(*unpacked(docs.columns, ADDED), *_without("_text", "_drop"))
-
-    def _maybe(self, max_bytes: int):
-        """A UDF: the numbers of the lines whose hash a filter may hold."""
+        none = F.lit(None).cast("array<int>").alias("_drop")
+        whole = told.where(F.size("_found.maybe") == 0).select("_row", "_text", "_found.n", none)
+        both = some.join(dropped, "_id", "left").select("_row", "_text", "_found.n", "_drop")
+        return whole.unionByName(both).select(*unpacked(docs.columns, ADDED), *_without())
+
+    def _asked(self, max_bytes: int):
+        """A UDF: the number of lines, and number and key of each that a filter
+        may hold."""
         sizes = self.filters().select("shard", F.length("cells") + 8 * F.size("extra")).orderBy("shard").collect()
-        at, fit, unknown = 0, [], []
+        total, fit, unknown = 0, [], []
         for shard, size in sizes:
-            (fit if at + size <= max_bytes else unknown).append(shard)
-            at += size if at + size <= max_bytes else 0
+            (fit if total + size <= max_bytes else unknown).append(shard)
+            total += size if total + size <= max_bytes else 0
         held = {
             r["shard"]: (np.frombuffer(r["cells"], "<u2"), r["buckets"], np.array(r["extra"], np.int64))
             for r in self.filters().where(F.col("shard").isin(fit)).collect()
         }
         filters = self.spark.sparkContext.broadcast(held)
-        shards = self.shards
-
-        def ask(hashes: pa.Array) -> pa.Array:
-            ends = hashes.offsets.to_numpy()
-            values = hashes.values.slice(ends[0], ends[-1] - ends[0])
-            ends = ends - ends[0]
-            flat = values.fill_null(0).to_numpy(zero_copy_only=False)
+        shards, min_chars = self.shards, self.min_chars
+
+        def ask(texts: pa.Array) -> pa.Array:
+            sizes, keys, at = [], [], []
+            for t in texts.cast(pa.binary()).to_pylist():
+                own = line_keys(t or b"", min_chars)
+                sizes.append(len(own))
+                keys += own
+            known = np.array([k is not None for k in keys], bool)
+            at = np.flatnonzero(known)
+            flat = hashes([keys[i] for i in at])
             hit = np.zeros(len(flat), bool)
-            shard = (flat >> 48) & (shards - 1)
+            shard = _shards(flat, shards)
             order = np.argsort(shard, kind="stable")
             cut = np.searchsorted(shard[order], np.arange(shards + 1))
             for s, (cells, buckets, extra) in filters.value.items():
@@ -245,20 +256,31 @@ class LineIndex:
                     hit[rows] = asked(cells, buckets, extra, flat[rows])
             for s in unknown:
                 hit[order[cut[s] : cut[s + 1]]] = True
-            hit &= values.is_valid().to_numpy(zero_copy_only=False)
-            at = np.flatnonzero(hit)
-            row = np.searchsorted(ends, at, "right") - 1
-            new = np.searchsorted(at, ends).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(new), pa.array((at - ends[row]).astype(np.int32)))
+            at = at[hit]
+            ends = np.cumsum([0, *sizes])
+            line = at - ends[np.searchsorted(ends, at, "right") - 1]
+            rows = pa.StructArray.from_arrays(
+                [pa.array(line.astype(np.int32)), pa.array([keys[i] for i in at], pa.binary())], ["at", "key"]
+            )
+            cuts = np.searchsorted(at, ends).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cuts), rows)
+            return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), lists], ["n", "maybe"])
+
+        # said to be nondeterministic, so that a condition on it is not moved
+        # before it and the texts are searched once
+        return F.arrow_udf(ask, FOUND).asNondeterministic()
+
 
-        return F.arrow_udf(ask, "array<int>")
+def _shards(flat: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each hash: its last two bytes, read as in the tables."""
+    return flat.view(np.uint64).astype("<u8").view("<u2")[3::4].byteswap() & np.uint16(shards - 1)
 
 
-def _without(text: str, drop: str) -> list[Column]:
-    """n_lines, n_dropped and kept_text of a text and its dropped line numbers."""
-    every, gone = lines(F.col(text)), F.coalesce(F.col(drop), F.array().cast("array<int>"))
+def _without() -> list[Column]:
+    """n_lines, n_dropped and kept_text from a text and its dropped line numbers."""
+    gone, text = F.coalesce("_drop", F.array().cast("array<int>")), F.coalesce("_text", F.lit(""))
     stays = F.transform(
-        F.array(every),
+        F.array(F.split(text, "\n")),
         lambda ls: F.array_join(
             F.transform(
                 F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone), lambda i: F.get(ls, i)
@@ -267,7 +289,7 @@ def _without(text: str, drop: str) -> list[Column]:
         ),
     )[0]
     return [
-        F.size(every).cast("long").alias("n_lines"),
+        F.col("n").cast("long").alias("n_lines"),
         F.size(gone).cast("long").alias("n_dropped"),
-        F.when(F.size(gone) == 0, F.coalesce(text, F.lit(""))).otherwise(stays).alias("kept_text"),
+        F.when(F.size(gone) == 0, text).otherwise(stays).alias("kept_text"),
     ]
