@@ -216,7 +216,11 @@ class LineIndex:
             "maybe-lines",
         )
         many = written(self.counts().where(F.col("n_docs") >= self.min_docs).select("key"), "frequent-lines")
-        dropped = narrow.join(many, "key").groupBy("_id").agg(F.collect_list("at").alias("_drop"))
+        # as a table, so that the join below has an exchange of its own on both
+        # sides and adaptive execution can split the partition of a hot text
+        dropped = written(
+            narrow.join(many, "key").groupBy("_id").agg(F.collect_list("at").alias("_drop")), "dropped-lines"
+        )
         none = F.lit(None).cast("array<int>").alias("_drop")
         whole = told.where(F.size("_found.maybe") == 0).select("_row", "_text", "_found.n", none)
         both = some.join(dropped, "_id", "left").select("_row", "_text", "_found.n", "_drop")

@@ -8,12 +8,12 @@ from ringfold.llm.queries import LLM_REGISTRY
 
 FOLDER = "/root/testdata/sf0.001"
 CHECKED = [n for n, (_, sql) in LLM_REGISTRY.items() if sql]
-PER_DOCUMENT = ["op1_toxicity", "op4_near_dedup", "op5_language_id", "op6_bpe_chunks", "op8_token_files"]
+PER_DOCUMENT = ["op1_toxicity", "op4_near_dedup", "op5_language_id", "op6_bpe_chunks", "op8_token_files", "op11_period_runs"]
 
 
 def test_every_operator_is_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in LLM_REGISTRY)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", CHECKED)
