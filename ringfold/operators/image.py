@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.lineage import written
 from ..functions.skew import attach
 from .calibration import poni_from_pixels, with_center
 from .integrate import ID
@@ -193,74 +193,104 @@ def bright_pixels(pixels: DataFrame, threshold: float = 3.0) -> DataFrame:
 LINE = 1 << 32
 
 
-def label_regions(lit_pixels: DataFrame) -> DataFrame:
-    """8-connected regions, labelled by their first pixel in reading order.
-
-    Each round takes the smallest label among the neighbours and then follows
-    that label one step further, so labels travel in doubling strides. Labels
-    only fall and are bounded, so the rounds end by themselves. Every
-    pixel meets at most eight neighbours through equi-joins. The state of a
-    round is written to the shared folder: plans stay short and a lost executor
-    costs one round.
-    """
-    node = F.col("row_idx").cast("long") * LINE + F.col("col_idx")
-    nodes = written(
-        lit_pixels.select(ID, node.alias("node")).distinct(), "regions"
+def pixel_runs(lit_pixels: DataFrame) -> DataFrame:
+    """Runs of neighbouring pixels: measurement, row_idx, first and last column.
+
+    A window holds one line of one detector."""
+    line = Window.partitionBy(ID, "row_idx").orderBy("col_idx")
+    nodes = lit_pixels.select(ID, "row_idx", "col_idx").distinct()
+    island = F.col("col_idx") - F.row_number().over(line)
+    return (
+        nodes.withColumn("_island", island)
+        .groupBy(ID, "row_idx", "_island")
+        .agg(F.min("col_idx").alias("first"), F.max("col_idx").alias("last"))
+        .drop("_island")
     )
-    around = [
-        dr * LINE + dc
-        for dr in (-1, 0, 1)
-        for dc in (-1, 0, 1)
-        if (dr, dc) != (0, 0)
-    ]
-    edges = written(
-        nodes.select(
-            ID,
-            "node",
-            F.explode(F.array(*[F.col("node") + a for a in around])).alias("near"),
-        ).join(nodes.select(ID, F.col("node").alias("near")), [ID, "near"]),
-        "regions",
+
+
+def joined_runs(rows: list[int], first: list[int], last: list[int]) -> list[int]:
+    """For runs in reading order the place of the first run of their region.
+    Runs of neighbouring rows touch if their columns do, diagonals included."""
+    root = list(range(len(rows)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    above = 0
+    for i in range(len(rows)):
+        # runs of the row above that end before this one starts are over
+        while above < i and (
+            rows[above] < rows[i] - 1 or (rows[above] == rows[i] - 1 and last[above] < first[i] - 1)
+        ):
+            above += 1
+        k = above
+        while k < i and rows[k] == rows[i] - 1 and first[k] <= last[i] + 1:
+            a, b = top(k), top(i)
+            root[max(a, b)] = min(a, b)
+            k += 1
+    return [top(i) for i in range(len(rows))]
+
+
+def region_runs(runs: DataFrame) -> DataFrame:
+    """Runs with the ``label`` of their 8-connected region: its first pixel in
+    reading order.
+
+    The runs of an image are put together in one row (at most half as many as
+    it has pixels, whatever the table's size) and joined there, so labels need
+    one shuffle and no rounds.
+    """
+
+    def labelled(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten()
+        rows, first, last = (flat.field(i).to_pylist() for i in range(3))
+        ends = lists.offsets.to_pylist()
+        base, out = ends[0], []
+        for i, j in zip(ends[:-1], ends[1:]):
+            i, j = i - base, j - base
+            out.append([rows[i + k] * LINE + first[i + k] for k in joined_runs(rows[i:j], first[i:j], last[i:j])])
+        return pa.array(out, pa.list_(pa.int64()))
+
+    images = runs.groupBy(ID).agg(
+        F.sort_array(F.collect_list(F.struct("row_idx", "first", "last"))).alias("_runs")
     )
-    labels = nodes.withColumn("label", F.col("node"))
-    while True:
-        seen = edges.join(
-            labels.select(ID, F.col("node").alias("near"), "label"), [ID, "near"]
-        ).select(ID, "node", "label", F.lit(None).cast("long").alias("own"))
-        best = (
-            labels.select(ID, "node", "label", F.col("label").alias("own"))
-            .unionByName(seen)
-            .groupBy(ID, "node")
-            .agg(F.min("label").alias("best"), F.max("own").alias("own"))
-        )
-        # many pixels follow one label: adaptive execution splits that side
-        target = labels.select(
-            ID, F.col("node").alias("best"), F.col("label").alias("far")
-        )
-        found = F.least("best", "far")
-        state = written(
-            best.join(target, [ID, "best"]).select(
-                ID, "node", found.alias("label"), (found != F.col("own")).alias("changed")
-            ),
-            "regions",
-        )
-        labels = state.select(ID, "node", "label")
-        if state.filter("changed").isEmpty():
-            return labels
+    label = F.arrow_udf(labelled, "array<bigint>")
+    return images.select(
+        ID, F.explode(F.arrays_zip(F.col("_runs").alias("run"), label("_runs").alias("label"))).alias("_r")
+    ).select(ID, "_r.run.row_idx", "_r.run.first", "_r.run.last", "_r.label")
+
+
+def label_regions(lit_pixels: DataFrame) -> DataFrame:
+    """Pixels (``node`` = row * LINE + column) with the ``label`` of their region."""
+    runs = region_runs(pixel_runs(lit_pixels))
+    base = F.col("row_idx").cast("long") * LINE
+    nodes = F.sequence(base + F.col("first"), base + F.col("last"))
+    return runs.select(ID, F.explode(nodes).alias("node"), "label")
+
+
+def bright_runs(pixels: DataFrame, threshold: float = 3.0) -> DataFrame:
+    return pixel_runs(bright_pixels(pixels, threshold))
 
 
 def beam_center(pixels: DataFrame, threshold: float = 3.0) -> DataFrame:
     """Centroid of the largest bright region per image; the first in reading
     order wins a tie, an image without one gets nulls."""
-    labels = label_regions(bright_pixels(pixels, threshold))
-    row = F.floor(F.col("node") / LINE)
-    regions = labels.groupBy(ID, "label").agg(
-        F.count(F.lit(1)).alias("area"),
-        F.avg(row).alias("center_row"),
-        F.avg(F.col("node") - row * LINE).alias("center_col"),
+    runs = region_runs(bright_runs(pixels, threshold))
+    n = F.col("last") - F.col("first") + 1
+    regions = runs.groupBy(ID, "label").agg(
+        F.sum(n).cast("long").alias("area"),
+        F.sum(n * F.col("row_idx")).alias("rows"),
+        F.sum(n * (F.col("first") + F.col("last")) / 2.0).alias("cols"),
     )
     top = regions.groupBy(ID).agg(
         F.max_by(
-            F.struct("center_row", "center_col", "area"),
+            F.struct(
+                (F.col("rows") / F.col("area")).alias("center_row"),
+                (F.col("cols") / F.col("area")).alias("center_col"),
+                "area",
+            ),
             F.struct("area", -F.col("label")),
         ).alias("_top")
     )

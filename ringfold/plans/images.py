@@ -681,11 +681,8 @@ def beam_center(spark, d):
     )
 
 
-BEAM_CENTER = (
-    "with recursive "
-    + with_tables(
-        "pixels",
-        """
+# Bright pixels and the first pixel of the region of each.
+REGIONS = """
 , lit as (
     select measurement_id as m, row_idx as r, col_idx as c, row_idx * 32 + col_idx as n
     from (select *, avg(value) over (partition by measurement_id) as mu from pixels)
@@ -698,6 +695,14 @@ BEAM_CENTER = (
     union
     select reach.m, reach.a, near.b from reach join near on reach.m = near.m and reach.b = near.a)
 , labels as (select m, a, min(b) as label from reach group by m, a)
+"""
+
+BEAM_CENTER = (
+    "with recursive "
+    + with_tables(
+        "pixels",
+        REGIONS
+        + """
 , regions as (
     select labels.m, label, count(*) as area, avg(r) as cr, avg(c) as cc
     from labels join lit on labels.m = lit.m and labels.a = lit.n group by labels.m, label)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import cohort, curves, fits, images, learning, tables
+from . import checks, cohort, curves, fits, images, learning, tables
 
 REGISTRY = {
     **images.QUERIES,
+    **checks.QUERIES,
     **tables.QUERIES,
     **curves.QUERIES,
     **cohort.QUERIES,
