@@ -40,7 +40,7 @@ class CuckooFilter:
         self.cells = (
             [0] * (buckets * CELLS) if cells is None else np.frombuffer(cells, "<u2").tolist()
         )
-        self.extra = list(extra or [])
+        self.extra = [] if extra is None else [int(h) for h in extra]
 
     def to_bytes(self) -> bytes:
         return np.array(self.cells, "<u2").tobytes()
