@@ -22,6 +22,7 @@ that answer "maybe", so more rows are looked up and no decision changes.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
@@ -66,12 +67,12 @@ class LineIndex:
         self,
         spark: SparkSession,
         folder: str,
-        version: int = 0,
+        version: str | None = None,
         min_docs: int = 10,
         min_chars: int = 1,
         shards: int = 64,
     ) -> None:
-        """``shards`` is a power of two. Version 0 is the empty index."""
+        """``shards`` is a power of two. Without a version the index is empty."""
         if shards < 1 or shards & (shards - 1):
             raise ValueError("shards must be a power of two")
         self.spark, self.folder, self.version = spark, folder.rstrip("/"), version
@@ -83,9 +84,9 @@ class LineIndex:
         return cls(spark, scratch_path(spark, "line-index"), **settings)
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        if self.version == 0:
+        if self.version is None:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/v{self.version}/{name}")
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{self.version}/{name}")
 
     def _changes(self) -> DataFrame:
         """Every line of this version or the one before, with both counts."""
@@ -135,13 +136,12 @@ class LineIndex:
             .agg(F.sum("n").alias("n"))
             .select("key", F.lit(0).cast("long").alias("was"), (sign * F.col("n")).alias("n"))
         )
-        if self.version:
+        if self.version is not None:
             old = self.counts().select("key", F.col("n_docs").alias("was"), F.col("n_docs").alias("n"))
             new = old.unionAll(new).groupBy("key").agg(F.sum("was").alias("was"), F.sum("n").alias("n"))
-        after = LineIndex(
-            self.spark, self.folder, self.version + 1, self.min_docs, self.min_chars, self.shards
-        )
-        place = f"{self.folder}/v{after.version}"
+        name = f"version-{uuid.uuid4().hex}"
+        after = LineIndex(self.spark, self.folder, name, self.min_docs, self.min_chars, self.shards)
+        place = f"{self.folder}/{name}"
         wrong = F.raise_error(F.lit("a document to delete is not in the index")).cast("long")
         new.select(
             "key",
