@@ -1,9 +1,11 @@
 """Fitting a sum of terms to every profile at once.
 
-Candidates for the shape parameters are tried side by side: per candidate the
-linear parameters follow in closed form from sums over the points, the best
-candidate is kept, and the grid is narrowed around it. A round is one pass over
-the points and two aggregations, for all measurements together.
+Candidates for the shape parameters of one term are tried side by side: per
+candidate the linear parameters of all terms follow exactly, within their bounds,
+from sums over the points; the best candidate is kept. The terms take turns, so
+candidates grow with the shapes of one term, not of the whole model; each round
+the grid is narrowed around the best. The points of a measurement (at most its q
+bins) are brought together once, and all later groupings and joins stay there.
 """
 
 from __future__ import annotations
@@ -13,9 +15,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import total
+from ..functions.lineage import written
 from ..functions.skew import attach
 from .integrate import ID
 from .terms import TermSum
@@ -24,10 +28,6 @@ from .terms import TermSum
 SSE_DIGITS = 9
 # Weight of a point inside a cut-off range: an uncertainty of 1e6.
 CUT_WEIGHT = 1e-12
-# Passes over the linear parameters where a bound binds.
-PASSES = 25
-
-
 def _slots(model: TermSum) -> list[dict]:
     """Every parameter of the model with its place."""
     out = []
@@ -81,86 +81,103 @@ def _sums(rows: DataFrame, m: int, shapes: int, y: str) -> DataFrame:
     return rows.groupBy(ID, "cand").agg(*aggregates)
 
 
-def _bounded(bounds: list[tuple[float, float]]) -> Column:
-    """The solution within bounds, as an array.
+def _free_solution(g: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Solutions of stacked normal equations by triangular factorization. A
+    direction without weight of its own gets 0."""
+    m = r.shape[1]
+    low, pivot, z = np.zeros_like(g), np.zeros_like(r), np.zeros_like(r)
+    with np.errstate(all="ignore"):
+        for j in range(m):
+            own = g[:, j, j] - (low[:, j, :j] ** 2 * pivot[:, :j]).sum(axis=1)
+            ok = own > 1e-12 * g[:, j, j]
+            pivot[:, j] = np.where(ok, own, 0.0)
+            for i in range(j + 1, m):
+                top = g[:, i, j] - (low[:, i, :j] * low[:, j, :j] * pivot[:, :j]).sum(axis=1)
+                low[:, i, j] = np.where(ok, top / own, 0.0)
+            z[:, j] = r[:, j] - (low[:, j, :j] * z[:, :j]).sum(axis=1)
+        out = np.zeros_like(r)
+        for j in reversed(range(m)):
+            rest = (low[:, j + 1 :, j] * out[:, j + 1 :]).sum(axis=1)
+            out[:, j] = np.where(pivot[:, j] > 0, z[:, j] / pivot[:, j] - rest, 0.0)
+    return out
 
-    Where the free solution (_a0, _a1, ...) breaks a bound, one parameter after
-    the other is minimized within its bounds over the same sums. The problem is
-    convex, so the passes lead to its minimum; once the parameters at a bound
-    are found, the others settle.
-    """
-    m = len(bounds)
-    free = F.array(*[F.col(f"_a{j}") for j in range(m)])
-    low = F.array(*[F.lit(float(a)) for a, _ in bounds])
-    high = F.array(*[F.lit(float(b)) for _, b in bounds])
 
-    def clamp(value: Column, i: Column) -> Column:
-        return F.greatest(F.get(low, i), F.least(F.get(high, i), value))
+def bounded_solution(g: np.ndarray, r: np.ndarray, bounds: list[tuple[float, float]]) -> np.ndarray:
+    """The minima of x' g x - 2 r x of stacked problems with lower and upper bounds.
 
-    products = F.array(
-        *[
-            F.array(*[F.col(f"g{max(i, j)}_{min(i, j)}") for j in range(m)])
-            for i in range(m)
-        ]
-    )
-    right = F.array(*[F.col(f"r{i}") for i in range(m)])
-    start = F.transform(free, clamp)
-
-    def improved(values: Column, step: Column) -> Column:
-        def one(v: Column, i: Column) -> Column:
-            row = F.get(products, i)
-            own = F.get(row, i)
-            taken = F.aggregate(
-                F.zip_with(row, values, lambda g, a: g * a), F.lit(0.0), lambda s, x: s + x
-            )
-            better = F.try_divide(F.get(right, i) - taken + own * v, own)
-            return F.when(i == step % m, F.coalesce(clamp(better, i), v)).otherwise(v)
-
-        return F.transform(values, one)
-
-    steps = F.sequence(F.lit(0), F.lit(PASSES * m - 1))
-    inside = F.forall(
-        F.sequence(F.lit(0), F.lit(m - 1)),
-        lambda i: F.get(free, i).between(F.get(low, i), F.get(high, i)),
-    )
-    return F.when(inside, free).otherwise(F.aggregate(steps, start, improved))
+    An active set: some parameters lie at a bound, the others are solved
+    freely. A free one that would leave its bounds stops there and is fixed; with
+    all inside, a fixed one that the gradient pulls inwards is freed. Each
+    step lowers the sum of squares, so no set returns and the search ends at the
+    minimum. Rows with values that are not finite give NaN.
+    """
+    m = len(bounds)
+    low, high = (np.array([b[k] for b in bounds], float) for k in (0, 1))
+    fine = np.isfinite(g).all(axis=(1, 2)) & np.isfinite(r).all(axis=1)
+    out = np.full(r.shape, np.nan)
+    out[fine] = _free_solution(g[fine], r[fine])
+    todo = np.flatnonzero(fine & ((out < low) | (out > high)).any(axis=1))
+    if not len(todo):
+        return out
+    g, r = g[todo], r[todo]
+    x = np.clip(out[todo], low, high)
+    fixed = (x == low) | (x == high)
+    scale = 1e-12 * np.sqrt(np.einsum("nii->ni", g)) + 1e-300
+    done = np.zeros(len(todo), bool)
+    steps = 0
+    while not done.all() and steps < 50 * (m + 1):
+        steps += 1
+        at = np.flatnonzero(~done)
+        ga, xa, fa = g[at], x[at], fixed[at]
+        right = r[at] - np.einsum("nij,nj->ni", ga, np.where(fa, xa, 0.0))
+        reduced = np.where(fa[:, :, None] | fa[:, None, :], 0.0, ga) + np.eye(m) * fa[:, :, None]
+        goal = np.where(fa, xa, _free_solution(reduced, np.where(fa, xa, right)))
+        move = goal - xa
+        with np.errstate(all="ignore"):
+            room = np.where(move > 0, (high - xa) / move, np.where(move < 0, (low - xa) / move, np.inf))
+        room = np.where(fa, np.inf, room)
+        share = np.minimum(room.min(axis=1), 1.0)
+        new = np.clip(xa + share[:, None] * move, low, high)
+        stops = ~fa & (room <= share[:, None]) & (share[:, None] < 1)
+        new = np.where(stops, np.where(move > 0, high, low), new)
+        fa = fa | stops
+        inside = ~stops.any(axis=1)
+        pull = r[at] - np.einsum("nij,nj->ni", ga, new)
+        size = np.abs(r[at]) + np.einsum("nij,nj->ni", np.abs(ga), np.abs(new))
+        inwards = fa & (((new == low) & (pull > 0)) | ((new == high) & (pull < 0))) & (low < high)
+        gain = np.where(inwards & (np.abs(pull) > 1e-12 * size), np.abs(pull) / scale[at], 0.0)
+        free = inside & (gain.max(axis=1) > 0)
+        fa[free, gain.argmax(axis=1)[free]] = False
+        x[at], fixed[at] = new, fa
+        done[at] = inside & ~free
+    for i in np.flatnonzero(~done):  # round-off alone keeps a set from settling
+        last = None
+        while last is None or np.abs(x[i] - last).max() > 1e-12 * (1 + np.abs(last).max()):
+            last = x[i].copy()
+            for j in range(m):
+                if g[i, j, j] > 0:
+                    x[i, j] = np.clip(x[i, j] + (r[i, j] - g[i, j] @ x[i]) / g[i, j, j], low[j], high[j])
+    out[todo] = x
+    return out
 
 
 def _solve(sums: DataFrame, bounds: list[tuple[float, float]]) -> DataFrame:
-    """Linear parameters a0, a1, ... and ``sse`` by triangular factorization of
-    the normal equations. A direction without weight of its own gets 0."""
+    """Linear parameters a0, a1, ... within their bounds, and ``sse``."""
     m = len(bounds)
-    df = sums
-    for j in range(m):
-        pivot = F.col(f"g{j}_{j}") - total(
-            [F.pow(F.col(f"l{j}_{k}"), 2) * F.col(f"d{k}") for k in range(j)]
-        )
-        df = df.withColumn(f"d{j}", pivot).withColumn(
-            f"d{j}", F.when(F.col(f"d{j}") > 1e-12 * F.col(f"g{j}_{j}"), F.col(f"d{j}"))
-        )
-        for i in range(j + 1, m):
-            top = F.col(f"g{i}_{j}") - total(
-                [
-                    F.col(f"l{i}_{k}") * F.col(f"l{j}_{k}") * F.coalesce(f"d{k}", F.lit(0.0))
-                    for k in range(j)
-                ]
-            )
-            df = df.withColumn(
-                f"l{i}_{j}", F.coalesce(F.try_divide(top, F.col(f"d{j}")), F.lit(0.0))
-            )
-        df = df.withColumn(
-            f"z{j}",
-            F.col(f"r{j}")
-            - total([F.col(f"l{j}_{k}") * F.col(f"z{k}") for k in range(j)]),
-        )
-    for j in reversed(range(m)):
-        solved = F.try_divide(f"z{j}", f"d{j}") - total(
-            [F.col(f"l{i}_{j}") * F.col(f"_a{i}") for i in range(j + 1, m)]
-        )
-        df = df.withColumn(f"_a{j}", F.coalesce(solved, F.lit(0.0)))
-    df = df.withColumn("_in", _bounded(bounds)).withColumns(
-        {f"a{j}": F.get("_in", F.lit(j)) for j in range(m)}
+
+    def solve(sums: pa.Array) -> pa.Array:
+        flat = sums.flatten().to_numpy(zero_copy_only=False).reshape(-1, m * m + m)
+        found = bounded_solution(flat[:, : m * m].reshape(-1, m, m), flat[:, m * m :], bounds)
+        ends = np.arange(len(found) + 1, dtype=np.int32) * m
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()))
+
+    products = [F.col(f"g{max(i, j)}_{min(i, j)}") for i in range(m) for j in range(m)]
+    given = F.transform(
+        F.array(*products, *[F.col(f"r{i}") for i in range(m)]), lambda v: F.coalesce(v, F.lit(float("nan")))
     )
+    # said to be nondeterministic, so that it is worked out once
+    solved = F.arrow_udf(solve, "array<double>").asNondeterministic()(given)
+    df = sums.withColumn("_in", solved).withColumns({f"a{j}": F.get("_in", F.lit(j)) for j in range(m)})
     sse = F.col("yy") - 2 * total([F.col(f"a{i}") * F.col(f"r{i}") for i in range(m)])
     for i in range(m):
         for j in range(i + 1):
@@ -189,97 +206,102 @@ def fit(
     y: str = "intensity",
     grid: int = 9,
     rounds: int = 4,
+    sweeps: int = 2,
     cutoff_ranges: list[tuple[float, float]] | None = None,
 ) -> DataFrame:
     """One row per measurement: ``fit_params_all`` in the order of the model,
     ``fit_params_{i}`` per term and ``sse``. Shape parameters need finite bounds.
-    The initial guess is one more candidate of the first round. Measurements
-    without a finite result are dropped."""
+
+    In a round each term with shape parameters has its turn (with several such
+    terms, ``sweeps`` turns): a grid over its own shapes is tried, the others stay
+    as found so far, at first at the initial guess. What was found is one more
+    candidate. Then all grids are narrowed. Measurements without a finite result
+    are dropped.
+    """
     slots = _slots(model)
-    shapes = [s["parameter"] for s in slots if not s["linear"]]
-    if any(math.isinf(p.min_value) or math.isinf(p.max_value) for p in shapes):
+    shapes = [s for s in slots if not s["linear"]]
+    limits = [(s["parameter"].min_value, s["parameter"].max_value) for s in shapes]
+    if any(math.isinf(v) for ends in limits for v in ends):
         raise ValueError("shape parameters need finite bounds")
     bounds = _linear_bounds(slots)
-    offsets = _offsets(len(shapes), grid)
-    # the index of a candidate breaks ties, so it is part of the result
-    candidates = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("cand"),
-                *[F.lit(v).alias(f"o{j}") for j, v in enumerate(o)],
-            )
-            for i, o in enumerate(offsets)
-        ]
+    turns = [
+        [j for j, s in enumerate(shapes) if s["term"] == term]
+        for term in sorted({s["term"] for s in shapes})
+    ] or [[]]
+    # all that follows is by measurement: one exchange serves every round
+    rows = (
+        points.select(ID, F.col(x).alias("_x"), F.col(y).alias("_y"))
+        .withColumn("_w", _weight("_x", cutoff_ranges))
+        .repartition(ID)
     )
-    rows = points.select(
-        ID, "pos", F.col(x).alias("_x"), F.col(y).alias("_y")
-    ).withColumn("_w", _weight("_x", cutoff_ranges))
-    half = [(p.max_value - p.min_value) / 2 for p in shapes]
+    half = [(high - low) / 2 for low, high in limits]
+    middle = [(high + low) / 2 for low, high in limits]
     best = None
     for number in range(rounds if shapes else 1):
-        if best is None:
-            start = rows.withColumns(
-                {
-                    f"c{j}": F.lit((p.max_value + p.min_value) / 2)
-                    for j, p in enumerate(shapes)
-                }
-            ) if shapes else rows
-        else:
-            center = best.select(
-                ID, *[F.col(f"s{j}").alias(f"c{j}") for j in range(len(shapes))]
-            )
-            start = attach(rows, center, [ID], ["pos"])
-        tried = start.withColumn("_c", F.explode(candidates)).select(
-            ID,
-            "_x",
-            "_y",
-            "_w",
-            F.col("_c.cand").alias("cand"),
-            *[
-                F.greatest(
-                    F.lit(p.min_value),
-                    F.least(
-                        F.lit(p.max_value),
-                        F.col(f"c{j}") + F.col(f"_c.o{j}") * half[j],
-                    ),
-                ).alias(f"s{j}")
-                for j, p in enumerate(shapes)
-            ],
-        )
-        if best is None and shapes:
-            guess = rows.select(
-                ID,
-                "_x",
-                "_y",
-                "_w",
-                F.lit(len(offsets)).alias("cand"),
-                *[F.lit(float(p.value)).alias(f"s{j}") for j, p in enumerate(shapes)],
-            )
-            tried = tried.unionByName(guess)
-        tried = tried.withColumns(
-            {f"b{i}": b for i, b in enumerate(_bases(model, "_x"))}
-        )
-        solved = _solve(_sums(tried, len(bounds), len(shapes), "_y"), bounds)
-        keep = [f"s{j}" for j in range(len(shapes))]
-        keep += [f"a{i}" for i in range(len(bounds))] + ["sse"]
-        # candidates without a finite result come last; filtering them before the
-        # aggregation would push the whole solution into the filter as well
-        none = F.col("sse").isNull() | F.isnan("sse")
-        best = (
-            solved.groupBy(ID)
-            .agg(
-                F.min_by(
-                    F.struct(*keep),
-                    F.struct(none, F.round("sse", SSE_DIGITS), F.col("cand")),
-                ).alias("_b")
-            )
-            .select(ID, "_b.*")
-            .filter(F.col("sse").isNotNull() & ~F.isnan("sse"))
-        )
+        for turn in turns * (sweeps if len(turns) > 1 else 1):
+            center = {j: F.lit(float(middle[j])) for j in turn} if number == 0 else None
+            best = _tried(rows, best, model, shapes, limits, bounds, turn, center, half, grid)
+            if shapes:  # one row per measurement; plans stay short however many turns
+                best = written(best, "fit")
         half = [h * 2.0 / (grid - 1) for h in half]
     return _named(best, model, slots)
 
 
+def _tried(rows, best, model, shapes, limits, bounds, turn, center, half, grid) -> DataFrame:
+    """The best shapes of each measurement after a grid over those of ``turn``,
+    around ``center`` or around what was ``best`` so far."""
+    if best is None:
+        start = rows.withColumns({f"s{j}": F.lit(float(s["parameter"].value)) for j, s in enumerate(shapes)})
+    else:
+        start = rows.join(best.select(ID, *[f"s{j}" for j in range(len(shapes))]), ID)
+    offsets = _offsets(len(turn), grid)
+    # the index of a candidate breaks ties, so it is part of the result; the
+    # last one stays where the search was
+    candidates = F.array(
+        *[
+            F.struct(F.lit(i).alias("cand"), *[F.lit(v).alias(f"o{j}") for j, v in zip(turn, o)])
+            for i, o in enumerate(offsets)
+        ],
+        *(
+            [F.struct(F.lit(len(offsets)).alias("cand"), *[F.lit(None).cast("double").alias(f"o{j}") for j in turn])]
+            if turn
+            else []
+        ),
+    )
+
+    def shape(j: int) -> Column:
+        own = F.col(f"s{j}")
+        if j not in turn:
+            return own
+        at = own if center is None else center[j]
+        low, high = (F.lit(float(v)) for v in limits[j])
+        moved = F.greatest(low, F.least(high, at + F.col(f"_c.o{j}") * half[j]))
+        return F.when(F.col(f"_c.o{j}").isNull(), own).otherwise(moved)
+
+    tried = start.withColumn("_c", F.explode(candidates)).select(
+        ID, "_x", "_y", "_w", F.col("_c.cand").alias("cand"),
+        *[shape(j).alias(f"s{j}") for j in range(len(shapes))],
+    )
+    tried = tried.withColumns({f"b{i}": b for i, b in enumerate(_bases(model, "_x"))})
+    solved = _solve(_sums(tried, len(bounds), len(shapes), "_y"), bounds)
+    keep = [f"s{j}" for j in range(len(shapes))]
+    keep += [f"a{i}" for i in range(len(bounds))] + ["sse"]
+    # candidates without a finite result come last; filtering them before the
+    # aggregation would push the whole solution into the filter as well
+    none = F.col("sse").isNull() | F.isnan("sse")
+    return (
+        solved.groupBy(ID)
+        .agg(
+            F.min_by(
+                F.struct(*keep),
+                F.struct(none, F.round("sse", SSE_DIGITS), F.col("cand")),
+            ).alias("_b")
+        )
+        .select(ID, "_b.*")
+        .filter(F.col("sse").isNotNull() & ~F.isnan("sse"))
+    )
+
+
 def _named(best: DataFrame, model: TermSum, slots: list[dict]) -> DataFrame:
     per_term: list[list[Column]] = [[] for _ in model.functions]
     shape = linear = 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import tidy
@@ -218,42 +220,122 @@ CUT_MODEL = terms.TermSum(
 
 
 def fit_cutoff(spark, d):
-    fitted = fit.fit(
-        adapters.peaked_profiles(spark, d),
-        CUT_MODEL,
-        grid=11,
-        rounds=1,
-        cutoff_ranges=CUT,
-    )
+    fitted = fit.fit(adapters.peaked_profiles(spark, d), CUT_MODEL, cutoff_ranges=CUT)
     return _fit_rows(fitted, 3)
 
 
+def _cut_rounds() -> str:
+    """The grid rounds of a Lorentzian with weights; its one linear parameter is
+    the free one cut to its bounds."""
+    solve = """
+, f{r} as (
+    select measurement_id, cand, c, s, sum(w * b * b) as bb, sum(w * b * y) as bys,
+           sum(w * y * y) as yy from (
+        select measurement_id, cand, c, s, intensity as y, s * s / ((q - c) ** 2 + s * s) as b,
+               case when q > 1.0 and q < 1.75 then 1e-12::double else 1 end as w from t{r})
+    group by all)
+, e{r} as (select *, greatest(0, least(10, bys / bb)) as amp from f{r})
+, a{r} as (select *, greatest(0, yy - 2 * amp * bys + amp * amp * bb) as sse from e{r})
+, w{r} as (
+    select * from (select *, row_number() over (partition by measurement_id
+                       order by round(sse, 9), cand) as rn from a{r}) where rn = 1)
+"""
+    last = GRID - 1
+    text = f"""
+, o as (select i * {GRID} + j as cand, 2.0::double * i / {last} - 1 as oc, 2.0::double * j / {last} - 1 as os
+        from range(0, {GRID}) a(i), range(0, {GRID}) b(j))
+, t1 as (
+    select p.*, cand, c, s from peaked p, (
+        select cand, greatest(1, least(6, 3.5::double + oc * 2.5)) as c,
+               greatest(0.1::double, least(1.5::double, 0.8::double + os * 0.7::double)) as s from o
+        union all select {GRID * GRID}, 2.0, 0.5) g)
+""" + solve.format(r=1)
+    half_c, half_s = "2.5::double", "0.7::double"
+    for r in range(2, ROUNDS + 1):
+        half_c, half_s = f"({half_c} * 2.0::double / {last})", f"({half_s} * 2.0::double / {last})"
+        text += f"""
+, t{r} as (
+    select p.*, o.cand, greatest(1, least(6, w.c + oc * {half_c})) as c,
+           greatest(0.1::double, least(1.5::double, w.s + os * {half_s})) as s
+    from peaked p join w{r - 1} w using (measurement_id) cross join o)
+""" + solve.format(r=r)
+    return text
+
+
 FIT_CUTOFF = with_tables(
     "peaked",
-    """
-, g as (
-    select i * 11 + j as cand, greatest(1, least(6, 3.5::double + (2.0::double * i / 10 - 1) * 2.5)) as c,
-           greatest(0.1::double, least(1.5::double, 0.8::double + (2.0::double * j / 10 - 1) * 0.7::double)) as s
-    from range(0, 11) a(i), range(0, 11) b(j)
-    union all select 121, 2.0, 0.5)
-, t as (
-    select measurement_id, cand, c, s, intensity as y, s * s / ((q - c) ** 2 + s * s) as b,
-           case when q > 1.0 and q < 1.75 then 1e-12::double else 1 end as w from peaked, g)
-, f as (
-    select measurement_id, cand, c, s, sum(w * b * b) as bb, sum(w * b * y) as bys,
-           sum(w * y * y) as yy from t group by all)
-, e as (
-    select *, greatest(0, least(10, bys / bb)) as amp from f)
-, r as (
-    select *, greatest(0, yy - 2 * amp * bys + amp * amp * bb) as sse from e)
-, x as (
-    select *, row_number() over (partition by measurement_id order by round(sse, 9), cand) as rn from r)
-select measurement_id, round(amp + 3.3e-9, 6) as p0, round(c + 3.3e-9, 6) as p1,
-       round(s + 3.3e-9, 6) as p2, round(sse, 6) as sse
-from x where rn = 1""",
+    _cut_rounds()
+    + f"""
+select measurement_id, round(amp + {NUDGE}, 6) as p0, round(c + {NUDGE}, 6) as p1,
+       round(s + {NUDGE}, 6) as p2, round(sse, 6) as sse
+from w{ROUNDS}""",
+)
+
+
+# Two peaks that overlap, and a constant; shapes are fixed, bounds bind.
+OVERLAP_BOUNDS = [(0.0, 2.5), (0.0, 3.0), (0.2, 1.2)]
+OVERLAP_MODEL = terms.TermSum(
+    (
+        terms.GaussianPeak(Parameter(1.0, 0.0, 2.5), Parameter(2.4, 2.4, 2.4), Parameter(0.6, 0.6, 0.6)),
+        terms.GaussianPeak(Parameter(1.0, 0.0, 3.0), Parameter(2.7, 2.7, 2.7), Parameter(0.6, 0.6, 0.6)),
+        terms.ConstantBackground(Parameter(0.5, 0.2, 1.2)),
+    )
 )
 
 
+def fit_overlap(spark, d):
+    fitted = fit.fit(adapters.peaked_profiles(spark, d), OVERLAP_MODEL, grid=3, rounds=1, sweeps=1)
+    return fitted.select(
+        ID, *[tidy(F.get("fit_params_all", F.lit(i))).alias(f"p{n}") for n, i in enumerate((0, 3, 6))], tidy("sse").alias("sse")
+    )
+
+
+def _overlap_sql() -> str:
+    """All 27 ways to put each of three parameters at its lower bound, at its
+    upper bound or free; the best that keeps the bounds is the minimum."""
+    names, ways = ("a", "b", "c"), []
+    for way in itertools.product(("low", "high", "free"), repeat=3):
+        at = {n: OVERLAP_BOUNDS[i][0 if way[i] == "low" else 1] for i, n in enumerate(names) if way[i] != "free"}
+        free = [i for i in range(3) if way[i] == "free"]
+        rest = {
+            i: f"(r{i}" + "".join(f" - g{min(i, j)}{max(i, j)} * {at[n]}::double" for j, n in enumerate(names) if n in at) + ")"
+            for i in free
+        }
+        g = lambda i, j: f"g{min(i, j)}{max(i, j)}"
+        if len(free) == 1:
+            solved = {free[0]: f"{rest[free[0]]} / {g(free[0], free[0])}"}
+        elif len(free) == 2:
+            i, j = free
+            det = f"({g(i, i)} * {g(j, j)} - {g(i, j)} ** 2)"
+            solved = {
+                i: f"({rest[i]} * {g(j, j)} - {rest[j]} * {g(i, j)}) / {det}",
+                j: f"({rest[j]} * {g(i, i)} - {rest[i]} * {g(i, j)}) / {det}",
+            }
+        else:
+            minor = lambda i, j: f"({g((i + 1) % 3, (j + 1) % 3)} * {g((i + 2) % 3, (j + 2) % 3)} - {g((i + 1) % 3, (j + 2) % 3)} * {g((i + 2) % 3, (j + 1) % 3)})"
+            det = "(" + " + ".join(f"{g(0, j)} * {minor(0, j)}" for j in range(3)) + ")" if free else "1"
+            solved = {i: "(" + " + ".join(f"r{j} * {minor(j, i)}" for j in range(3)) + f") / {det}" for i in free}
+        fields = [f"'{n}': {at[n]}::double" if n in at else f"'{n}': {solved[i]}" for i, n in enumerate(names)]
+        ways.append("{" + ", ".join(fields) + "}")
+    inside = " and ".join(f"w.{n} between {lo} and {hi}" for n, (lo, hi) in zip(names, OVERLAP_BOUNDS))
+    squares = "yy - 2 * (w.a * r0 + w.b * r1 + w.c * r2) + w.a * w.a * g00 + w.b * w.b * g11 + w.c * w.c * g22 + 2 * (w.a * w.b * g01 + w.a * w.c * g02 + w.b * w.c * g12)"
+    return with_tables(
+        "peaked",
+        f"""
+, bases as (
+    select measurement_id, intensity as y, exp(-(((q - 2.4::double) / 0.6::double) ** 2) / 2) as f0,
+           exp(-(((q - 2.7::double) / 0.6::double) ** 2) / 2) as f1, 1::double as f2 from peaked)
+, sums as (
+    select measurement_id, sum(y * y) as yy, {", ".join(f"sum(f{i} * y) as r{i}" for i in range(3))},
+           {", ".join(f"sum(f{i} * f{j}) as g{i}{j}" for i in range(3) for j in range(i, 3))}
+    from bases group by 1)
+, ways as (select *, unnest([{", ".join(ways)}]) as w from sums)
+select measurement_id, round(arg_min(w.a, {squares}), 6) + 0.0 as p0, round(arg_min(w.b, {squares}), 6) + 0.0 as p1,
+       round(arg_min(w.c, {squares}), 6) + 0.0 as p2, round(greatest(0, min({squares})), 6) as sse
+from ways where {inside} group by measurement_id""",
+    )
+
+
 def fit_condition(spark, d):
     """Condition at known parameters of a single Gaussian."""
     peak = terms.TermSum((MODEL.functions[0],))
@@ -366,5 +448,6 @@ QUERIES = {
         ),
     ),
     "fit_cutoff": (fit_cutoff, FIT_CUTOFF),
+    "fit_overlap": (fit_overlap, _overlap_sql()),
     "fit_condition": (fit_condition, FIT_CONDITION),
 }

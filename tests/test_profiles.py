@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -245,3 +246,60 @@ def test_bound_that_binds_moves_the_other_parameter(spark):
     assert abs(row["fit_params_0"][0]) < 1e-9
     assert abs(row["fit_params_1"][0] - y.mean()) < 1e-6
     assert abs(row["sse"] - ((y - y.mean()) ** 2).sum()) < 1e-6
+
+
+def test_overlapping_peaks_with_a_binding_bound():
+    """Two peaks of width 0.6, 0.1 apart, and a constant at its bound."""
+    q = 0.1 * np.arange(1, 65)
+    basis = np.stack([np.exp(-(((q - c) / 0.6) ** 2) / 2) for c in (3.0, 3.1)] + [np.ones(64)], axis=1)
+    y = basis @ [1.8, 2.9, 0.4] + 0.05 * np.sin(7 * q)
+    bounds = [(0.0, 10.0), (0.0, 10.0), (0.5, 2.0)]
+    found = fit.bounded_solution((basis.T @ basis)[None], (basis.T @ y)[None], bounds)[0]
+    assert found[2] == 0.5
+    free = np.linalg.lstsq(basis[:, :2], y - 0.5, rcond=None)[0]
+    assert np.allclose(found[:2], free, atol=1e-9)
+
+
+def test_bounded_solution_equals_all_sets_of_bounds():
+    rng = np.random.default_rng(1)
+    bounds = [(-0.3, 0.2), (0.0, 1.0), (-1.0, 0.05), (0.1, 0.1)]
+    for m in (1, 2, 3, 4):
+        a = rng.normal(size=(60, 9, m)).cumsum(axis=2) * 0.3
+        y = rng.normal(size=(60, 9)) * 2
+        g, r = np.einsum("nki,nkj->nij", a, a), np.einsum("nki,nk->ni", a, y)
+        found = fit.bounded_solution(g.copy(), r.copy(), bounds[:m])
+        for i in range(60):
+            best = math.inf
+            for way in itertools.product((0, 1, None), repeat=m):
+                x = np.array([bounds[j][w] if w is not None else 0.0 for j, w in enumerate(way)])
+                free = [j for j in range(m) if way[j] is None]
+                if free:
+                    x[free] = np.linalg.solve(g[i][np.ix_(free, free)], r[i][free] - g[i][free] @ x)
+                if all(lo - 1e-12 <= v <= hi + 1e-12 for v, (lo, hi) in zip(x, bounds)):
+                    best = min(best, ((a[i] @ x - y[i]) ** 2).sum())
+            assert ((a[i] @ found[i] - y[i]) ** 2).sum() == pytest.approx(best, abs=1e-9)
+            assert all(lo <= v <= hi for v, (lo, hi) in zip(found[i], bounds))
+    nothing = fit.bounded_solution(np.full((1, 2, 2), np.nan), np.ones((1, 2)), bounds[:2])
+    assert np.isnan(nothing).all()
+
+
+def test_background_and_two_peaks(spark):
+    q = 0.1 * np.arange(1, 65)
+
+    def curve(c1, c2):
+        return (
+            0.7 / q + 0.3 + 3 * np.exp(-((q - c1) ** 2) / (2 * 0.3**2)) + 1.5 / (1 + ((q - c2) / 0.4) ** 2)
+        )
+
+    p = terms.Parameter
+    model = terms.TermSum(
+        (
+            terms.InversePowerBackground(p(1.2, 0.5, 2), p(1, 0, 9), p(0, -1, 1)),
+            terms.GaussianPeak(p(1, 0, 9), p(2.2, 1, 3), p(0.4, 0.1, 1)),
+            terms.LorentzianPeak(p(1, 0, 9), p(4.2, 3, 6), p(0.5, 0.1, 1)),
+        )
+    )
+    rows = fit.fit(profile_frame(spark, {1: curve(2.0, 4.5), 2: curve(2.3, 4.0)}), model, grid=7, rounds=5)
+    got = {r["measurement_id"]: r for r in rows.collect()}
+    assert np.allclose(got[1]["fit_params_all"], [1, 0.7, 0.3, 3, 2.0, 0.3, 1.5, 4.5, 0.4], atol=0.05)
+    assert np.allclose(got[2]["fit_params_2"][1], 4.0, atol=0.05) and got[2]["sse"] < 1e-2
