@@ -85,10 +85,11 @@ def read(spark: SparkSession, out: str, columns: list[str]) -> DataFrame:
     )
 
 
-def starts(rows: DataFrame) -> DataFrame:
-    """Adds start: the ids in all rows before. Files are summed first, so no
-    window is larger than a file or the list of files."""
-    files = rows.groupBy("_file").agg(F.sum("n_tokens").alias("_n"))
+def starts(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Adds start: the ids in all rows before. ``counts`` has the stored n_tokens
+    of all rows; files are summed first, so no window is larger than a file or
+    the list of files."""
+    files = counts.groupBy("_file").agg(F.sum("n_tokens").alias("_n"))
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     base = files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("_file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
@@ -118,4 +119,4 @@ def digest(spark: SparkSession, out: str, key: str = "doc_id") -> DataFrame:
     rows = read(spark, out, [key, "ids"]).select("ids", key, "_file", "_at")
     kind = rows.schema[key].dataType.simpleString()
     found = rows.mapInArrow(run, f"`{key}` {kind}, _file int, _at long, n_tokens long, ids_crc32 long")
-    return starts(found).select(key, "start", "n_tokens", "ids_crc32")
+    return starts(found, read(spark, out, ["n_tokens"])).select(key, "start", "n_tokens", "ids_crc32")
