@@ -206,7 +206,9 @@ class PatientForest:
         max_depth_second: int = 10,
         random_state: int = 32,
         split: float = 0.4,
+        bootstrap: bool = True,
     ):
+        self.bootstrap = bootstrap
         self.n_estimators = n_estimators_first
         self.max_depth_first = max_depth_first
         self.max_depth_second = max_depth_second
@@ -218,6 +220,7 @@ class PatientForest:
             numTrees=self.n_estimators,
             maxDepth=depth,
             seed=self.random_state,
+            bootstrap=self.bootstrap,
             featuresCol="_v",
             labelCol="_y",
         )
