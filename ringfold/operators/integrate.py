@@ -74,6 +74,16 @@ def with_chi_bin(geo: DataFrame, npt_azim: int) -> DataFrame:
     )
 
 
+def solid_angle() -> Column:
+    """Solid angle of a pixel relative to one of the same size at the foot of the
+    perpendicular from the sample: the cube of distance over the pixel's own
+    distance. Both are measured in the detector's plane, so tilts do not enter."""
+    y = (F.col("row_idx") + 0.5) * F.col("pixel1") - F.col("poni1")
+    x = (F.col("col_idx") + 0.5) * F.col("pixel2") - F.col("poni2")
+    away = F.sqrt(F.col("distance_m") * F.col("distance_m") + y * y + x * x)
+    return F.pow(F.col("distance_m") / away, F.lit(3))
+
+
 def _bin_q() -> Column:
     return F.max("q_first") + (F.col("pos") + 0.5) * F.max("q_step")
 
@@ -83,20 +93,16 @@ def integrate_1d(
     npt: int = 256,
     q_range: Range = AUTO,
     chi_range: Range | None = None,
-    solid_angle: bool = False,
+    correct_solid_angle: bool = False,
 ) -> DataFrame:
     """Profile of each measurement: mean, std and standard error per q bin.
 
-    One shuffle on (measurement, bin), after partial aggregation.
+    One shuffle on (measurement, bin), after partial aggregation. With
+    ``correct_solid_angle`` the intensity is the sum of values over the sum of
+    solid angles; std and standard error stay those of the values.
     """
     binned = with_q_bin(in_ranges(geo, None, chi_range), npt, q_range)
-    if solid_angle:
-        cos = F.cos(
-            2 * F.asin(F.col("q") * F.col("wavelength_nm") / (4 * F.pi()))
-        )
-        intensity = F.sum("value") / F.sum(F.pow(cos, 3))
-    else:
-        intensity = F.avg("value")
+    intensity = F.sum("value") / F.sum(solid_angle()) if correct_solid_angle else F.avg("value")
     return (
         binned.groupBy(ID, "pos")
         .agg(
@@ -120,15 +126,18 @@ def integrate_2d(
     npt_azim: int = 360,
     q_range: Range = AUTO,
     chi_range: Range | None = None,
+    correct_solid_angle: bool = False,
 ) -> DataFrame:
-    """Cake of each measurement: mean per (azimuth bin, q bin)."""
+    """Cake of each measurement: mean per (azimuth bin, q bin), or the sum of
+    values over the sum of solid angles."""
+    intensity = F.sum("value") / F.sum(solid_angle()) if correct_solid_angle else F.avg("value")
     binned = with_chi_bin(
         with_q_bin(in_ranges(geo, None, chi_range), npt, q_range), npt_azim
     )
     return binned.groupBy(ID, "chi_bin", "pos").agg(
         _bin_q().alias("q"),
         (-180.0 + (F.col("chi_bin") + 0.5) * (360.0 / npt_azim)).alias("chi"),
-        F.avg("value").alias("intensity"),
+        intensity.alias("intensity"),
         F.max("q_first").alias("q_first"),
         F.max("q_step").alias("q_step"),
         (F.max("q_first") + (npt - 0.5) * F.max("q_step")).alias("q_max"),
@@ -179,6 +188,7 @@ def sigma_clip(
     max_iter: int = 5,
     q_range: Range = AUTO,
     chi_range: Range | None = None,
+    correct_solid_angle: bool = False,
 ) -> DataFrame:
     """Profile after dropping pixels farther than ``thres`` std from the mean of
     their bin, repeated ``max_iter`` times.
@@ -186,8 +196,11 @@ def sigma_clip(
     A pixel survives while its value lies in every interval so far, so the
     state between rounds is one interval per bin, and a round reads value counts
     instead of pixels. The plan grows by one join and one aggregation a round
-    and the exchange of the counts is reused.
+    and the exchange of the counts is reused. With ``correct_solid_angle`` every
+    value is divided by its pixel's solid angle first.
     """
+    if correct_solid_angle:
+        geo = geo.withColumn("value", F.col("value") / solid_angle())
     rows = with_q_bin(in_ranges(geo, None, chi_range), npt, q_range).select(
         ID, "pos", "value", "q_first", "q_step"
     )
@@ -310,6 +323,7 @@ def rotating_angles(
     angles: list[tuple[float, float]],
     npt: int = 256,
     q_range: Range = AUTO,
+    correct_solid_angle: bool = False,
 ) -> DataFrame:
     """Profile of each measurement in each angular range.
 
@@ -334,14 +348,18 @@ def rotating_angles(
     rows = (
         with_q_bin(geo, npt, q_range)
         .withColumn("_hit", F.explode(F.array_compact(F.array(*hits))))
-        .select(ID, "pos", "value", "q_first", "q_step", "_hit.*")
+        .withColumn("_solid", solid_angle() if correct_solid_angle else F.lit(1.0))
+        .select(ID, "pos", "value", "_solid", "q_first", "q_step", "_hit.*")
     )
     per_part = []
     for number in (0, 1):
         here = F.when(F.col("part") == number, F.col("value"))
+        mean = F.avg(here)
+        if correct_solid_angle:
+            mean = F.sum(here) / F.sum(F.when(F.col("part") == number, F.col("_solid")))
         weight = F.max(F.when(F.col("part") == number, F.col("weight")))
         per_part += [
-            F.avg(here).alias(f"mean{number}"),
+            mean.alias(f"mean{number}"),
             F.stddev_pop(here).alias(f"std{number}"),
             F.count(here).alias(f"n{number}"),
             weight.alias(f"w{number}"),

@@ -77,7 +77,7 @@ from binned group by measurement_id, pos""",
 
 
 def integrate_solid_angle(spark, d):
-    df = integrate.integrate_1d(geo(spark, d), NPT, solid_angle=True)
+    df = integrate.integrate_1d(geo(spark, d), NPT, correct_solid_angle=True)
     return df.select(
         ID, F.col("pos").cast("long").alias("pos"), tidy("intensity").alias("intensity")
     )
@@ -179,8 +179,8 @@ def pixel_q_from_text(spark, d):
     )
 
 
-def pixel_q_tilted(spark, d):
-    """Geometry from calibration texts whose detectors are turned."""
+def _tilted(spark, d):
+    """Pixels with the geometry of calibration texts whose detectors are turned."""
     turns = {"Rot1": "(cal_id % 5 - 2) * 0.01D", "Rot2": "(cal_id % 7 - 3) * 0.02D", "Rot3": "(cal_id % 3) * 0.3D"}
     text = F.concat(
         "ponifile", *[F.concat(F.lit(f"\n{k}: "), F.format_string("%.4f", F.expr(v))) for k, v in turns.items()]
@@ -189,17 +189,19 @@ def pixel_q_tilted(spark, d):
         adapters.calibrations(spark, d).select("cal_id", text.alias("ponifile"))
     )
     rows = calibration.attach_calibration(adapters.pixels(spark, d), parsed)
-    return calibration.with_geometry(rows).select(
+    return calibration.with_geometry(rows)
+
+
+def pixel_q_tilted(spark, d):
+    return _tilted(spark, d).select(
         ID, "row_idx", "col_idx", tidy("q").alias("q"), tidy("chi").alias("chi")
     )
 
 
 # The turned coordinates as one matrix product.
-PIXEL_Q_TILTED = with_tables(
-    "pixels calibrations",
-    """
+TILTED = """
 , placed as (
-    select measurement_id, row_idx, col_idx, wavelength_nm, distance_m as l,
+    select measurement_id, row_idx, col_idx, value, wavelength_nm, distance_m as l,
            (row_idx + 0.5::double) * pixel1 - poni1 as p1, (col_idx + 0.5::double) * pixel2 - poni2 as p2,
            (cal_id % 5 - 2) * 0.01::double as a, (cal_id % 7 - 3) * 0.02::double as b, (cal_id % 3) * 0.3::double as c
     from pixels join calibrations using (cal_id))
@@ -209,13 +211,48 @@ PIXEL_Q_TILTED = with_tables(
            p1*cos(b)*sin(c) + p2*(cos(a)*cos(c) + sin(a)*sin(b)*sin(c)) - l*(cos(a)*sin(b)*sin(c) - cos(c)*sin(a)) as t2,
            p1*sin(b) - p2*cos(b)*sin(a) + l*cos(a)*cos(b) as t3
     from placed)
-select measurement_id, row_idx, col_idx,
-       round(4 * pi() / wavelength_nm * sin(atan2(sqrt(t1 * t1 + t2 * t2), t3) / 2), 6) as q,
-       round(degrees(atan2(t1, t2)), 6) as chi
-from turned""",
+, tilted as (
+    select measurement_id, row_idx, col_idx, value,
+           4 * pi() / wavelength_nm * sin(atan2(sqrt(t1 * t1 + t2 * t2), t3) / 2) as q, degrees(atan2(t1, t2)) as chi,
+           -- the direction to the pixel and the detector's normal, both turned
+           ((t1 * n1 + t2 * n2 + t3 * n3) / sqrt(t1 * t1 + t2 * t2 + t3 * t3)) ** 3 as solid
+    from (select *, -(cos(a)*cos(c)*sin(b) + sin(a)*sin(c)) as n1, -(cos(a)*sin(b)*sin(c) - cos(c)*sin(a)) as n2,
+                 cos(a)*cos(b) as n3 from turned))
+"""
+
+PIXEL_Q_TILTED = with_tables(
+    "pixels calibrations",
+    TILTED
+    + """select measurement_id, row_idx, col_idx, round(q, 6) as q, round(chi, 6) as chi from tilted""",
 )
 
 
+def solid_angle_tilted(spark, d):
+    df = integrate.integrate_1d(_tilted(spark, d), NPT, SAXS_RANGE, correct_solid_angle=True)
+    return df.select(ID, F.col("pos").cast("long").alias("pos"), tidy("intensity").alias("intensity"))
+
+
+def solid_angle_cake(spark, d):
+    df = integrate.integrate_2d(_tilted(spark, d), NPT, AZIM, SAXS_RANGE, correct_solid_angle=True)
+    return df.select(
+        ID, F.col("chi_bin").cast("long").alias("chi_bin"), F.col("pos").cast("long").alias("pos"),
+        tidy("intensity").alias("intensity"),
+    )
+
+
+def solid_angle_sector(spark, d):
+    df = integrate.rotating_angles(_tilted(spark, d), [(-45, 60)], NPT, SAXS_RANGE, correct_solid_angle=True)
+    return df.select(ID, F.col("pos").cast("long").alias("pos"), tidy("intensity").alias("intensity"))
+
+
+SOLID = f"""
+, solid as (
+    select *, least(floor((q - {SAXS_RANGE[0]}::double) / ({SAXS_RANGE[1]}::double - {SAXS_RANGE[0]}::double) * {NPT}), {NPT - 1})::bigint as pos,
+           least(floor((chi + 180) / 360.0::double * {AZIM}), {AZIM - 1})::bigint as chi_bin
+    from tilted where q >= {SAXS_RANGE[0]} and q <= {SAXS_RANGE[1]})
+"""
+
+
 def _cake(spark, d):
     return integrate.integrate_2d(geo(spark, d), NPT, AZIM)
 
@@ -762,6 +799,29 @@ QUERIES = {
     "pixel_q_from_columns": (pixel_q_from_columns, PIXEL_Q),
     "pixel_q_from_text": (pixel_q_from_text, PIXEL_Q),
     "pixel_q_tilted": (pixel_q_tilted, PIXEL_Q_TILTED),
+    "solid_angle_tilted": (
+        solid_angle_tilted,
+        with_tables(
+            "pixels calibrations",
+            TILTED + SOLID + "select measurement_id, pos, round(sum(value) / sum(solid), 6) as intensity from solid group by 1, 2",
+        ),
+    ),
+    "solid_angle_cake": (
+        solid_angle_cake,
+        with_tables(
+            "pixels calibrations",
+            TILTED + SOLID + """select measurement_id, chi_bin, pos, round(sum(value) / sum(solid), 6) as intensity
+            from solid group by 1, 2, 3""",
+        ),
+    ),
+    "solid_angle_sector": (
+        solid_angle_sector,
+        with_tables(
+            "pixels calibrations",
+            TILTED + SOLID + """select measurement_id, pos, round(sum(value) / sum(solid), 6) as intensity
+            from solid where chi between -45 and 60 group by 1, 2""",
+        ),
+    ),
     "integrate_2d": (integrate_2d, INTEGRATE_2D),
     "cake_stats": (cake_stats, CAKE_STATS),
     "sigma_clip": (sigma_clip, _sigma_clip_sql(1.5, 5)),

@@ -198,3 +198,15 @@ def test_tilted_range_of_a_detector_beside_the_beam(spark):
         if abs(ranges[r["cal_id"]]["q_lo"] - r["lo"]) > 1e-9 or abs(ranges[r["cal_id"]]["q_hi"] - r["hi"]) > 1e-9
     ]
     assert not wrong, f"{len(wrong)} of 60"
+
+
+def test_solid_angle_does_not_depend_on_tilts(spark):
+    """Distance over the pixel's own distance, cubed, whatever the rotation."""
+    from ringfold.operators import integrate
+
+    row = spark.range(1).select(
+        F.lit(255).alias("row_idx"), F.lit(0).alias("col_idx"), F.lit(0.1).alias("pixel1"), F.lit(0.1).alias("pixel2"),
+        F.lit(12.8).alias("poni1"), F.lit(12.8).alias("poni2"), F.lit(50.0).alias("distance_m"), F.lit(0.4).alias("rot1"),
+    )
+    want = (50 / np.sqrt(50**2 + 2 * 12.75**2)) ** 3
+    assert row.select(integrate.solid_angle()).first()[0] == pytest.approx(want)
