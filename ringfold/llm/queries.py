@@ -198,9 +198,9 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 CLASS_LIST, WORD_LIST = range(len(quality_rules.CLASSES)), quality_rules.WORDS
 
 
-def _divergence_sql(counts: str, kind: str) -> str:
-    """Least divergence of a list of counts from the references of a kind."""
-    return f"""(select min(d) from (
+def _distance_sql(counts: str, kind: str) -> str:
+    """Least distance of a list of counts from the references of a kind."""
+    return f"""(select sqrt(greatest(min(d), 0)) from (
       select list_sum(list_transform(list_zip({counts}, r.{kind}), lambda z:
         (case when z[1] > 0 then z[1]/list_sum({counts}) * log2(z[1]/list_sum({counts}) / ((z[1]/list_sum({counts}) + z[2]/list_sum(r.{kind}))/2)) else 0 end
          + case when z[2] > 0 then z[2]/list_sum(r.{kind}) * log2(z[2]/list_sum(r.{kind}) / ((z[1]/list_sum({counts}) + z[2]/list_sum(r.{kind}))/2)) else 0 end) / 2)) as d
@@ -212,7 +212,7 @@ with t as (
   select doc_id, lang, coalesce(text, '') as x,
     list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w
   from documents
-), f as (
+), counted as (
   select doc_id, lang, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
     length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) as n_symbols,
     len(list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))
@@ -221,12 +221,14 @@ with t as (
      length(regexp_replace(x, '[^A-Z]', '', 'g')), length(regexp_replace(x, '[^0-9]', '', 'g')),
      length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')), length(regexp_replace(x, '[\x00-\x7F]', '', 'g')),
      length(regexp_replace(x, '[a-zA-Z0-9#*$%&|<>\x20\x09-\x0D]|[^\x00-\x7F]', '', 'g'))]::double[] as c,
-    list_transform({WORD_LIST}, lambda k: len(list_filter(w, lambda v: v = k or v = upper(k[1]) || k[2:])))::double[] as k,
+    list_transform({WORD_LIST}, lambda k: len(list_filter(w, lambda v: v = k or v = upper(k[1]) || k[2:])))::double[] as listed,
     w
   from t
+), f as (
+  select *, list_append(listed, len(w) - list_sum(listed)) as k from counted
 ), refs as (
   select lang, [{", ".join(f"sum(c[{i + 1}])" for i in CLASS_LIST)}] as rc,
-    [{", ".join(f"sum(k[{i + 1}])" for i in range(len(WORD_LIST)))}] as rk
+    [{", ".join(f"sum(k[{i + 1}])" for i in range(len(WORD_LIST) + 1))}] as rk
   from f where lang in ('de', 'en', 'es', 'fr') group by lang
 ), g as (
   select doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] as gram
@@ -237,15 +239,15 @@ with t as (
   where m > 1 group by doc_id
 ), told as (
   select f.*, coalesce(rep.n, 0) as n_repeat_words,
-    case when list_sum(c) >= 200 then {_divergence_sql("c", "rc")} end as char_divergence,
-    case when list_sum(k) >= 30 then {_divergence_sql("k", "rk")} end as word_divergence
+    case when list_sum(c) >= 200 then {_distance_sql("c", "rc")} end as char_distance,
+    case when n_words >= 50 then {_distance_sql("k", "rk")} end as word_distance
   from f left join rep using (doc_id)
 )
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
   n_dup_lines::bigint as n_dup_lines, n_repeat_words,
   n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
-  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and coalesce(char_divergence, 0) <= 0.1
-    and coalesce(word_divergence, 0) <= 0.45 as kept
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and coalesce(char_distance, 0) <= 0.27
+    and coalesce(word_distance, 0) <= 0.28 as kept
 from told
 """
 

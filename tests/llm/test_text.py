@@ -143,8 +143,8 @@ def test_quality_rejects_unlike_texts(spark):
     junk = " ".join(f"{i}{'%$#'[i % 3]}7{i * i}" for i in range(200))
     df = spark.createDataFrame([(i, t, "en") for i, t in enumerate([*good, junk])], "doc_id long, text string, lang string")
     rows = {r["doc_id"]: r for r in quality_rules.rate(df).collect()}
-    assert not rows[30]["kept"] and not rows[30]["base_failed"] and rows[30]["char_divergence"] > 0.1
-    assert all(rows[i]["char_divergence"] < 0.05 for i in range(30))
+    assert not rows[30]["kept"] and not rows[30]["base_failed"] and rows[30]["char_distance"] > 0.1**0.5
+    assert all(rows[i]["char_distance"] < 0.05**0.5 for i in range(30))
 
 
 RULES = [Rule("net", "/", "block"), Rule("example.net", "/en/", "allow")]
@@ -184,3 +184,14 @@ def test_chat_round_trip(spark):
         assert out[conv]["turns_sha256"] == hashlib.sha256(turns.encode()).hexdigest()
         assert (out[conv]["loss_chars"], out[conv]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat_format.digest(chat_format.examples(df.limit(0))).count() == 0
+
+
+def test_quality_judges_words_of_texts_without_listed_ones(spark):
+    """A long text of other words alone is judged by its words too."""
+    good = "the cat and the dog of the house is in that garden with a tree as it was to be " * 12
+    odd = " ".join("".join(chr(97 + (i * j) % 26) for j in range(1, 6)) for i in range(1, 200))
+    df = spark.createDataFrame([(i, good, "en") for i in range(20)] + [(20, odd, "en")], "doc_id long, text string, lang string")
+    limits = quality_rules.Limits(char_distance=1.0)
+    rows = {r["doc_id"]: r for r in quality_rules.rate(df, limits=limits).collect()}
+    assert rows[20]["word_distance"] > limits.word_distance and not rows[20]["kept"] and not rows[20]["base_failed"]
+    assert rows[0]["word_distance"] < 0.1
