@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import finite, tidy
 from ..functions.lineage import scratch_path
 from ..operators import calibration, clean
-from ..sources import adapters, containers
+from ..sources import adapters, containers, layouts
 from .oracle import with_tables
 
 ID = "measurement_id"
@@ -88,6 +88,46 @@ def container_union(spark, d):
     )
 
 
+def container_union_calibrations(spark, d):
+    """Both tables of the two layouts united; the calibrations are shown."""
+    cal, meas = containers.flatten_containers(*adapters.container_tables(spark, d))
+    simple, nested = "group_name is null", "group_name is not null"
+    calibrations, _ = containers.united(
+        [
+            (
+                containers.attributes(cal.filter(simple), ["cal_name", "calib_k", "ponifile"]),
+                containers.attributes(meas.filter(simple), ["meas_name", "k"]),
+            ),
+            (
+                containers.attributes(cal.filter(nested), ["cal_name", "id", "calib_k", "ponifile"]),
+                containers.attributes(meas.filter(nested), ["meas_name", "id", "ponifile"]),
+            ),
+        ]
+    )
+    return calibrations.select("file_name", "cal_name", "id", "calib_k", "ponifile")
+
+
+def bucketed_lines(spark, d):
+    """Share of each detector line in its image, from pixels bucketed by
+    measurement: both groupings and their join plan no exchange."""
+    table = layouts.write_bucketed(adapters.pixels(spark, d), "pixels")
+    px = layouts.read_bucketed(spark, table)
+    images = px.groupBy(ID).agg(F.sum("value").alias("_all"))
+    lines = px.groupBy(ID, "row_idx").agg(F.count(F.lit(1)).alias("n_pixels"), F.sum("value").alias("value"))
+    return lines.join(images, ID).select(
+        ID, "row_idx", "n_pixels", "value", tidy(F.col("value") / F.col("_all")).alias("share")
+    )
+
+
+def conformed_measurements(spark, d):
+    """Measurements brought to their core schema from other names and types."""
+    rows = adapters.measurements(spark, d).select(
+        F.col("measurement_id").cast("string").alias("Measurement_ID"), "patient_id", "cancer_diagnosis",
+        F.col("age").cast("int").alias("age"), "raw_score",
+    )
+    return layouts.conformed(rows, "measurements", extra=True).drop("type_measurement", "calculated_distance")
+
+
 def describe_join(spark, d):
     arrays = adapters.profile_arrays(spark, d)
     path = scratch_path(spark, "described")
@@ -400,6 +440,30 @@ select file_name, name as meas_name, case when id = 'root' then k end as k,
        case when id <> 'root' then ponifile end as ponifile
 from flat where section <> 'calibrations'""",
     ),
+    "container_union_calibrations": (
+        container_union_calibrations,
+        NODES
+        + """
+select file_name, name as cal_name, case when id <> 'root' then id end as id, calib_k, ponifile
+from flat where section = 'calibrations'""",
+    ),
+    "bucketed_lines": (
+        bucketed_lines,
+        with_tables(
+            "pixels",
+            """select measurement_id, row_idx, count(*) as n_pixels, sum(value) as value,
+            round(sum(value) / sum(sum(value)) over (partition by measurement_id), 6) as share
+            from pixels group by measurement_id, row_idx""",
+        ),
+    ),
+    "conformed_measurements": (
+        conformed_measurements,
+        with_tables(
+            "measurements",
+            """select measurement_id, patient_id, cancer_diagnosis, age, null::double as thickness,
+            null::bigint as cal_id, null::double as calibration_manual_distance, raw_score from measurements""",
+        ),
+    ),
     "describe_join": (describe_join, DESCRIBE_JOIN),
     "data_preparation": (
         data_preparation,

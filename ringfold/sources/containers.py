@@ -130,6 +130,14 @@ def union_containers(frames: list[DataFrame]) -> DataFrame:
     )
 
 
+def united(
+    tables: list[tuple[DataFrame, DataFrame]],
+) -> tuple[DataFrame, DataFrame]:
+    """(calibrations, measurements) of many containers, each as one table."""
+    calibrations, measurements = zip(*tables)
+    return union_containers(list(calibrations)), union_containers(list(measurements))
+
+
 def read_described(
     spark: SparkSession,
     path: str,
