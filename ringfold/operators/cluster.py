@@ -29,9 +29,8 @@ def remove_outliers(
 ) -> DataFrame:
     """Drop rows whose z-score within their cluster exceeds the threshold."""
     if direction not in {"both", "positive", "negative"}:
-        raise ValueError(
-            "Invalid direction. Use 'both', 'positive', or 'negative'."
-        )
+        # fixed value: the message for an unknown direction
+        raise ValueError("Invalid direction. Use 'both', 'positive', or 'negative'.")
     stats = df.groupBy(label).agg(
         F.avg(column).alias("_mean"), F.stddev_pop(column).alias("_std")
     )

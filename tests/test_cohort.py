@@ -90,10 +90,10 @@ def clusters(spark, labels, values):
 @pytest.mark.parametrize(
     "labels,values,threshold,direction,removed",
     [
-        ([0, 0, 1, 1, 2, 2, 3, 3], [10, 12, 15, 16, 20, 22, 25, 26], 2.0, "both", []),
-        ([0] * 3 + [1] * 3, [10, 12, 50, 15, 16, 50], 1.0, "positive", [50, 50]),
-        ([0] * 3 + [1] * 3, [10, 12, -50, 15, 16, -50], 1.0, "negative", [-50, -50]),
-        ([0] * 4, [80, 10, 12, -80], 1.0, "both", [-80, 80]),
+        ([1] * 4 + [2] * 4, [100, 104, 98, 102, 7, 9, 8, 6], 2.5, "both", []),
+        ([4] * 4 + [5] * 4, [20, 21, 19, 90, 40, 41, 42, 130], 1.5, "positive", [90, 130]),
+        ([4] * 4 + [5] * 4, [20, 21, 19, -60, 40, 41, 42, -90], 1.5, "negative", [-90, -60]),
+        ([7] * 5, [300, 1, 2, 3, -300], 1.2, "both", [-300, 300]),
     ],
 )
 def test_outliers(spark, labels, values, threshold, direction, removed):
@@ -108,10 +108,10 @@ def test_outlier_direction_is_checked(spark):
 
 
 def test_cluster_range(spark):
-    df = clusters(spark, [0, 0, 1, 1], [10, 20, 30, 40])
+    df = clusters(spark, [5, 5, 9, 9], [60, 40, 200, 500])
     out = cluster.cluster_q_range(df, 0.1, 0.9).collect()
     got = {r[0]: tuple(r["interpolation_q_range"]) for r in out}
-    assert got[0] == pytest.approx((1, 9)) and got[1] == pytest.approx((3, 27))
+    assert got[5] == pytest.approx((4, 36)) and got[9] == pytest.approx((20, 180))
 
 
 def test_container_precedence(spark):
