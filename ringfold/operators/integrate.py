@@ -8,10 +8,10 @@ a pair of numbers or of column names (``q_lo``/``q_hi`` by default, which
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.skew import attach
 
 ID = "measurement_id"
 Range = tuple[float | str, float | str]
@@ -191,80 +191,80 @@ def sigma_clip(
     correct_solid_angle: bool = False,
 ) -> DataFrame:
     """Profile after dropping pixels farther than ``thres`` std from the mean of
-    their bin, repeated ``max_iter`` times.
-
-    A pixel survives while its value lies in every interval so far, so the
-    state between rounds is one interval per bin, and a round reads value counts
-    instead of pixels. The plan grows by one join and one aggregation a round
-    and the exchange of the counts is reused. With ``correct_solid_angle`` every
+    their bin, repeated ``max_iter`` times. With ``correct_solid_angle`` every
     value is divided by its pixel's solid angle first.
+
+    A pixel survives while its value lies in every interval so far. Equal values
+    of a bin are counted before the shuffle; then the distinct values of a bin,
+    at most its pixels of one detector, are one ordered array, and each round
+    keeps a slice of it. A bin that loses all pixels is left out.
     """
     if correct_solid_angle:
         geo = geo.withColumn("value", F.col("value") / solid_angle())
-    rows = with_q_bin(in_ranges(geo, None, chi_range), npt, q_range).select(
-        ID, "pos", "value", "q_first", "q_step"
-    )
+    rows = with_q_bin(in_ranges(geo, None, chi_range), npt, q_range)
     keys = [ID, "pos"]
-    start = rows.groupBy(*keys).agg(
-        _bin_q().alias("q"),
+    counts = rows.groupBy(*keys, "value").agg(
+        F.count(F.lit(1)).alias("n"),
         F.max("q_first").alias("q_first"),
         F.max("q_step").alias("q_step"),
-        F.count(F.lit(1)).alias("n_pixels"),
-        F.avg("value").alias("intensity"),
-        F.stddev_pop("value").alias("std"),
     )
-    grid = start.select(*keys, "q", "q_first", "q_step")
-    stats = start.select(
-        *keys,
-        "n_pixels",
-        "intensity",
-        "std",
-        F.lit(float("-inf")).alias("lo"),
-        F.lit(float("inf")).alias("hi"),
+    bins = counts.where(F.col("value").isNotNull()).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("value", "n"))).alias("_values"),
+        _bin_q().alias("q"),
+        F.max("q_first").alias("q_first"),
+        F.max("q_step").alias("q_step"),
     )
-    counts = value_counts(rows, keys)
-    for _ in range(max_iter):
-        # the slack keeps equal values whose mean is off by round-off
-        reach = thres * F.col("std") + FLAT * F.abs("intensity")
-        interval = stats.select(
-            *keys,
-            F.col("intensity").alias("center"),
-            F.greatest("lo", F.col("intensity") - reach).alias("lo"),
-            F.least("hi", F.col("intensity") + reach).alias("hi"),
-        )
-        kept = attach(counts, interval, keys, ["value"]).filter(
-            F.col("value").between(F.col("lo"), F.col("hi"))
-        )
-        # moments about the last mean lose no digits to a large offset
-        off = F.col("value") - F.col("center")
-        sums = kept.groupBy(*keys).agg(
-            *[F.max(c).alias(c) for c in ("center", "lo", "hi")],
-            F.sum("n").alias("n_pixels"),
-            F.sum(F.col("n") * off).alias("_s1"),
-            F.sum(F.col("n") * off * off).alias("_s2"),
-        )
-        shift = F.col("_s1") / F.col("n_pixels")
-        spread = F.col("_s2") / F.col("n_pixels") - shift * shift
-        stats = sums.select(
+
+    def clipped(lists: pa.Array) -> pa.Array:
+        flat, ends = lists.flatten(), lists.offsets.to_numpy()
+        values = flat.field(0).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        counted = flat.field(1).to_numpy(zero_copy_only=False)
+        ends = ends - ends[0]
+        found = [_clip(values[i:j], counted[i:j], thres, max_iter) for i, j in zip(ends[:-1], ends[1:])]
+        columns = [pa.array(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.float64(), pa.float64()))] if found else [
+            pa.array([], k) for k in (pa.int64(), pa.float64(), pa.float64())
+        ]
+        return pa.StructArray.from_arrays(columns, ["n", "mean", "std"])
+
+    # said to be nondeterministic, so that it is worked out once
+    clip = F.arrow_udf(clipped, "struct<n:long,mean:double,std:double>").asNondeterministic()
+    return (
+        bins.withColumn("_c", clip("_values"))
+        .where("_c.n > 0")
+        .select(
             *keys,
-            "n_pixels",
-            (F.col("center") + shift).alias("intensity"),
-            F.sqrt(F.greatest(spread, F.lit(0.0))).alias("std"),
-            "lo",
-            "hi",
+            "q",
+            "q_first",
+            "q_step",
+            F.col("_c.n").alias("n_pixels"),
+            F.col("_c.mean").alias("intensity"),
+            F.col("_c.std").alias("std"),
+            (F.col("_c.std") / F.sqrt("_c.n")).alias("sem"),
         )
-    return stats.join(grid, keys).select(
-        *keys,
-        "q",
-        "q_first",
-        "q_step",
-        "n_pixels",
-        "intensity",
-        "std",
-        (F.col("std") / F.sqrt("n_pixels")).alias("sem"),
     )
 
 
+def _clip(values: np.ndarray, counts: np.ndarray, thres: float, rounds: int) -> tuple[int, float, float]:
+    """Number, mean and std of what is left of ordered values with counts."""
+    n, center, std = 0, float(np.average(values, weights=counts)), 0.0
+    for number in range(rounds + 1):
+        if number:
+            # the slack keeps equal values whose mean is off by round-off
+            reach = thres * std + FLAT * abs(center)
+            i = np.searchsorted(values, center - reach, "left")
+            j = np.searchsorted(values, center + reach, "right")
+            values, counts = values[i:j], counts[i:j]
+        n = int(counts.sum())
+        if n == 0:
+            return 0, float("nan"), float("nan")
+        # moments about the last mean lose no digits to a large offset
+        off = values - center
+        shift = float((counts * off).sum()) / n
+        spread = float((counts * off * off).sum()) / n - shift * shift
+        center, std = center + shift, max(spread, 0.0) ** 0.5
+    return n, center, std
+
+
 # Fixed value: the message for angles out of range.
 OUT_OF_RANGE = "The angles must be within -180 and 180 degrees range."
 
