@@ -36,7 +36,8 @@ def pixel_persistence(spark, d):
 
 
 def _broken(spark, d):
-    return detector_checks.broken_pixels(_persistence(spark, d), SHARE)
+    # the smallest tables have a single period
+    return detector_checks.broken_pixels(_persistence(spark, d), SHARE, min_periods=1)
 
 
 def broken_pixels(spark, d):
@@ -94,7 +95,7 @@ PERSISTENCE = f"""
     select row_idx, col_idx, case when n_dead >= {SHARE} * n_periods then 'dead' else 'hot' end as kind,
            n_periods, n_dead, n_hot
     from persistence
-    where n_periods >= 2 and (n_dead >= {SHARE} * n_periods or n_hot >= {SHARE} * n_periods))
+    where (n_dead >= {SHARE} * n_periods or n_hot >= {SHARE} * n_periods))
 """
 UNBROKEN = f"""
 , binned as (
