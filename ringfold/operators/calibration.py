@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.skew import attach
+
 # The words that open a line of a calibration text, in order.
 LINE_WORDS = [
     "# Nota:",
@@ -263,11 +265,18 @@ def full_q_range(df: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
 def attach_calibration(
     rows: DataFrame, calibrations: DataFrame, on: str = "cal_id"
 ) -> DataFrame:
-    """Join the calibration columns to measurement or pixel rows. The dimension
-    holds one row per calibration and is broadcast when its size allows it."""
+    """Join the calibration columns to measurement or pixel rows.
+
+    The dimension holds one row per calibration and is broadcast when its size
+    allows it. Else the rows are spread by measurement and position, since most
+    of them may share one calibration.
+    """
     wanted = [
         c
         for c in calibrations.columns
         if c == on or c not in rows.columns
     ]
-    return rows.join(calibrations.select(*wanted), on)
+    spread = [c for c in ("measurement_id", "row_idx", "col_idx") if c in rows.columns]
+    if not spread:
+        return rows.join(calibrations.select(*wanted), on)
+    return attach(rows, calibrations.select(*wanted), [on], spread)

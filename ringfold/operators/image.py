@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.skew import attach
+from ..functions.skew import attach, few_salts
 from .calibration import poni_from_pixels, with_center
 from .integrate import ID
 
@@ -82,19 +82,21 @@ def image_resize(
 ) -> DataFrame:
     """Rescale images to a reference distance by cubic interpolation, values
     rounded into 0..65535. Separable: along rows, then along columns, each a
-    join with a weight table and a sum."""
+    join with a weight table and a sum. Most images may share a calibration, so
+    the pixels of a line are spread by image and position."""
     k = F.lit(ref_distance_mm * 0.001) / F.col("distance_m")
     down = resize_weights(calibrations, n_rows, "row", k)
     across = resize_weights(calibrations, n_cols, "col", k)
     whole = F.greatest(F.lit(0.0), F.least(F.lit(65535.0), F.floor("value")))
+    values = pixels.select(ID, "cal_id", "row_idx", "col_idx", whole.alias("v"))
+    salts = few_salts(pixels)
     step = (
-        pixels.select(ID, "cal_id", "row_idx", "col_idx", whole.alias("v"))
-        .join(down, ["cal_id", "row_idx"])
+        attach(values, down, ["cal_id", "row_idx"], [ID, "col_idx"], salts=salts)
         .groupBy(ID, "cal_id", "row_out", "col_idx")
         .agg(F.sum(F.col("v") * F.col("row_w")).alias("v"))
     )
     done = (
-        step.join(across, ["cal_id", "col_idx"])
+        attach(step, across, ["cal_id", "col_idx"], [ID, "row_out"], salts=salts)
         .groupBy(ID, "cal_id", "row_out", "col_out")
         .agg(F.sum(F.col("v") * F.col("col_w")).alias("v"))
     )
@@ -332,9 +334,12 @@ def beam_box(
 
 
 def mask_product(pixels: DataFrame, mask: DataFrame) -> DataFrame:
-    """Image times mask; a position the mask does not list counts as 0."""
+    """Image times mask; a position the mask does not list counts as 0.
+
+    All images meet a mask's position, so they are spread by measurement."""
+    listed = mask.select("row_idx", "col_idx", "m")
     return (
-        pixels.join(mask.select("row_idx", "col_idx", "m"), ["row_idx", "col_idx"])
+        attach(pixels, listed, ["row_idx", "col_idx"], [ID], salts=few_salts(pixels))
         .withColumn("value", F.col("value") * F.col("m"))
         .drop("m")
     )

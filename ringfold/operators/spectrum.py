@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.skew import attach
+from ..functions.skew import attach, few_salts
 from ..functions.special import hankel_kernel
 from .image import beam_box
 from .integrate import ID
@@ -137,9 +137,10 @@ def image_spectrum(
         if mask is not None:
             listed = mask.select("row_idx", "col_idx", "m")
             beam = F.col("value") * F.coalesce("m", F.lit(0.0))
-            pixels = pixels.join(listed, ["row_idx", "col_idx"], "left").withColumn(
-                "value", F.col("value") - beam
-            )
+            at = ["row_idx", "col_idx"]
+            pixels = attach(
+                pixels, listed, at, [ID], how="left", salts=few_salts(pixels)
+            ).withColumn("value", F.col("value") - beam)
         else:
             boxed = beam_box(pixels, thresh, padding, n_rows, n_cols)
             pixels = boxed.withColumn("value", F.col("value") - F.col("beam"))

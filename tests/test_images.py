@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import geometry, pixel_frame, q_grid
-from ringfold.operators import deviation, image, integrate
+from ringfold.operators import calibration, deviation, image, integrate
 from ringfold.plans import images as plans
 
 N = 16
@@ -86,6 +86,25 @@ def test_mask_and_product(spark):
     assert got == {(2, 2): 8.0, (1, 1): 0.0}
 
 
+def test_pixels_of_one_calibration_are_spread(spark):
+    px = pixel_frame(spark, {i: np.ones((N, N)) for i in range(4)}).withColumn("cal_id", F.lit(1))
+    cal = spark.createDataFrame([(1, 0.1), (2, 0.2)], "cal_id int, distance_m double")
+    mask = spark.createDataFrame([(2, 2, 3), (1, 1, 0)], "row_idx int, col_idx int, m int")
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"]
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in zip(names, ["-1", "false"]):
+            spark.conf.set(n, v)
+        both = calibration.attach_calibration(px, cal).withColumn("part", F.spark_partition_id())
+        sizes = [r["count"] for r in both.groupBy("part").count().collect()]
+        assert sum(sizes) == 4 * N * N and len(sizes) > 1
+        assert both.where("distance_m <> 0.1").count() == 0
+        assert image.mask_product(px, mask).groupBy().sum("value").first()[0] == 12.0
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
 def test_beam_center_examples(spark):
     hot = np.zeros((10, 10))
     hot[5, 5] = 10

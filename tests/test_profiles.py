@@ -303,3 +303,10 @@ def test_background_and_two_peaks(spark):
     got = {r["measurement_id"]: r for r in rows.collect()}
     assert np.allclose(got[1]["fit_params_all"], [1, 0.7, 0.3, 3, 2.0, 0.3, 1.5, 4.5, 0.4], atol=0.05)
     assert np.allclose(got[2]["fit_params_2"][1], 4.0, atol=0.05) and got[2]["sse"] < 1e-2
+
+
+def test_bessel_in_blocks_equals_the_whole():
+    x = np.linspace(0, 400, 6000).reshape(60, 100)
+    whole = [special.bessel_j(1, np.append(row, 400.0))[:-1] for row in x]
+    assert np.allclose(special.bessel_j(1, x), whole, atol=1e-14)
+    assert special.bessel_j(0, np.zeros(0)).shape == (0,)
