@@ -116,24 +116,25 @@ def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
-OP7_SQL = r"""
+LISTED_SUFFIXES = ", ".join(f"'{s}'" for s in url_reputation.SUFFIXES)
+
+OP7_SQL = rf"""
 with urls as (
   select page_id,
     translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path
   from pages
+), names as (
+  select distinct host, rtrim(regexp_replace(split_part(host, '@', -1), ':[0-9]*\z', ''), '.') as name from urls
 ), parts as (
-  select distinct host, case
-    when array_length(string_split(host, '.')) <= 2 then host
-    when length(string_split(host, '.')[-1]) = 2
-      and string_split(host, '.')[-2] in ('ac','co','com','edu','gov','net','org')
-      then array_to_string(string_split(host, '.')[-3:], '.')
-    else array_to_string(string_split(host, '.')[-2:], '.') end as domain
-  from urls
+  select host, name, string_split(name, '.') as l, array_to_string(l[-2:], '.') in ({LISTED_SUFFIXES}) as listed,
+    regexp_matches(name, '^(?:[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}|\[[0-9a-f:.]*\])\z') as address
+  from names
 ), hosts as (
-  select host, domain, case when contains(domain, '.')
-    then array_to_string(string_split(domain, '.')[2:], '.') else domain end as suffix
+  select host, case when address then name when listed then array_to_string(l[-3:], '.')
+    else array_to_string(l[-2:], '.') end as domain,
+    case when address then '[ip]' when listed then array_to_string(l[-2:], '.') else l[-1] end as suffix
   from parts
 ), h as (
   select host, count(*)::double as n, sum(greatest(1 - quality, toxic))::double as bad

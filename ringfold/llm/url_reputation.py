@@ -11,6 +11,7 @@ their suffix's posterior.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,8 +21,15 @@ from .common import packed, unpacked
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ADDED = ["host", "path", "rule", "verdict", "bad_bound"]
-# Second-level labels under which names are registered, before a country code.
-SHARED_SECOND = ("ac", "co", "com", "edu", "gov", "net", "org")
+# Suffixes of several labels under which names are registered; any other last
+# label is a suffix as it is. Give the table of your own registry for more.
+SUFFIXES = (
+    "ac.jp", "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au",
+    "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "edu.au", "gov.au", "gov.uk",
+    "ne.jp", "net.au", "or.jp", "org.au", "org.uk", "blogspot.com", "github.io",
+)
+# The parent of all hosts that are addresses.
+ADDRESSES = "[ip]"
 
 
 @dataclass(frozen=True)
@@ -44,20 +52,31 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), "://[^/?#]*([^?#]*)", 1)
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: two labels, three under names like ``co.uk``."""
-    labels = F.split(host, "\\.")
-    last = F.substring_index(host, ".", -2)
-    country = (F.length(F.substring_index(host, ".", -1)) == 2) & (
-        F.substring_index(last, ".", 1).isin(*SHARED_SECOND)
-    )
-    return F.when(country & (F.size(labels) > 2), F.substring_index(host, ".", -3)).otherwise(last)
+def bare(host: Column) -> Column:
+    """A host without user part, port and final dots."""
+    return F.rtrim(F.regexp_replace(F.substring_index(host, "@", -1), ":[0-9]*\\z", ""), F.lit("."))
+
+
+def is_address(name: Column) -> Column:
+    return F.regexp_like(name, F.lit(r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|\[[0-9a-f:.]*\])\z"))
+
 
+def registered(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Column, Column]:
+    """The registered domain of a host and its suffix.
 
-def suffix_of(domain: Column) -> Column:
-    """What follows the first label of a registered domain."""
-    dot = F.locate(".", domain)
-    return F.when(dot > 0, F.substr(domain, dot + 1)).otherwise(domain)
+    The domain is the longest listed suffix, or else the last label, and one label
+    more. An address is a domain as a whole; addresses share one suffix."""
+    name = bare(host)
+    domain, suffix = F.substring_index(name, ".", -2), F.substring_index(name, ".", -1)
+    for k in sorted({s.count(".") + 1 for s in suffixes}):
+        end = F.substring_index(name, ".", -k)
+        listed = end.isin(*[s for s in suffixes if s.count(".") + 1 == k])
+        domain = F.when(listed, F.substring_index(name, ".", -k - 1)).otherwise(domain)
+        suffix = F.when(listed, end).otherwise(suffix)
+    return (
+        F.when(is_address(name), name).otherwise(domain),
+        F.when(is_address(name), F.lit(ADDRESSES)).otherwise(suffix),
+    )
 
 
 def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
@@ -103,11 +122,12 @@ def shrunk(
 
 
 def reputation(
-    outcomes: DataFrame, default_strength: float = 10.0
+    outcomes: DataFrame, default_strength: float = 10.0, suffixes: Sequence[str] = SUFFIXES
 ) -> tuple[DataFrame, DataFrame, DataFrame, Column]:
     """Posterior tables by host, domain and suffix, and the overall mean.
 
-    ``outcomes`` has one row per labelled page: host and bad (0 or 1).
+    ``outcomes`` has one row per labelled page: host and bad (0 or 1). The counts
+    and posteriors of each level are written once, for the levels below read them.
     """
     hosts = (
         written(
@@ -116,20 +136,20 @@ def reputation(
             ),
             "host-counts",
         )
-        .withColumn("domain", domain_of(F.col("host")))
-        .withColumn("suffix", suffix_of(F.col("domain")))
-    )
-    domains = hosts.groupBy("domain", "suffix").agg(
-        F.sum("n").alias("n"), F.sum("bad").alias("bad")
+        .withColumns(dict(zip(("domain", "suffix"), registered(F.col("host"), suffixes))))
     )
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    sums = F.sum("n").alias("n"), F.sum("bad").alias("bad")
+    domains = written(hosts.groupBy("domain", "suffix").agg(*sums), "domain-counts")
+    tops = written(domains.groupBy("suffix").agg(*sums), "suffix-counts")
     # one good and one bad page more than were seen
-    mean = suffixes.agg(
+    mean = tops.agg(
         (F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)
     ).scalar()
-    top = suffixes.select(F.col("suffix"), mean.alias("mean"))
-    by_suffix = shrunk(suffixes, top, "suffix", "suffix", default_strength)
-    by_domain = shrunk(domains, by_suffix, "domain", "suffix", default_strength)
+    top = tops.select("suffix", mean.alias("mean"))
+    by_suffix = written(shrunk(tops, top, "suffix", "suffix", default_strength), "suffix-rates")
+    by_domain = written(
+        shrunk(domains, by_suffix, "domain", "suffix", default_strength), "domain-rates"
+    )
     by_host = shrunk(hosts, by_domain, "host", "domain", default_strength)
     return by_host, by_domain, by_suffix, mean
 
@@ -148,9 +168,14 @@ def judge(
     default_strength: float = 10.0,
     url: str = "url",
     page: str = "page_id",
+    suffixes: Sequence[str] = SUFFIXES,
 ) -> DataFrame:
     """Each page with host, path, the fitting rule and a verdict.
 
+    Rules and hosts take a url's authority as it is; reputation is shared by
+    registered domain, found without user part, port and final dots. Names with
+    nothing left (``.``) share one domain, addresses are domains of their own.
+
     ``outcomes`` has (page key, bad); a page labelled more than once counts
     each time, a null label not at all. Added columns replace input columns of
     their names. A null url, or one without ``://``, has an empty host and
@@ -166,7 +191,7 @@ def judge(
         outcomes.where("bad is not null").select(F.col(page).alias("_page"), "bad"), "_page"
     )
     by_host, by_domain, by_suffix, overall = reputation(
-        labelled.select("host", "bad"), default_strength
+        labelled.select("host", "bad"), default_strength, suffixes
     )
 
     def bound(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -177,8 +202,7 @@ def judge(
     hosts = written(
         rows.select("host")
         .distinct()
-        .withColumn("domain", domain_of(F.col("host")))
-        .withColumn("suffix", suffix_of(F.col("domain")))
+        .withColumns(dict(zip(("domain", "suffix"), registered(F.col("host"), suffixes))))
         .join(bound(by_host, "host", "_h"), "host", "left")
         .join(bound(by_domain, "domain", "_d"), "domain", "left")
         .join(bound(by_suffix, "suffix", "_s"), "suffix", "left")

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ringfold.llm import chat_format, language_id, quality_rules, toxicity, url_reputation
 from ringfold.llm.url_reputation import Rule
@@ -166,6 +167,37 @@ def test_urls(spark):
     assert free.count() == 0
 
 
+def test_registered_domains(spark):
+    want = {
+        "a.b.example.com": ("example.com", "com"),
+        "shop.example.co.uk:8080": ("example.co.uk", "co.uk"),
+        "a.b.com.": ("b.com", "com"),
+        "user:pw@x.github.io": ("x.github.io", "github.io"),
+        "y.github.io.:443": ("y.github.io", "github.io"),
+        "co.uk": ("co.uk", "co.uk"),
+        "192.168.1.1": ("192.168.1.1", "[ip]"),
+        "10.9.1.1:80": ("10.9.1.1", "[ip]"),
+        "[::1]:80": ("[::1]", "[ip]"),
+        "localhost": ("localhost", "localhost"),
+        "...": ("", ""),
+        "": ("", ""),
+        "x" * 200_000 + ".a.org": ("a.org", "org"),
+    }
+    df = spark.createDataFrame([(h,) for h in want], "host string")
+    rows = df.select("host", *url_reputation.registered(F.col("host"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in rows} == want
+    own = df.select(url_reputation.registered(F.col("host"), ["b.example.com", "example.com"])[0]).first()
+    assert own[0] == "a.b.example.com"
+
+
+def test_addresses_do_not_share_a_reputation(spark):
+    urls = ["http://192.168.1.1/a", "http://10.9.1.1/b", "http://good.example/" + "p" * 100_000]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    bad = spark.createDataFrame([(0, 1)] * 50 + [(1, 0)] * 50 + [(2, 0)] * 50, "page_id long, bad int")
+    out = {r["page_id"]: r["verdict"] for r in url_reputation.judge(df, bad, []).collect()}
+    assert out == {0: "block", 1: "allow", 2: "allow"}
+
+
 def test_chat_round_trip(spark):
     texts = ["\\### Assistant: </turn> ok", "", None, "a\\sb\\h\\e####", "</turn></turn>\n### user\n", "\\\\n"]
     rows = [(1, k, "assistant" if k % 2 else "user", t) for k, t in enumerate(texts)]
