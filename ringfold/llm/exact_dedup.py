@@ -83,6 +83,18 @@ def possibly_repeated(words, bits: int):
     return asked
 
 
+def _asked(df: DataFrame, text: str, key: str, max_bits: int) -> DataFrame:
+    """Both passes: each packed row with its key, its text's hash and ``_maybe``."""
+    rows = df.select(
+        packed(df),
+        F.col(key).alias("_id"),
+        text_hash(F.col(text)).alias("_sha"),
+    ).withColumn("_key", F.xxhash64("_sha"))
+    bits = filter_bits(df.count(), max_bits)
+    words = df.sparkSession.sparkContext.broadcast(repeated_cells(rows.select("_key"), bits))
+    return rows.withColumn("_maybe", possibly_repeated(words, bits)("_key"))
+
+
 def mark(
     df: DataFrame, text: str = "text", key: str = "doc_id", max_bits: int = MAX_BITS
 ) -> DataFrame:
@@ -95,15 +107,7 @@ def mark(
     key is never the smallest unless all of the group are null. An empty table
     gives an empty result.
     """
-    spark = df.sparkSession
-    rows = df.select(
-        packed(df),
-        F.col(key).alias("_id"),
-        text_hash(F.col(text)).alias("_sha"),
-    ).withColumn("_key", F.xxhash64("_sha"))
-    bits = filter_bits(df.count(), max_bits)
-    words = spark.sparkContext.broadcast(repeated_cells(rows.select("_key"), bits))
-    asked = rows.withColumn("_maybe", possibly_repeated(words, bits)("_key"))
+    asked = _asked(df, text, key, max_bits)
     single = asked.where(~F.col("_maybe")).select(
         "_row",
         "_sha",
@@ -140,7 +144,46 @@ def mark(
     )
 
 
-def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row of each group of equal texts, with the input's columns."""
-    rows = df.select(packed(df), F.col(text).alias("_text"), F.col(key).alias("_k"))
-    return mark(rows, "_text", "_k").where("kept").select(*unpacked(df.columns, []))
+def exact_dedup(
+    df: DataFrame, text: str = "text", key: str = "doc_id", max_bits: int = MAX_BITS
+) -> DataFrame:
+    """One row of each group of equal texts, with the input's columns.
+
+    The row that ``mark`` keeps. Groups are told from keys and hashes alone; texts
+    do not shuffle while the rows to drop are few enough to be broadcast, and
+    beyond that only those that the filter holds for possibly repeated.
+    """
+    asked = _asked(df, text, key, max_bits)
+    single = asked.where(~F.col("_maybe"))
+    maybe = asked.where("_maybe").withColumn("_hash", F.xxhash64("_row"))
+    # rows equal in all columns are one row with a count; tables as in ``mark``
+    rows = written(
+        maybe.groupBy("_sha", "_id", "_hash").agg(F.count(F.lit(1)).alias("_n")), "repeated"
+    )
+    first = F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_hash"))
+    best = written(rows.groupBy("_sha").agg(first.alias("_best")), "groups")
+    told = rows.join(best, "_sha").withColumn(
+        "_stays", F.col("_id").eqNullSafe(F.col("_best._id")) & (F.col("_hash") == F.col("_best._hash"))
+    )
+    # a table of its own, so that its real size decides how texts are joined
+    gone = written(
+        told.where("not _stays or _n > 1").select(
+            F.col("_sha").alias("_s"), F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "_stays"
+        ),
+        "gone",
+    )
+
+    def same(other: DataFrame) -> Column:
+        return (
+            (F.col("_sha") == other["_s"])
+            & F.col("_id").eqNullSafe(other["_i"])
+            & (F.col("_hash") == other["_h"])
+        )
+
+    kept = single.select("_row").unionByName(maybe.join(gone, same(gone), "left_anti").select("_row"))
+    several = gone.where("_stays")
+    if not several.isEmpty():
+        # equal in all columns, so any of them is the one; combined before they shuffle
+        again = maybe.join(several, same(several), "left_semi").groupBy("_sha").agg(F.first("_row").alias("_row"))
+        kept = kept.unionByName(again.select("_row"))
+    return kept.select(*unpacked(df.columns, []))
