@@ -16,9 +16,9 @@ Texts of the same weighted set form a class with one representative. Bands of
 the signatures bring representatives together in buckets. Each bucket compares
 its members with its smallest one, by signature first and then exactly, and links
 join components. That settles buckets of near copies alone. In the buckets that
-still have several components, members of different ones are compared block by
-block inside tasks which return links only, so no link of a bucket is lost and
-the pairs of a group are never listed.
+still have several components, members outside the largest one visit all members,
+block by block, inside tasks which return links only, so no link of a bucket is
+lost and the pairs of a group are never listed.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.lineage import written
 from .common import packed, unpacked
@@ -322,29 +322,46 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def _crossed(members: DataFrame, comps: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between members of one bucket and different components.
 
-    A bucket of one component needs no comparison. The others are cut into
-    blocks of about ``BLOCK`` members and each pair of blocks is one unit, which
-    compares signatures, then shingles, and returns links alone. A pair is
-    compared exactly in the first band of which it shares a bucket.
+    A bucket of one component needs no comparison. In the others every such pair
+    has a member outside the bucket's largest component. Those outside are guests:
+    in groups of about ``BLOCK`` they visit all blocks of about ``BLOCK`` members,
+    so a member is repeated once per group of guests, not once per block. Each
+    visit is one unit, which compares signatures, then shingles, and returns
+    links alone. A pair is compared exactly in the first band of which it shares
+    a bucket.
     """
     told = written(members.select("id", "band", "bucket").join(comps, "id"), "told")
     open_ = written(
-        told.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-        .where("c0 <> c1")
-        .select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")),
+        told.groupBy("bucket", "comp")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("bucket")
+        .agg(
+            F.count(F.lit(1)).alias("comps"),
+            F.sum("n").alias("n"),
+            F.max(F.struct("n", "comp")).alias("top"),
+        )
+        .where("comps > 1")
+        .select(
+            "bucket",
+            F.col("top.comp").alias("top"),
+            F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
+            F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("groups"),
+        ),
         "open",
     )
-    rows = told.join(open_, "bucket").withColumn(
-        "mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    )
-    rows = rows.select(
-        "id", "band", "bucket", "comp", "mine",
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
-    ).select(
-        "id", "band", "bucket", "comp", "mine",
-        F.least("mine", "other").alias("lo"),
-        F.greatest("mine", "other").alias("hi"),
+    order, few = F.xxhash64("id"), F.col("comp") != F.col("top")
+
+    def unit_of(block: Column, group: Column, guest: bool) -> Column:
+        return F.struct(block.alias("block"), group.alias("group"), F.lit(guest).alias("guest"))
+
+    block, group = [F.pmod(order, F.col(n)).cast("int") for n in ("blocks", "groups")]
+    numbers = [F.sequence(F.lit(0), F.col(n) - 1) for n in ("blocks", "groups")]
+    at_home = F.transform(numbers[1], lambda g: unit_of(block, g, False))
+    visiting = F.transform(numbers[0], lambda b: unit_of(b, group, True))
+    rows = (
+        told.join(open_, "bucket")
+        .withColumn("_unit", F.explode(F.when(few, F.concat(at_home, visiting)).otherwise(at_home)))
+        .select("id", "band", "bucket", "comp", few.alias("few"), order.alias("order"), "_unit.*")
     )
     kind = sets.schema["id"].dataType.simpleString()
 
@@ -355,29 +372,28 @@ def _crossed(members: DataFrame, comps: DataFrame, sets: DataFrame, threshold: f
 
     return (
         rows.join(sets, "id")
-        .groupBy("bucket", "lo", "hi")
+        .groupBy("bucket", "block", "group")
         .applyInArrow(unit, f"a {kind}, b {kind}")
         .distinct()
     )
 
 
 def _unit_links(group: pa.Table, threshold: float) -> tuple[list[int], list[int]]:
-    """Positions of the linked pairs of a unit. Every pair of two components has
-    a member outside the most frequent one, so only those are compared."""
+    """Positions of the linked pairs of a unit: guests with members of other
+    components. Two that are both guests meet twice, in either's block; the one
+    that comes first by ``order`` compares."""
     n = group.num_rows
     comp = np.unique(group.column("comp").to_numpy(), return_inverse=True)[1]
     # weighted signatures and those of distinct shingles: n, kind, band, row
     sign = np.stack([_both(s) for s in group.column("sign").to_pylist()]).reshape(n, 2, BANDS, -1)
     bags = group.column("bag").to_pylist()
-    mine = group.column("mine").to_numpy()
     band = group.column("band")[0].as_py()
-    two = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
-    few = comp != np.bincount(comp).argmax()
-    todo = np.ones(n, bool)
+    order = group.column("order").to_numpy()
+    guest, few = [np.array(group.column(c).to_pylist(), bool) for c in ("guest", "few")]
+    home = np.flatnonzero(~guest)
     a, b = [], []
-    for i in np.flatnonzero(few).tolist():
-        todo[i] = False
-        with_ = np.flatnonzero((todo | ~few) & (comp != comp[i]) & ((mine != mine[i]) | (not two)))
+    for i in np.flatnonzero(guest).tolist():
+        with_ = home[(comp[home] != comp[i]) & (~few[home] | (order[i] <= order[home]))]
         same = sign[with_] == sign[i]
         near = with_[same.mean(axis=(2, 3)).max(axis=1) >= ESTIMATE]
         # buckets hold both kinds, so one's kind may meet the other's

@@ -26,6 +26,17 @@ def test_exact_groups_and_clashing_columns(spark):
     assert exact_dedup.mark(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_exact_dedup_keeps_what_is_marked(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([None, *range(6)]), rng.choice(["a b", "a  b", "", None, f"t{i}", "x" * 300_000])) for i in range(80)]
+    df = docs(spark, rows).withColumn("_sha", F.col("text").substr(1, 1))
+    want = Counter((r["doc_id"], r["text"]) for r in exact_dedup.mark(df.drop("kept")).where("kept").collect())
+    for bits in (64, 1 << 16):
+        got = Counter((r["doc_id"], r["text"]) for r in exact_dedup.exact_dedup(df, max_bits=bits).collect())
+        assert got == want
+    assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
+
+
 def test_full_filter_only_sends_more_rows(spark):
     rows = [(i, f"text {i % 40}") for i in range(120)]
     for bits in (64, 1 << 16):
@@ -84,15 +95,38 @@ def test_block_comparison_finds_what_a_star_misses():
     bags = [np.sort((near_dedup.shingles(t.split(), hashes) >> np.uint64(32)).astype("<u4")).tobytes() for t in texts]
     import pyarrow as pa
 
-    sign = np.zeros((6, 120), "<u4")
+    ids = [*range(6), *range(1, 6)]  # at home, then as guests; 0 is the largest component
     table = pa.table(
         {
-            "id": pa.array(range(6)), "comp": pa.array(range(6)), "band": pa.array([0] * 6), "mine": pa.array([0] * 6),
-            "lo": pa.array([0] * 6), "hi": pa.array([0] * 6), "sign": pa.array([s.tobytes() for s in sign]), "bag": pa.array(bags),
+            "id": pa.array(ids), "comp": pa.array(ids), "band": pa.array([0] * 11), "order": pa.array(ids),
+            "guest": pa.array([k > 5 for k in range(11)]), "few": pa.array([i > 0 for i in ids]),
+            "sign": pa.array([bytes(480)] * 11), "bag": pa.array([bags[i] for i in ids]),
         }
     )
     a, b = near_dedup._unit_links(table, 0.8)
-    assert {frozenset(p) for p in zip(a, b)} == {frozenset((0, 1)), frozenset((2, 3)), frozenset((4, 5))}
+    assert {frozenset((ids[i], ids[j])) for i, j in zip(a, b)} == {frozenset((0, 1)), frozenset((2, 3)), frozenset((4, 5))}
+    assert len(a) == 3
+
+
+def test_guests_meet_all_members_of_a_bucket(spark, monkeypatch):
+    """One bucket of many blocks and groups of guests: all links between components."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    rng = random.Random(8)
+    words = [f"v{i}" for i in range(3000)]
+    texts = [t for _ in range(20) for t in _family(rng, words, 2, 3)]
+    hashes = near_dedup._Hashes()
+    bags = [np.sort((near_dedup.shingles(t.split(), hashes) >> np.uint64(32)).astype("<u4")).tobytes() for t in texts]
+    n = len(texts)
+    comp = [0 if i % 3 == 0 and i < 30 else i for i in range(n)]
+    members = spark.createDataFrame([(i, 0, 7) for i in range(n)], "id long, band int, bucket long")
+    comps = spark.createDataFrame(list(enumerate(comp)), "id long, comp long")
+    sets = spark.createDataFrame([(i, bytes(480), b) for i, b in enumerate(bags)], "id long, sign binary, bag binary")
+    got = [frozenset(r) for r in near_dedup._crossed(members, comps, sets, 0.8).collect()]
+    want = {
+        frozenset((i, j)) for i in range(n) for j in range(i)
+        if comp[i] != comp[j] and near_dedup.similarity(bags[i], bags[j]) >= 0.8
+    }
+    assert set(got) == want and len(got) == len(want) and len(want) > 20
 
 
 def test_signatures_estimate_probability_jaccard():
