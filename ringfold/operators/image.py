@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.skew import attach, few_salts
+from ..functions.skew import attach
 from .calibration import poni_from_pixels, with_center
 from .integrate import ID
 
@@ -45,30 +45,29 @@ def _cubic(t: Column) -> Column:
     )
 
 
-def resize_weights(dimension: DataFrame, n: int, axis: str, k: Column) -> DataFrame:
-    """(cal_id, source index, target index, weight) along one axis. Taps beyond
-    the edge repeat the edge pixel, so their weights add up on it."""
-    size = F.floor(F.lit(n) * k + 1e-9).cast("int")
-    grid = dimension.withColumn("_size", size).filter("_size > 0").select(
-        "cal_id",
-        "_size",
-        F.explode(F.sequence(F.lit(0), F.col("_size") - 1)).alias(f"{axis}_out"),
+def resize_weights(sizes: DataFrame, n: int, axis: str) -> DataFrame:
+    """(target size, source index, target index, weight) along one axis of ``n``
+    pixels, for each of the distinct sizes. Taps beyond the edge repeat the edge
+    pixel, so their weights add up on it."""
+    size = f"{axis}_size"
+    grid = sizes.select(
+        size, F.explode(F.sequence(F.lit(0), F.col(size) - 1)).alias(f"{axis}_out")
     )
-    at = (F.col(f"{axis}_out") + 0.5) * (F.lit(float(n)) / F.col("_size")) - 0.5
+    at = (F.col(f"{axis}_out") + 0.5) * (F.lit(float(n)) / F.col(size)) - 0.5
     taps = grid.withColumn("_at", at).withColumn(
         "_tap", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1, 2)]))
     )
     source = F.floor("_at") + F.col("_tap")
     return (
         taps.select(
-            "cal_id",
+            size,
             F.greatest(F.lit(0), F.least(F.lit(n - 1), source))
             .cast("int")
             .alias(f"{axis}_idx"),
             f"{axis}_out",
             _cubic(F.col("_at") - source).alias("_w"),
         )
-        .groupBy("cal_id", f"{axis}_idx", f"{axis}_out")
+        .groupBy(size, f"{axis}_idx", f"{axis}_out")
         .agg(F.sum("_w").alias(f"{axis}_w"))
     )
 
@@ -82,21 +81,40 @@ def image_resize(
 ) -> DataFrame:
     """Rescale images to a reference distance by cubic interpolation, values
     rounded into 0..65535. Separable: along rows, then along columns, each a
-    join with a weight table and a sum. Most images may share a calibration, so
-    the pixels of a line are spread by image and position."""
+    join with a weight table and a sum. Weights depend on the target size alone,
+    a whole number, so there is one table of them for each size that occurs,
+    however many calibrations there are."""
     k = F.lit(ref_distance_mm * 0.001) / F.col("distance_m")
-    down = resize_weights(calibrations, n_rows, "row", k)
-    across = resize_weights(calibrations, n_cols, "col", k)
+    sized = calibrations.select(
+        "cal_id",
+        F.floor(F.lit(n_rows) * k + 1e-9).cast("int").alias("row_size"),
+        F.floor(F.lit(n_cols) * k + 1e-9).cast("int").alias("col_size"),
+    )
+    down, across = (
+        resize_weights(sized.select(f"{axis}_size").where(f"{axis}_size > 0").distinct(), n, axis)
+        for axis, n in (("row", n_rows), ("col", n_cols))
+    )
+    # a calibration given twice counts twice along either axis
+    pairs = F.transform(
+        "_sizes",
+        lambda a: F.transform("_sizes", lambda b: F.struct(a["row_size"].alias("row_size"), b["col_size"].alias("col_size"))),
+    )
+    sizes = (
+        sized.groupBy("cal_id")
+        .agg(F.collect_list(F.struct("row_size", "col_size")).alias("_sizes"))
+        .select("cal_id", F.inline(F.flatten(pairs)))
+        .where("row_size > 0 and col_size > 0")
+    )
     whole = F.greatest(F.lit(0.0), F.least(F.lit(65535.0), F.floor("value")))
     values = pixels.select(ID, "cal_id", "row_idx", "col_idx", whole.alias("v"))
-    salts = few_salts(pixels)
     step = (
-        attach(values, down, ["cal_id", "row_idx"], [ID, "col_idx"], salts=salts)
-        .groupBy(ID, "cal_id", "row_out", "col_idx")
+        attach(values, sizes, ["cal_id"], [ID, "row_idx", "col_idx"])
+        .join(down, ["row_size", "row_idx"])
+        .groupBy(ID, "cal_id", "col_size", "row_out", "col_idx")
         .agg(F.sum(F.col("v") * F.col("row_w")).alias("v"))
     )
     done = (
-        attach(step, across, ["cal_id", "col_idx"], [ID, "row_out"], salts=salts)
+        step.join(across, ["col_size", "col_idx"])
         .groupBy(ID, "cal_id", "row_out", "col_out")
         .agg(F.sum(F.col("v") * F.col("col_w")).alias("v"))
     )
@@ -339,7 +357,7 @@ def mask_product(pixels: DataFrame, mask: DataFrame) -> DataFrame:
     All images meet a mask's position, so they are spread by measurement."""
     listed = mask.select("row_idx", "col_idx", "m")
     return (
-        attach(pixels, listed, ["row_idx", "col_idx"], [ID], salts=few_salts(pixels))
+        attach(pixels, listed, ["row_idx", "col_idx"], [ID])
         .withColumn("value", F.col("value") * F.col("m"))
         .drop("m")
     )

@@ -229,3 +229,36 @@ def test_solid_angle_does_not_depend_on_tilts(spark):
     )
     want = (50 / np.sqrt(50**2 + 2 * 12.75**2)) ** 3
     assert row.select(integrate.solid_angle()).first()[0] == pytest.approx(want)
+
+
+def test_resize_with_many_calibrations_of_few_sizes(spark):
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 900, (6, 5))
+    cells = [(m, m, i, j, float(values[i, j])) for m in (0, 1, 2) for i in range(6) for j in range(5)]
+    pixels = spark.createDataFrame(cells, "measurement_id long, cal_id long, row_idx int, col_idx int, value double")
+    # calibration 1 is given twice; none of the others beyond 1 has pixels
+    given = [(0, 0.2), (1, 0.1), (1, 0.1), (2, None), (3, 1e9)] + [(i, 0.1 + i * 1e-9) for i in range(4, 300)]
+    calibrations = spark.createDataFrame(given, "cal_id long, distance_m double")
+
+    def matrix(n, size):
+        out = np.zeros((size, n))
+        for o in range(size):
+            at = (o + 0.5) * n / size - 0.5
+            for tap in (-1, 0, 1, 2):
+                i = int(np.floor(at)) + tap
+                t = abs(at - i)
+                w = (1.25 * t - 2.25) * t * t + 1 if t <= 1 else ((-0.75 * t + 3.75) * t - 6) * t + 3 if t < 2 else 0
+                out[o, min(max(i, 0), n - 1)] += w
+        return out
+
+    got = {}
+    out = image.image_resize(pixels, calibrations, 100.0, 6, 5)
+    for r in out.collect():
+        got.setdefault(r["measurement_id"], {})[r["row_idx"], r["col_idx"]] = r["value"]
+    assert sorted(got) == [0, 1]
+    for m, (rows, cols, times) in {0: (3, 2, 1), 1: (6, 5, 4)}.items():
+        want = matrix(6, rows) @ values @ matrix(5, cols).T * times
+        want = np.clip(np.round(np.round(want, 9)), 0, 65535)
+        assert got[m] == {(i, j): want[i, j] for i in range(rows) for j in range(cols)}
+    sizes = spark.createDataFrame([(3,), (6,)], "row_size int")
+    assert image.resize_weights(sizes, 6, "row").count() <= 4 * (3 + 6)
