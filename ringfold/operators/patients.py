@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.skew import attach, few_salts
+from ..functions.skew import attach
 from .integrate import ID
 
 BLOCK = 1024
+# A group has at most so many blocks while they have at most so many rows.
+BLOCKS, LARGEST = 16, 4096
+# Distances worked out at once.
+CHUNK = 1 << 16
 FEATURES = [
     "saxs_p0",
     "saxs_p1",
@@ -23,24 +27,60 @@ FEATURES = [
 ]
 
 
+def distance_sum(low: np.ndarray, high: np.ndarray | None = None) -> float:
+    """Sum of the Euclidean distances of all rows of ``low`` to all of ``high``, or
+    over the unordered pairs of ``low`` alone.
+
+    Squares come from one matrix product for many pairs; those of close pairs,
+    where that would lose digits, from their differences.
+    """
+    own, high = high is None, low if high is None else high
+    if not len(low) or not len(high):
+        return 0.0
+    total = 0.0
+    if not (np.isfinite(low).all() and np.isfinite(high).all()):
+        for i, point in enumerate(low):
+            others = high[i + 1 :] if own else high
+            total += float(np.sqrt(((others - point) ** 2).sum(axis=1)).sum())
+        return total
+    center = high.mean(axis=0)
+    low, high = low - center, high - center
+    sizes = (high * high).sum(axis=1)
+    step = max(1, CHUNK // len(high))
+    for i in range(0, len(low), step):
+        part = low[i : i + step]
+        both = (part * part).sum(axis=1)[:, None] + sizes
+        squares = both - 2 * (part @ high.T)
+        r, c = np.nonzero(squares <= 1e-4 * both)
+        squares[r, c] = ((part[r] - high[c]) ** 2).sum(axis=1)
+        total += float(np.sqrt(squares).sum())
+    return total / 2 if own else total
+
+
+def block_count(n: Column, block: int) -> Column:
+    """Blocks of at least about ``block`` rows for a group of ``n`` rows."""
+    length = F.greatest(F.lit(float(block)), F.least(F.lit(float(LARGEST)), n / float(BLOCKS)))
+    return F.ceil(n / length).cast("int")
+
+
 def pairwise_mean_distance(
     df: DataFrame, keys: list[str], vector: str, block: int = BLOCK
 ) -> DataFrame:
     """Mean Euclidean distance over unordered pairs within each group.
 
-    A group is cut into blocks of about ``block`` rows and every pair of blocks
-    is one task-sized unit that returns one number, so neither a large group
-    nor its pairs ever meet in one place. A single row has no pairs: null. Blocks follow
-    a hash of ``measurement_id``, which must be unique.
+    A group is cut into blocks of at least about ``block`` rows and every pair of
+    blocks is one task-sized unit that returns one number, so neither a large group
+    nor its pairs ever meet in one place. A row is sent once per block of its
+    group; blocks of large groups are therefore longer, up to ``LARGEST`` rows.
+    A single row has no pairs: null. Blocks follow a hash of ``measurement_id``,
+    which must be unique.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / float(block)).cast("int")
     rows = attach(
         df.select(*keys, ID, vector),
-        sizes.withColumn("_blocks", blocks),
+        sizes.withColumn("_blocks", block_count(F.col("n"), block)),
         keys,
         [ID],
-        salts=few_salts(df),
     )
     rows = rows.withColumn(
         "_mine", F.pmod(F.xxhash64(ID), F.col("_blocks")).cast("int")
@@ -55,14 +95,9 @@ def pairwise_mean_distance(
 
     def unit(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = pdf["_lo"].iloc[0], pdf["_hi"].iloc[0]
-        low = pdf.loc[pdf["_mine"] == lo, vector].to_list()
-        high = low if lo == hi else pdf.loc[pdf["_mine"] == hi, vector].to_list()
-        points = np.array(high, dtype=float)
-        total = 0.0
-        for i, point in enumerate(low):
-            others = points[i + 1 :] if lo == hi else points
-            if len(others):
-                total += float(np.sqrt(((others - point) ** 2).sum(axis=1)).sum())
+        low = np.array(pdf.loc[pdf["_mine"] == lo, vector].to_list(), dtype=float)
+        high = None if lo == hi else np.array(pdf.loc[pdf["_mine"] == hi, vector].to_list(), dtype=float)
+        total = distance_sum(low, high)
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "part": [total]})
 
     kinds = dict(df.dtypes)
