@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def all_salts(df: DataFrame) -> int:
-    """Salts that spread a hot key over a quarter of the shuffle partitions."""
-    return max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+# Copies of a stats row that cannot be broadcast. A fixed number, so that what is
+# shuffled grows with the rows and not with the number of partitions as well.
+SALTS = 8
 
 
-def few_salts(df: DataFrame) -> int:
-    """For keys that usually own few rows, where repeating the stats for many
-    salts would dominate: a sixteenth of the shuffle partitions."""
-    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
+def broadcastable(df: DataFrame) -> bool:
+    """Whether the planner's own estimate lets it broadcast ``df`` as it is."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(size)) <= limit
 
 
 def attach(
@@ -22,24 +23,26 @@ def attach(
     keys: list[str],
     spread: list[str],
     how: str = "inner",
-    salts: int | None = None,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Join per-key ``stats`` (one row per key) back to the many ``rows``.
 
-    The rows of one key are spread over ``salts`` partitions (by default a share
-    of the shuffle partitions, so it grows with the cluster's setting) by a hash
-    of the ``spread`` columns and the stats row is repeated for each. The salt is part
-    of the join key, so a later grouping on ``keys`` plans its own exchange and
-    adaptive execution is free to split what is still too large.
-    No broadcast is forced: the planner decides from the measured size.
+    Stats that the planner may broadcast are joined as they are. Else the rows of
+    one key are spread over ``salts`` partitions by a hash of the ``spread`` columns
+    and the stats row is repeated for each. The salt is part of the join key, so a
+    later grouping on ``keys`` plans its own exchange and adaptive execution is free
+    to split what is still too large. The planner's estimates do not count the
+    copies, so a join with them is said to be a merge: a broadcast would hold
+    ``salts`` times what was estimated.
     """
-    salts = salts or all_salts(rows)
+    if salts < 2 or broadcastable(stats):
+        return rows.join(stats, keys, how)
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     right = stats.withColumn(
         "_salt",
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))),
     )
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return left.join(right.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def running_total(

@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.lineage import written
-from ..functions.skew import attach, few_salts
+from ..functions.skew import attach
 from ..operators import evaluate, split
 from ..operators.clean import infer_label
 from ..operators.integrate import ID
@@ -324,4 +324,4 @@ class PatientForest:
     @staticmethod
     def _spread(df: DataFrame, decided: DataFrame) -> DataFrame:
         rows = df.select(ID, "patient_id")
-        return attach(rows, decided, ["patient_id"], [ID], "left", few_salts(rows))
+        return attach(rows, decided, ["patient_id"], [ID], "left")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.skew import attach
 from .integrate import AUTO, FLAT, ID, Range, bound, value_counts
 
 Limits = list[float]
@@ -59,7 +58,7 @@ def with_ring_mean(geo: DataFrame, npt: int, q_range: Range = AUTO) -> DataFrame
         ID, "row_idx", "col_idx", "digit", "value"
     )
     means = rows.groupBy(ID, "digit").agg(F.avg("value").alias("ring_mean"))
-    return attach(rows, means, [ID, "digit"], ["row_idx", "col_idx"])
+    return rows.join(means, [ID, "digit"])
 
 
 def deviation(
@@ -84,7 +83,7 @@ def deviation(
         return F.try_divide(F.sum(F.when(hit, value * n)), F.sum(F.when(hit, n)))
 
     stats = (
-        attach(counts, means, keys, ["value"])
+        counts.join(means, keys)
         .groupBy(*keys)
         .agg(*[flagged_mean(s, x).alias(f"d{i}") for i, (s, x) in enumerate(sides)])
     )
@@ -120,7 +119,7 @@ def with_column_mean(cake: DataFrame) -> DataFrame:
     stats = cake.groupBy(ID, "pos").agg(
         F.avg(lit).alias("column_mean"), F.count(lit).alias("n_lit")
     )
-    return attach(cake, stats, [ID, "pos"], ["chi_bin"])
+    return cake.join(stats, [ID, "pos"])
 
 
 def cake_deviation(
@@ -175,11 +174,8 @@ def cake_flags(
 def project_back(binned: DataFrame, flags: DataFrame) -> DataFrame:
     """Flagged cake bins back on the pixels that fall in them."""
     columns = [c for c in flags.columns if c.startswith("cake_")]
-    joined = attach(
-        binned.select(ID, "row_idx", "col_idx", "chi_bin", "pos"),
-        flags,
-        [ID, "chi_bin", "pos"],
-        ["row_idx", "col_idx"],
+    joined = binned.select(ID, "row_idx", "col_idx", "chi_bin", "pos").join(
+        flags, [ID, "chi_bin", "pos"]
     )
     return joined.select(
         ID,

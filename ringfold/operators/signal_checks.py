@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.skew import attach, few_salts
+from ..functions.skew import attach
 from .integrate import ID
 
 # Largest relative shift of a calibrant's peak: the documented 1 %.
@@ -125,7 +125,7 @@ def peak_consistency(
         .groupBy(calibrant)
         .agg(F.min_by("_at", ID).alias("_ref"), F.min(ID).alias("reference_id"))
     )
-    joined = attach(rows, reference, [calibrant], [ID], salts=few_salts(rows))
+    joined = attach(rows, reference, [calibrant], [ID])
 
     def nearest(r: Column) -> Column:
         away = F.transform(F.col("_at"), lambda x: F.struct(F.abs(x - r).alias("d"), x.alias("x")))
@@ -189,7 +189,7 @@ def intensity_stability(
     rows = series.where(value.isNotNull() & ~F.isnan(value)).withColumn("_v", value)
     stats = rows.groupBy(*keys).agg(F.avg("_v").alias("_mean"), F.stddev_pop("_v").alias("_std"))
     z = F.when(F.col("_std") > 0, (F.col("_v") - F.col("_mean")) / F.col("_std")).otherwise(0.0)
-    rows = attach(rows, stats, keys, [order], salts=few_salts(rows)).withColumn("z", z)
+    rows = attach(rows, stats, keys, [order]).withColumn("z", z)
     rows = rows.withColumn("_block", F.floor(F.col(order) / block)).drop("_mean", "_std", "_v")
     place = [F.col(order)]
     rows = rows.withColumn("_up", F.col("z") - slack).withColumn("_down", -F.col("z") - slack)

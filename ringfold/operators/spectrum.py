@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.skew import attach, few_salts
+from ..functions.skew import attach
 from ..functions.special import hankel_kernel
 from .image import beam_box
 from .integrate import ID
@@ -138,9 +138,9 @@ def image_spectrum(
             listed = mask.select("row_idx", "col_idx", "m")
             beam = F.col("value") * F.coalesce("m", F.lit(0.0))
             at = ["row_idx", "col_idx"]
-            pixels = attach(
-                pixels, listed, at, [ID], how="left", salts=few_salts(pixels)
-            ).withColumn("value", F.col("value") - beam)
+            pixels = attach(pixels, listed, at, [ID], how="left").withColumn(
+                "value", F.col("value") - beam
+            )
         else:
             boxed = beam_box(pixels, thresh, padding, n_rows, n_cols)
             pixels = boxed.withColumn("value", F.col("value") - F.col("beam"))
@@ -224,7 +224,7 @@ def percent_deviation(cake: DataFrame, skip_bins: int = 0) -> DataFrame:
     rows = cake.filter((F.col("pos") >= skip_bins) & (F.col("intensity") != 0))
     means = rows.groupBy(ID, "pos").agg(F.avg("intensity").alias("_mean"))
     return (
-        attach(rows, means, [ID, "pos"], ["chi_bin"])
+        rows.join(means, [ID, "pos"])
         .filter(F.col("_mean") != 0)
         .select(
             ID,

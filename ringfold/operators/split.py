@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.skew import attach, few_salts, hash_bucket, hash_order, running_total
+from ..functions.skew import attach, hash_bucket, hash_order, running_total
 
 ID = "measurement_id"
 
@@ -52,9 +52,7 @@ def split_patient_balanced(
 def _members(df: DataFrame, patients: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of the listed patients, and the rest. A patient may own many rows,
     so rows are marked by a spread join instead of shuffling on the patient."""
-    marked = attach(
-        df, patients.withColumn("_in", F.lit(True)), ["patient_id"], [ID], "left", few_salts(df)
-    )
+    marked = attach(df, patients.withColumn("_in", F.lit(True)), ["patient_id"], [ID], "left")
     return (
         marked.filter(F.col("_in").isNotNull()).drop("_in"),
         marked.filter(F.col("_in").isNull()).drop("_in"),

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ringfold.functions.skew import attach
 from ringfold.operators import calibration, cluster, evaluate, patients, split
 from ringfold.sources import containers
 
@@ -190,3 +191,44 @@ def test_step_tables_are_cleared(spark):
     lineage.clear_steps(spark)
     path = spark._jvm.org.apache.hadoop.fs.Path(lineage.step_folder(spark))
     assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_blocks_of_a_large_group_are_few(spark):
+    sizes = spark.createDataFrame([(1,), (50,), (2560,), (60000,), (1000000,)], "n long")
+    got = [r[0] for r in sizes.select(patients.block_count(F.col("n"), 5)).collect()]
+    assert got == [1, 10, 16, 16, 245]
+
+
+def test_distance_sum_of_close_and_far_rows():
+    rng = np.random.default_rng(5)
+    low = np.concatenate([rng.random((30, 4)) + 1e6, rng.random((3, 4))])
+    high = np.concatenate([low[:10], low[:10] + 1e-7, rng.random((300, 4))])
+
+    def plain(a, b):
+        return np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+
+    assert patients.distance_sum(low, high) == pytest.approx(plain(low, high).sum(), rel=1e-12)
+    near = high[:20]
+    assert patients.distance_sum(near) == pytest.approx(np.triu(plain(near, near)).sum(), rel=1e-6)
+    assert patients.distance_sum(low[:5], low[:5] + 1e-7) == pytest.approx(plain(low[:5], low[:5] + 1e-7).sum(), rel=1e-9)
+    assert patients.distance_sum(np.array([[np.inf, 0.0], [1.0, 2.0]])) == np.inf
+    assert patients.distance_sum(low[:1]) == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_stats_are_never_broadcast_in_copies(spark, how):
+    """Copies of the stats are not in the planner's estimate."""
+    rows = spark.range(5000).select(F.col("id").alias("measurement_id"), (F.col("id") % 40).alias("k"))
+    stats = spark.range(30).select(F.col("id").alias("k"), F.lit(1.0).alias("m"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit in ("10m", "200", "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            out = attach(rows, stats, ["k"], ["measurement_id"], how)
+            assert out.columns == ["k", "measurement_id", "m"]
+            assert out.count() == (5000 if how == "left" else 3750)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert ("Broadcast" in plan) == (limit == "10m")
+            assert ("_salt" in plan) == (limit != "10m")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
