@@ -10,11 +10,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 SALTS = 8
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate; of a plain table, the size of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def broadcastable(df: DataFrame) -> bool:
     """Whether the planner's own estimate lets it broadcast ``df`` as it is."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return int(str(size)) <= limit
+    return estimated_bytes(df) <= limit
+
+
+def parts_for(df: DataFrame, amount: int, of_one: int) -> int:
+    """Partitions of at most ``of_one`` of the ``amount``, at least one per core.
+
+    Given as a number, partitions are not merged again: adaptive execution does that
+    by compressed bytes, and says nothing of what an aggregation then holds."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-amount // of_one))
 
 
 def attach(

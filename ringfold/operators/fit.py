@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import total
 from ..functions.lineage import written
-from ..functions.skew import attach
+from ..functions.skew import attach, parts_for
 from .integrate import ID
 from .terms import TermSum
 
@@ -28,6 +28,10 @@ from .terms import TermSum
 SSE_DIGITS = 9
 # Weight of a point inside a cut-off range: an uncertainty of 1e6.
 CUT_WEIGHT = 1e-12
+# Sums (of one candidate and measurement) that one task keeps.
+TASK_SUMS = 250_000
+
+
 def _slots(model: TermSum) -> list[dict]:
     """Every parameter of the model with its place."""
     out = []
@@ -228,11 +232,14 @@ def fit(
         [j for j, s in enumerate(shapes) if s["term"] == term]
         for term in sorted({s["term"] for s in shapes})
     ] or [[]]
-    # all that follows is by measurement: one exchange serves every round
+    # all that follows is by measurement: one exchange serves every round. A task
+    # keeps sums of each candidate of its measurements, so their number is bounded
+    found = points.agg(F.approx_count_distinct(ID)).first()[0]
+    candidates = max(grid ** len(turn) + 1 for turn in turns)
     rows = (
         points.select(ID, F.col(x).alias("_x"), F.col(y).alias("_y"))
         .withColumn("_w", _weight("_x", cutoff_ranges))
-        .repartition(ID)
+        .repartition(parts_for(points, found * candidates, TASK_SUMS), ID)
     )
     half = [(high - low) / 2 for low, high in limits]
     middle = [(high + low) / 2 for low, high in limits]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.skew import estimated_bytes, parts_for
 
 # Shape of the derived detector images.
 N_ROWS = 32
@@ -18,17 +19,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# Bytes of the table behind ``pixels`` that one task aggregates.
+PIXEL_BYTES = 8 << 20
+
+
 def pixels(spark: SparkSession, folder: str) -> DataFrame:
-    """Sparse detector images: one row per lit pixel."""
+    """Sparse detector images: one row per lit pixel.
+
+    Rows are dealt out by position, in as many parts as the table is large, so a
+    task holds a bounded number of pixels and one measurement is spread as well."""
+    lines = table(spark, folder, "lineitem")
+    place = ["measurement_id", "row_idx", "col_idx"]
     return (
-        table(spark, folder, "lineitem")
-        .select(
+        lines.select(
             F.expr("l_orderkey div 300").alias("measurement_id"),
             F.expr("cast(l_partkey % 32 as int)").alias("row_idx"),
             F.expr("cast(l_orderkey % 32 as int)").alias("col_idx"),
             "l_quantity",
         )
-        .groupBy("measurement_id", "row_idx", "col_idx")
+        .repartition(parts_for(lines, estimated_bytes(lines), PIXEL_BYTES), *place)
+        .groupBy(*place)
         .agg(F.sum("l_quantity").alias("value"))
         .withColumn("cal_id", F.expr("measurement_id % 10"))
     )
