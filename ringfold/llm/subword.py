@@ -13,6 +13,7 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Callable, Iterable
 from itertools import islice
 
 import numpy as np
@@ -20,16 +21,26 @@ import numpy as np
 # Remembered words per Python worker. Beyond it the half that came first is
 # kept: frequent words are met early.
 WORDS = 300_000
-# Characters outside: no marks, no separators but ASCII white space, no
-# numerals but 0-9, so categories agree between all pattern libraries.
-UNUSUAL = re.compile(
-    "[^\t-\r\x20-\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-įı-ſ"
-    "‐-‧‰-⁞€]"
+# No marks, no separators but ASCII white space, no numerals but 0-9, so categories
+# agree between all pattern libraries.
+USUAL = (
+    "\t-\r\x20-\x7e\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-įı-ſ"
+    "‐-‧‰-⁞€"
 )
+UNUSUAL = re.compile(f"[^{USUAL}]")
+
+
+def listed(kind: str) -> str:
+    """The usual characters of a kind, as a set that is looked up in one step."""
+    usual = re.findall(f"[{USUAL}]", "".join(map(chr, range(0x20AD))))
+    return f"[{''.join(re.escape(c) for c in usual if re.fullmatch(kind, c))}]"
+
+
+LETTER, OTHER = listed(r"[^\W\d_]"), listed(r"[^\w\s]|_")
 SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 # The frequent alternative goes first; it starts with other characters than SHORT.
-WORD = re.compile(rf"[^\W\d_]+|{SHORT}|\d|(?:[^\w\s]|_)+")
-SPACED = re.compile(rf" ?[^\W\d_]+|{SHORT}| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+WORD = re.compile(rf"{LETTER}+|{SHORT}|[0-9]|{OTHER}+")
+SPACED = re.compile(rf" ?{LETTER}+|{SHORT}| ?[0-9]+| ?{OTHER}+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 # Byte-level tokenizers write each byte as a printable character: itself where
 # it is one in Latin-1, else the next free character from 256 on.
 PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -38,6 +49,18 @@ BYTES = {
 }
 
 
+class Words(dict):
+    """The ids of words; one that is not there is merged when it is looked up."""
+
+    def __init__(self, merged: Callable[[str], bytes], known: Iterable[tuple[str, bytes]] = ()) -> None:
+        super().__init__(known)
+        self.merged = merged
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.merged(word)
+        return ids
+
+
 class Encoder:
     """Encodes and decodes lists of texts as the tokenizers library does."""
 
@@ -54,7 +77,7 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.spaced = settings["pre_tokenizer"]["type"] == "ByteLevel"
         self.model = self.whole.model
-        self.known: dict[str, bytes] = {}
+        self.known = Words(self.word)
         self.joined = settings["decoder"] is None
         if self.joined:
             self.tokens = [
@@ -84,12 +107,10 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.words(t) for t in texts]
         if len(self.known) > WORDS:
-            self.known = dict(islice(self.known.items(), WORDS // 2))
-        known = self.known
-        for w in set().union(*filter(None, split)).difference(known):
-            known[w] = self.word(w)
+            self.known = Words(self.word, islice(self.known.items(), WORDS // 2))
+        ids = self.known.__getitem__
         return [
-            self.library([t])[0] if ws is None else b"".join(map(known.__getitem__, ws))
+            self.library([t])[0] if ws is None else b"".join(map(ids, ws))
             for t, ws in zip(texts, split)
         ]
 

@@ -1,6 +1,7 @@
 """Subword operators against the tokenizers library itself."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from ringfold.llm import bpe_chunks, packing, token_files
+from ringfold.llm import bpe_chunks, packing, subword, token_files
 from ringfold.llm.subword import Encoder
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -43,6 +44,26 @@ def test_encoder_equals_library(path):
     assert enc.decode(found) == [whole.decode(ids_of(path, t), skip_special_tokens=False) for t in texts]
 
 
+def test_listed_characters_are_those_of_the_categories():
+    usual = [c for c in map(chr, range(0x110000)) if not subword.UNUSUAL.search(c)]
+    for kind, category in ((subword.LETTER, r"[^\W\d_]"), (subword.OTHER, r"[^\w\s]|_"), ("[0-9]", r"\d"), ("[\t-\r ]", r"\s")):
+        assert [c for c in usual if re.match(kind, c)] == [c for c in usual if re.match(category, c)]
+    assert not subword.UNUSUAL.search("".join(usual).lower())
+
+
+def test_words_are_merged_when_looked_up(monkeypatch):
+    monkeypatch.setattr(subword, "WORDS", 4)
+    enc, merged = Encoder(BYTES), []
+    known = enc.known.merged
+    monkeypatch.setattr(enc, "word", lambda w: merged.append(w) or known(w))
+    enc.known.merged = enc.word
+    for text in ("one two one two", "one two three four five", "one six"):
+        assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == ids_of(BYTES, text)
+    # beyond its size the memory keeps the half that came first
+    assert merged == ["one", " two", " one", " three", " four", " five", " six"]
+    assert list(enc.known) == ["one", " two", " six"]
+
+
 def test_chunks_are_content_defined():
     cut = bpe_chunks.chunks("one more word " + SHARED)
     assert "".join(cut) == "one more word " + SHARED
