@@ -1,9 +1,13 @@
 """Parts of pixels and fits are bounded, however large the tables are."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from ringfold.functions.skew import parts_for
 from ringfold.operators import deviation, fit, integrate, spectrum
+from ringfold.plans import tables as registered
 from ringfold.plans.fits import MODEL
 from ringfold.sources import adapters
 
@@ -71,3 +75,58 @@ def test_fit_deals_out_measurements_by_candidates(spark, monkeypatch):
         found[most] = {r[integrate.ID]: [round(v, 9) for v in r["fit_params_all"]] for r in out.collect()}
     assert found[60] == found[10**9] and len(found[60]) == 6
     assert all("REPARTITION_BY_NUM" in plan for plan in plans) and len(plans) == 2
+
+
+def tables(spark, folder, suppliers=30):
+    """Lines and suppliers enough for images of three measurements."""
+    spark.range(2400).select(
+        (F.col("id") * 3 % 900).alias("l_orderkey"), (F.col("id") * 7 % 997).alias("l_partkey"),
+        (F.col("id") % 11 + 1).cast("double").alias("l_quantity"),
+    ).coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    spark.range(suppliers).select(F.col("id").alias("s_suppkey")).coalesce(1).write.parquet(f"{folder}/supplier.parquet")
+    return str(folder)
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.fixture
+def merges(spark):
+    """No broadcast by the planner, and a number of shuffle partitions to choose."""
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions"]
+    before = {name: spark.conf.get(name) for name in names}
+
+    def chosen(partitions):
+        spark.conf.set(names[0], "-1")
+        spark.conf.set(names[1], str(partitions))
+
+    yield chosen
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def copies(df):
+    """The number of times each generator of salts repeats its rows."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("explode(") == plan.count("explode(sequence(cast(0 as bigint)")
+    return [int(last) + 1 for last in re.findall(r"explode\(sequence\(cast\(0 as bigint\), cast\((\d+) as bigint\)", plan)]
+
+
+def test_thickness_adjust_sends_few_copies(spark, tmp_path, merges):
+    spark.range(400).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") % 20).alias("o_custkey"), F.lit("F").alias("o_orderstatus"),
+        F.lit(1.0).alias("o_totalprice"),
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(20).select(F.col("id").alias("c_custkey"), F.lit("BUILDING").alias("c_mktsegment")).write.parquet(
+        f"{tmp_path}/customer.parquet"
+    )
+    d = tables(spark, tmp_path)
+    small = registered.thickness_adjust(spark, d)
+    assert "_salt" not in exchanges(small)
+    want = rows_of(small)
+    assert len(want) == 400 - len(range(0, 400, 11))
+    for partitions in (4, 400):
+        merges(partitions)
+        out = registered.thickness_adjust(spark, d)
+        assert copies(out) == [8] and rows_of(out) == want
