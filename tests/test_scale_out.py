@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ringfold.functions.skew import parts_for
 from ringfold.operators import deviation, fit, integrate, spectrum
-from ringfold.plans import tables as registered
+from ringfold.plans import images, tables as registered
 from ringfold.plans.fits import MODEL
 from ringfold.sources import adapters
 
@@ -130,3 +130,13 @@ def test_thickness_adjust_sends_few_copies(spark, tmp_path, merges):
         merges(partitions)
         out = registered.thickness_adjust(spark, d)
         assert copies(out) == [8] and rows_of(out) == want
+
+
+def test_deviation_cake_images_copies_calibrations_alone(spark, tmp_path, merges):
+    d = tables(spark, tmp_path)
+    want = rows_of(images.deviation_cake_images(spark, d))
+    merges(400)
+    # for the pixels, their cake, and the same cake again for its means
+    assert copies(images.deviation_cake_images(spark, d)) == [8, 8, 8]
+    merges(4)
+    assert rows_of(images.deviation_cake_images(spark, d)) == want and want
