@@ -9,6 +9,7 @@ from ringfold.functions.skew import parts_for
 from ringfold.operators import deviation, fit, integrate, spectrum
 from ringfold.plans import images, tables as registered
 from ringfold.plans.fits import MODEL
+from ringfold.plans.registry import REGISTRY
 from ringfold.sources import adapters
 
 
@@ -140,3 +141,18 @@ def test_deviation_cake_images_copies_calibrations_alone(spark, tmp_path, merges
     assert copies(images.deviation_cake_images(spark, d)) == [8, 8, 8]
     merges(4)
     assert rows_of(images.deviation_cake_images(spark, d)) == want and want
+
+
+@pytest.mark.parametrize("name", ["deviation"])
+def test_queries_take_pixels_in_parts_of_a_bounded_size(spark, tmp_path, monkeypatch, name):
+    d = tables(spark, tmp_path)
+    size = adapters.estimated_bytes(adapters.table(spark, d, "lineitem"))
+    found = {}
+    for parts in (1, 40):
+        monkeypatch.setattr(adapters, "PIXEL_BYTES", -(-size // parts))
+        out = REGISTRY[name][0](spark, d)
+        plan = exchanges(out)
+        dealt = re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", plan)
+        assert {int(n) for n in dealt} == {max(spark.sparkContext.defaultParallelism, parts)}
+        found[parts] = rows_of(out)
+    assert found[1] == found[40] and found[1]
