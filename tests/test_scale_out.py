@@ -143,7 +143,7 @@ def test_deviation_cake_images_copies_calibrations_alone(spark, tmp_path, merges
     assert rows_of(images.deviation_cake_images(spark, d)) == want and want
 
 
-@pytest.mark.parametrize("name", ["deviation", "deviation_cake", "deviation_wide", "hankel"])
+@pytest.mark.parametrize("name", ["deviation", "deviation_cake", "deviation_wide", "hankel", "roughness"])
 def test_queries_take_pixels_in_parts_of_a_bounded_size(spark, tmp_path, monkeypatch, name):
     d = tables(spark, tmp_path)
     size = adapters.estimated_bytes(adapters.table(spark, d, "lineitem"))
