@@ -19,8 +19,10 @@ from itertools import islice
 import numpy as np
 
 # Remembered words per Python worker. Beyond it the half that came first is
-# kept: frequent words are met early.
+# kept: frequent words are met early. Longer words are merged each time, so the
+# memory is bounded in bytes too.
 WORDS = 300_000
+LONGEST = 128
 # No marks, no separators but ASCII white space, no numerals but 0-9, so categories
 # agree between all pattern libraries.
 USUAL = (
@@ -57,14 +59,19 @@ class Words(dict):
         self.merged = merged
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.merged(word)
+        ids = self.merged(word)
+        if len(word) <= LONGEST:
+            self[word] = ids
         return ids
 
 
 class Encoder:
-    """Encodes and decodes lists of texts as the tokenizers library does."""
+    """Encodes and decodes lists of texts as the tokenizers library does.
 
-    def __init__(self, path: str) -> None:
+    ``most`` is the number of remembered words, by default ``WORDS``.
+    """
+
+    def __init__(self, path: str, most: int | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,6 +84,7 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, added)) or "(?!)")
         self.spaced = settings["pre_tokenizer"]["type"] == "ByteLevel"
         self.model = self.whole.model
+        self.most = WORDS if most is None else most
         self.known = Words(self.word)
         self.joined = settings["decoder"] is None
         if self.joined:
@@ -106,8 +114,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.words(t) for t in texts]
-        if len(self.known) > WORDS:
-            self.known = Words(self.word, islice(self.known.items(), WORDS // 2))
+        if len(self.known) > self.most:
+            self.known = Words(self.word, islice(self.known.items(), self.most // 2))
         ids = self.known.__getitem__
         return [
             self.library([t])[0] if ws is None else b"".join(map(ids, ws))
@@ -123,14 +131,14 @@ class Encoder:
         return self.whole.decode_batch(lists, skip_special_tokens=False)
 
 
-_made: dict[str, Encoder] = {}
+_made: dict[tuple[str, int | None], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
-    if path not in _made:
-        _made[path] = Encoder(path)
-    return _made[path]
+def encoder(path: str, most: int | None = None) -> Encoder:
+    """One encoder per worker process, file and number of remembered words."""
+    if (path, most) not in _made:
+        _made[path, most] = Encoder(path, most)
+    return _made[path, most]
 
 
 def blocks(texts: list[str], chars: int = 2_000_000):

@@ -20,6 +20,9 @@ from .subword import blocks, encoder
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
+# Words that an encoder remembers here: case and the leading space are part of
+# them, so there are more than the default holds.
+WORDS = 600_000
 
 
 def tokens(
@@ -29,7 +32,7 @@ def tokens(
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, WORDS)
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for i, j in blocks(texts):

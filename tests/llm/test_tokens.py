@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -64,6 +65,31 @@ def test_words_are_merged_when_looked_up(monkeypatch):
     assert list(enc.known) == ["one", " two", " six"]
 
 
+def test_size_of_the_memory_for_words(monkeypatch):
+    monkeypatch.setattr(subword, "WORDS", 4)
+    monkeypatch.setattr(subword, "LONGEST", 6)
+    large, merged = Encoder(BYTES, 8), []
+    known = large.known.merged
+    large.known.merged = lambda w: merged.append(w) or known(w)
+    for text in ("one two three four longer five", "one two three four five", "one longer"):
+        assert np.frombuffer(large.encode([text])[0], "<u4").tolist() == ids_of(BYTES, text)
+    # more than WORDS stay where an operator asks for it; a longer word never does
+    assert merged == ["one", " two", " three", " four", " longer", " five", " longer"]
+    assert list(large.known) == ["one", " two", " three", " four", " five"]
+    assert subword.encoder(BYTES, 8) is subword.encoder(BYTES, 8) is not subword.encoder(BYTES)
+
+
+def test_token_files_remember_more_words(spark, monkeypatch):
+    df, made = documents(spark), []
+    monkeypatch.setattr(token_files, "encoder", lambda path, *most: made.append(most) or Encoder(path, *most))
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+    run = token_files.tokens(df, BYTES, end_id=0)
+    batch = pa.record_batch([pa.array(TEXTS), pa.array(range(len(TEXTS)))], ["text", "doc_id"])
+    (out,) = run(iter([batch]))
+    assert out.column(2).to_pylist() == [ids_of(BYTES, t) + [0] for t in TEXTS]
+    assert made == [(token_files.WORDS,)] and token_files.WORDS > subword.WORDS
+
+
 def test_chunks_are_content_defined():
     cut = bpe_chunks.chunks("one more word " + SHARED)
     assert "".join(cut) == "one more word " + SHARED
